@@ -54,7 +54,11 @@ class LexicalIndex:
         self.term_df.unpersist()
 
 
-def build_index(corpus: DataFrame, kind: str = WS, persist: bool = True) -> LexicalIndex:
+def _persist(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def build_index(corpus: DataFrame, kind: str = WS, materialize=_persist) -> LexicalIndex:
     """A1: postings, document frequency per term, N, average length and idf summary.
 
     Global statistics are single-row aggregates read back as scalars (the
@@ -65,10 +69,11 @@ def build_index(corpus: DataFrame, kind: str = WS, persist: bool = True) -> Lexi
                             F.explode("toks").alias("token"))
                 .groupBy("doc_key", "doc_id", "dl", "token")
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    if materialize is not None:
+        postings = materialize(postings)
     term_df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    if persist:
-        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
-        term_df = term_df.persist(StorageLevel.MEMORY_AND_DISK)
+    if materialize is not None:
+        term_df = materialize(term_df)
     n_docs = corpus.count()
     total_len = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     idf = bm25_okapi_idf(F.lit(n_docs), F.col("df"))
@@ -157,14 +162,14 @@ class TfidfModel:
     doc_norm: DataFrame   # doc_key, doc_id, norm
 
 
-def build_tfidf(index: LexicalIndex, persist: bool = True) -> TfidfModel:
+def build_tfidf(index: LexicalIndex, materialize=_persist) -> TfidfModel:
     """Document vector norms; the one place the whole postings table meets the term table."""
     w = F.col("tf").cast("double") * tfidf_idf(index)
     norms = (index.postings.join(index.term_df, "token")
              .groupBy("doc_key").agg(F.max("doc_id").alias("doc_id"),
                                      F.sqrt(F.sum(w * w)).alias("norm")))
-    if persist:
-        norms = norms.persist(StorageLevel.MEMORY_AND_DISK)
+    if materialize is not None:
+        norms = materialize(norms)
     return TfidfModel(index=index, doc_norm=norms)
 
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics
-from .fixtures import fixtures
+from ..functions.text import std_tokens
+from ..operators import consensus as consensus_ops
+from ..operators import fusion, lexical, metrics
+from .fixtures import DENSE_B_DIMS, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -46,3 +48,170 @@ def macro_metrics(spark, sf_dir):
     """Macro precision, recall, F1 and error classes of BM25 top-3."""
     fx = fixtures(spark, sf_dir)
     return metrics.macro_metrics(fx.with_retriever(fx.bm25(), "bm25"), fx.qrels)
+
+
+@register("corpus_stats")
+def corpus_stats(spark, sf_dir):
+    """A1: documents, average length, vocabulary size and mean Okapi idf of the whitespace index."""
+    ix = fixtures(spark, sf_dir).ws_index
+    n_docs = ix.corpus.agg(F.count(F.lit(1))).scalar()
+    raw = lexical.bm25_okapi_idf(n_docs, F.col("df"))
+    terms = ix.term_df.agg(F.count(F.lit(1)).alias("n_terms"), F.avg(raw).alias("mean_idf"),
+                           F.sum(F.when(raw < 0, 1).otherwise(0)).cast("long").alias("n_negative_idf"))
+    total = ix.postings.agg(F.sum("tf")).scalar()
+    return terms.select(n_docs.alias("n_docs"), F.round(total / n_docs, 6).alias("avgdl"),
+                        "n_terms", F.round("mean_idf", 6).alias("mean_idf"), "n_negative_idf")
+
+
+@register("term_idf")
+def term_idf(spark, sf_dir):
+    """A1: document frequency and effective Okapi idf (negative idf floored) per term."""
+    ix = fixtures(spark, sf_dir).ws_index
+    return ix.term_df.select("token", "df",
+                             F.round(lexical.okapi_idf_column(ix, lexical.OKAPI_EPSILON), 6).alias("idf"))
+
+
+@register("bm25_std_topk")
+def bm25_std_topk(spark, sf_dir):
+    """Full-text match on standard-analyzer tokens; only matching documents."""
+    return _round(fixtures(spark, sf_dir).match())
+
+
+@register("tfidf_topk")
+def tfidf_topk(spark, sf_dir):
+    """U1/R2 stand-in: tf-idf cosine top-3 over the whole corpus."""
+    return _round(fixtures(spark, sf_dir).tfidf_run())
+
+
+@register("dense_topk")
+def dense_topk(spark, sf_dir):
+    """Exact cosine top-3 over the 64-dim embeddings."""
+    return _round(fixtures(spark, sf_dir).dense())
+
+
+@register("dense_topk_b")
+def dense_topk_b(spark, sf_dir):
+    """The same operator on a second encoder (first 32 dimensions)."""
+    return _round(fixtures(spark, sf_dir).dense(DENSE_B_DIMS))
+
+
+@register("candidate_union")
+def candidate_union(spark, sf_dir):
+    """D3: ordered union of BM25 and match lists, first occurrence wins."""
+    fx = fixtures(spark, sf_dir)
+    return fusion.candidate_union(fx.bm25(), fx.match())
+
+
+@register("hybrid_rerank")
+def hybrid_rerank(spark, sf_dir):
+    """Candidates reranked by tf-idf cosine, stable, cut to 3."""
+    return _round(fixtures(spark, sf_dir).hybrid())
+
+
+@register("rrf_topk")
+def rrf_topk(spark, sf_dir):
+    """Reciprocal rank fusion of the four stored runs."""
+    return _round(fixtures(spark, sf_dir).rrf)
+
+
+@register("judge_pairs")
+def judge_pairs(spark, sf_dir):
+    """0/1 context-relevance prediction for every retrieved pair (fusion included)."""
+    j = fixtures(spark, sf_dir).judged
+    return j.select("retriever", "query_id", "doc_id", "rank", "prediction")
+
+
+@register("relevance_votes")
+def relevance_votes(spark, sf_dir):
+    """A4: relevant votes per (query, document) over the non-fusion retrievers."""
+    return consensus_ops.relevance_votes(fixtures(spark, sf_dir).judged)
+
+
+@register("consensus")
+def consensus(spark, sf_dir):
+    """Judged consensus, capped fusion fallback, sentinel."""
+    return fixtures(spark, sf_dir).consensus()
+
+
+@register("consensus_best_rank")
+def consensus_best_rank(spark, sf_dir):
+    """Consensus with equal votes ordered by best original rank."""
+    return fixtures(spark, sf_dir).consensus(tie_break="best_rank")
+
+
+@register("consensus_summary")
+def consensus_summary(spark, sf_dir):
+    """Queries processed, rows saved, queries without documents, fallbacks used."""
+    return consensus_ops.consensus_summary(fixtures(spark, sf_dir).consensus())
+
+
+@register("coverage_summary")
+def coverage_summary(spark, sf_dir):
+    """Coverage of the judged (non-fusion) results."""
+    j = fixtures(spark, sf_dir).judged
+    return metrics.coverage_summary(j.where(F.col("retriever") != "rrf"))
+
+
+@register("run_cardinality")
+def run_cardinality(spark, sf_dir):
+    """Distinct queries and documents per retriever."""
+    return metrics.run_cardinality(fixtures(spark, sf_dir).all_runs)
+
+
+@register("error_classes")
+def error_classes(spark, sf_dir):
+    """A10: no-hit queries per retriever split into no_docs / wrong_docs."""
+    fx = fixtures(spark, sf_dir)
+    return metrics.macro_metrics(fx.all_runs, fx.qrels).select("retriever", "wrong_docs_count", "no_docs_count")
+
+
+@register("inaccurate_queries")
+def inaccurate_queries(spark, sf_dir):
+    """A10 rows: each failing (retriever, query) with its set sizes and class."""
+    fx = fixtures(spark, sf_dir)
+    return metrics.inaccurate_queries(fx.all_runs, fx.qrels)
+
+
+@register("sample_failures")
+def sample_failures(spark, sf_dir):
+    """A repeatable sample of up to 5 failing queries per retriever."""
+    fx = fixtures(spark, sf_dir)
+    return metrics.sample_failures(metrics.inaccurate_queries(fx.all_runs, fx.qrels), 5, seed=0)
+
+
+@register("leaderboard")
+def leaderboard(spark, sf_dir):
+    """Macro metrics of every retriever, fusion and consensus included."""
+    fx = fixtures(spark, sf_dir)
+    return metrics.macro_metrics(fx.all_runs, fx.qrels)
+
+
+@register("micro_metrics")
+def micro_metrics(spark, sf_dir):
+    """Micro confusion counts and ratios per retriever over judged pairs."""
+    fx = fixtures(spark, sf_dir)
+    return metrics.micro_metrics(fx.all_runs, fx.qrels, fx.retriever_dim(), fx.k)
+
+
+@register("best_retriever_docs")
+def best_retriever_docs(spark, sf_dir):
+    """The pairs of the retriever with the best macro F1 (ties: retriever order)."""
+    fx = fixtures(spark, sf_dir)
+    board = metrics.macro_metrics(fx.all_runs, fx.qrels).join(fx.retriever_dim(), "retriever")
+    best = board.orderBy(F.col("f1_score").desc(), "retriever_idx").limit(1).select("retriever")
+    return (fx.all_runs.join(best, "retriever", "left_semi").where(F.col("doc_id").isNotNull())
+            .select("retriever", "query_id", "doc_id", "rank"))
+
+
+@register("ppi_estimate")
+def ppi_estimate(spark, sf_dir):
+    """Prediction-powered estimate of document quality.
+
+    Judge f: the document is kept by the cleaning rule (> 50 words); gold y:
+    ``labels.quality``. Unlabelled = documents without a label.
+    """
+    fx = fixtures(spark, sf_dir)
+    from ..functions.text import word_count
+    docs = fx.table("documents").select("doc_id", (word_count("text") > 50).cast("int").alias("f"))
+    labels = fx.table("labels").select("doc_id", F.col("quality").alias("y"))
+    return metrics.ppi_estimate(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id"))

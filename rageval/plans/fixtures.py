@@ -1,24 +1,34 @@
-"""Shared, lazily built views over one data directory.
-
-Within a session the corpus and the indexes are built once and persisted
-(``MEMORY_AND_DISK``; a lost executor's blocks are recomputed from lineage),
-then every query of the catalogue reuses them -- the "index once, search
-many" shape of the original pipeline.
+"""Shared, lazily built stage outputs over one data directory.
+
+Each stage (corpus, indexes, runs, judged pairs, consensus, ...) is built
+once per session and cut from its lineage with a reliable ``checkpoint()``
+into the shared folder named by ``spark.checkpoint.dir``: later stages read
+it back instead of recomputing it, a lost executor costs a re-read rather
+than a recomputation of everything upstream, and plans stay small. This is
+the "index once, search many" shape of the original pipeline, whose stages
+also hand over through files.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ground_truth, lexical
+from ..operators import consensus as consensus_ops
+from ..operators import dense, fusion, ground_truth, lexical
+from ..session import checkpoint_root
 from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
 POOL_DEPTH = 10         # judging pool depth for negatives
+# Retriever dimension, in fusion order: whitespace BM25, tf-idf cosine (the
+# dense-encoder stand-in), standard-analyzer match, hybrid rerank; then the
+# fused and the consensus runs.
+BASE_RETRIEVERS = ("bm25", "tfidf", "match", "hybrid")
+ALL_RETRIEVERS = BASE_RETRIEVERS + ("rrf", "consensus")
+DENSE_B_DIMS = 32       # encoder B stand-in: the first 32 embedding dimensions
 
 _CACHE: dict = {}
 
@@ -38,13 +48,20 @@ class Fixtures:
         self.spark = spark
         self.sf_dir = sf_dir
         self.k = k
+        checkpoint_root(spark)
+        self._consensus: dict[str, DataFrame] = {}
+
+    @staticmethod
+    def cut(df: DataFrame) -> DataFrame:
+        """Materialise a stage output in the checkpoint folder and drop its lineage."""
+        return df.checkpoint(eager=True)
 
     def table(self, name: str) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name)
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return tables.corpus(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.cut(tables.corpus(self.spark, self.sf_dir))
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -52,27 +69,87 @@ class Fixtures:
 
     @cached_property
     def ws_index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.corpus, lexical.WS)
+        return lexical.build_index(self.corpus, lexical.WS, materialize=self.cut)
 
     @cached_property
     def std_index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.corpus, lexical.STD)
+        return lexical.build_index(self.corpus, lexical.STD, materialize=self.cut)
 
     @cached_property
     def tfidf(self) -> lexical.TfidfModel:
-        return lexical.build_tfidf(self.std_index)
+        return lexical.build_tfidf(self.std_index, materialize=self.cut)
 
     def bm25(self, k: int | None = None) -> DataFrame:
         return lexical.bm25_search(self.ws_index, self.queries, k or self.k)
 
     @cached_property
     def pool(self) -> DataFrame:
-        return self.bm25(POOL_DEPTH)
+        return self.cut(self.bm25(POOL_DEPTH))
 
     @cached_property
     def qrels(self) -> DataFrame:
         q = ground_truth.qrels(self.corpus, self.queries, self.table("labels"), self.pool)
-        return q.persist(StorageLevel.MEMORY_AND_DISK)
+        return self.cut(q)
 
     def with_retriever(self, df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("retriever"), *df.columns)
+
+    def match(self, k: int | None = None) -> DataFrame:
+        return lexical.match_search(self.std_index, self.queries, k or self.k)
+
+    def tfidf_run(self, k: int | None = None) -> DataFrame:
+        return lexical.tfidf_search(self.tfidf, self.queries, k or self.k)
+
+    def hybrid(self, k: int | None = None) -> DataFrame:
+        k = k or self.k
+        return fusion.hybrid_rerank(self.tfidf, self.queries, self.bm25(k), self.match(k), k)
+
+    @cached_property
+    def base_runs(self) -> DataFrame:
+        """(retriever, retriever_idx, query_id, doc_id, rank, score) of the four retrievers."""
+        makers = {"bm25": self.bm25, "tfidf": self.tfidf_run, "match": self.match,
+                  "hybrid": self.hybrid}
+        out = None
+        for i, name in enumerate(BASE_RETRIEVERS):
+            r = makers[name]().select(F.lit(name).alias("retriever"), F.lit(i).alias("retriever_idx"),
+                                      "query_id", "doc_id", "rank", "score")
+            out = r if out is None else out.unionByName(r)
+        return self.cut(out)
+
+    @cached_property
+    def rrf(self) -> DataFrame:
+        return self.cut(fusion.rrf(self.base_runs, self.k))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Base runs plus the fused run."""
+        r = self.rrf.select(F.lit("rrf").alias("retriever"), F.lit(len(BASE_RETRIEVERS)).alias("retriever_idx"),
+                            "query_id", "doc_id", "rank", "score")
+        return self.cut(self.base_runs.unionByName(r))
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        j = consensus_ops.judge_pairs(self.runs, self.corpus, self.queries)
+        return self.cut(j)
+
+    def consensus(self, tie_break: str = "text") -> DataFrame:
+        if tie_break not in self._consensus:
+            self._consensus[tie_break] = self.cut(consensus_ops.consensus(
+                self.judged, self.rrf, self.corpus, self.queries, self.k, tie_break=tie_break))
+        return self._consensus[tie_break]
+
+    @cached_property
+    def all_runs(self) -> DataFrame:
+        """Every retriever including the consensus, in the long form metrics read."""
+        c = self.consensus().select(F.lit("consensus").alias("retriever"),
+                                    F.lit(len(BASE_RETRIEVERS) + 1).alias("retriever_idx"),
+                                    "query_id", "doc_id", "rank", F.lit(None).cast("double").alias("score"))
+        return self.cut(self.runs.unionByName(c))
+
+    def retriever_dim(self) -> DataFrame:
+        return self.spark.createDataFrame([(n, i) for i, n in enumerate(ALL_RETRIEVERS)],
+                                          "retriever string, retriever_idx int")
+
+    def dense(self, dims: int | None = None, k: int | None = None) -> DataFrame:
+        emb_q, emb_d = tables.embedding_roles(self.spark, self.sf_dir, dims)
+        return dense.dense_search(emb_q, emb_d, k or self.k)

@@ -108,6 +108,114 @@ WHERE p.doc_id IN (SELECT doc_id FROM labels)
   AND NOT EXISTS (SELECT 1 FROM q_pos x WHERE x.query_id = p.query_id AND x.doc_id = p.doc_id)""")
 
 
+# --- standard-analyzer index: match (R4) and tf-idf (U1) ------------------------
+cte("c_std", ("corpus",), f"SELECT doc_id, {STD('text')} AS toks FROM corpus")
+cte("dl_std", ("c_std",), "SELECT doc_id, len(toks) AS dl FROM c_std")
+cte("post_std", ("c_std",), "SELECT doc_id, token, count(*) AS tf FROM "
+    "(SELECT doc_id, unnest(toks) AS token FROM c_std) GROUP BY doc_id, token")
+cte("df_std", ("post_std",), "SELECT token, count(*) AS df FROM post_std GROUP BY token")
+cte("st_std", ("dl_std",), "SELECT count(*) AS n, avg(dl) AS avgdl FROM dl_std")
+cte("qtf_std", ("qs_ok",), "SELECT query_id, token, count(*) AS qtf FROM "
+    f"(SELECT query_id, unnest({STD('text')}) AS token FROM qs_ok) GROUP BY query_id, token")
+cte("m_match", ("qtf_std", "df_std", "post_std", "dl_std", "st_std"),
+    f"SELECT q.query_id, p.doc_id, sum((q.qtf * ln(1.0 + (s.n - f.df + 0.5) / (f.df + 0.5))) * p.tf * "
+    f"{MATCH_K1 + 1.0} / (p.tf + {MATCH_K1} * ({1.0 - MATCH_B} + {MATCH_B} * d.dl / s.avgdl))) AS score "
+    "FROM qtf_std q JOIN df_std f USING (token) JOIN post_std p USING (token) "
+    "JOIN dl_std d ON d.doc_id = p.doc_id CROSS JOIN st_std s GROUP BY q.query_id, p.doc_id")
+cte("match_k", ("m_match",), "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, "
+    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ASC) AS INTEGER) AS rank "
+    f"FROM m_match WHERE score > 0) WHERE rank <= {K}")
+cte("idf_t", ("df_std", "st_std"), "SELECT token, ln((1.0 + s.n) / (1.0 + f.df)) + 1.0 AS idf FROM df_std f, st_std s")
+cte("dnorm", ("post_std", "idf_t"), "SELECT p.doc_id, sqrt(sum((p.tf * i.idf) * (p.tf * i.idf))) AS norm "
+    "FROM post_std p JOIN idf_t i USING (token) GROUP BY p.doc_id")
+cte("qv", ("qtf_std", "idf_t", "st_std"),
+    "SELECT q.query_id, q.token, coalesce(i.idf, ln((1.0 + s.n) / 1.0) + 1.0) AS idf, "
+    "q.qtf * coalesce(i.idf, ln((1.0 + s.n) / 1.0) + 1.0) AS wq FROM qtf_std q LEFT JOIN idf_t i USING (token) "
+    "CROSS JOIN st_std s")
+cte("qn", ("qv",), "SELECT query_id, sqrt(sum(wq * wq)) AS qnorm FROM qv GROUP BY query_id")
+cte("dots", ("qv", "post_std"), "SELECT v.query_id, p.doc_id, sum(v.wq * (p.tf * v.idf)) AS dot "
+    "FROM qv v JOIN post_std p USING (token) GROUP BY v.query_id, p.doc_id")
+cte("cos_t", ("dots", "qn", "dnorm"), "SELECT d.query_id, d.doc_id, CASE WHEN qn.qnorm * n.norm > 0 "
+    "THEN d.dot / (qn.qnorm * n.norm) ELSE 0.0 END AS score FROM dots d JOIN qn USING (query_id) "
+    "JOIN dnorm n ON n.doc_id = d.doc_id")
+cte("tfidf_k", ("qs_ok", "corpus", "cos_t"),
+    "SELECT query_id, doc_id, rank, score FROM (SELECT q.query_id, c.doc_id, coalesce(t.score, 0.0) AS score, "
+    "CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(t.score, 0.0) DESC, c.doc_id DESC) "
+    "AS INTEGER) AS rank FROM qs_ok q CROSS JOIN corpus c LEFT JOIN cos_t t ON t.query_id = q.query_id "
+    f"AND t.doc_id = c.doc_id) WHERE rank <= {K}")
+
+# --- hybrid (R5), fusion (R6) --------------------------------------------------
+cte("cand", ("bm25_k", "match_k"), """
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fs) AS INTEGER) AS cand_pos
+FROM (SELECT query_id, doc_id, min(src * 1000000 + rank) AS fs FROM (
+  SELECT 0 AS src, query_id, doc_id, rank FROM bm25_k UNION ALL
+  SELECT 1 AS src, query_id, doc_id, rank FROM match_k) GROUP BY query_id, doc_id)""")
+cte("cand_sim", ("cand", "qv", "qn", "post_std", "dnorm"), """
+SELECT c.query_id, c.doc_id, c.cand_pos, coalesce(x.sim, 0.0) AS sim FROM cand c LEFT JOIN (
+  SELECT d.query_id, d.doc_id, CASE WHEN qn.qnorm * n.norm > 0 THEN d.dot / (qn.qnorm * n.norm) END AS sim
+  FROM (SELECT c2.query_id, c2.doc_id, sum(v.wq * (p.tf * v.idf)) AS dot FROM cand c2
+        JOIN post_std p ON p.doc_id = c2.doc_id JOIN qv v ON v.query_id = c2.query_id AND v.token = p.token
+        GROUP BY c2.query_id, c2.doc_id) d
+  JOIN qn USING (query_id) JOIN dnorm n ON n.doc_id = d.doc_id) x
+ON x.query_id = c.query_id AND x.doc_id = c.doc_id""")
+cte("hyb_k", ("cand_sim",), "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, sim AS score, "
+    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cand_pos ASC) AS INTEGER) AS rank "
+    f"FROM cand_sim) WHERE rank <= {K}")
+cte("runs4", ("bm25_k", "tfidf_k", "match_k", "hyb_k"), """
+SELECT 'bm25' AS retriever, 0 AS retriever_idx, query_id, doc_id, rank, score FROM bm25_k UNION ALL
+SELECT 'tfidf', 1, query_id, doc_id, rank, score FROM tfidf_k UNION ALL
+SELECT 'match', 2, query_id, doc_id, rank, score FROM match_k UNION ALL
+SELECT 'hybrid', 3, query_id, doc_id, rank, score FROM hyb_k""")
+cte("rrf_k", ("runs4",), f"""
+SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, fs ASC) AS INTEGER) AS rank
+  FROM (SELECT query_id, doc_id, sum(1.0 / (60.0 + rank)) AS score, min(retriever_idx * 1000000 + rank) AS fs
+        FROM runs4 WHERE rank <= {K} GROUP BY query_id, doc_id)) WHERE rank <= {K}""")
+cte("runs5", ("runs4", "rrf_k"), "SELECT * FROM runs4 UNION ALL "
+    "SELECT 'rrf', 4, query_id, doc_id, rank, score FROM rrf_k")
+
+# --- judge (U3), votes (A4), consensus (R7) -------------------------------------
+cte("jp", ("runs5", "corpus", "qs"), f"""
+SELECT query_id, doc_id, CASE WHEN (CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt)) / len(qt) ELSE 0.0 END)
+  >= 0.5 THEN 1 ELSE 0 END AS prediction
+FROM (SELECT p.query_id, p.doc_id, list_distinct({STD('q.text')}) AS qt, {STD('c.text')} AS dt
+      FROM (SELECT DISTINCT query_id, doc_id FROM runs5) p JOIN corpus c ON c.doc_id = p.doc_id
+      JOIN qs q ON q.query_id = p.query_id)""")
+cte("judged", ("runs5", "jp"), "SELECT r.*, j.prediction FROM runs5 r LEFT JOIN jp j "
+    "ON j.query_id = r.query_id AND j.doc_id = r.doc_id")
+cte("votes", ("judged",), "SELECT query_id, doc_id, count(*) AS votes, min(rank) AS best_rank FROM judged "
+    "WHERE retriever <> 'rrf' AND prediction = 1 GROUP BY query_id, doc_id")
+cte("universe", ("judged",), "SELECT DISTINCT query_id FROM judged WHERE retriever <> 'rrf'")
+
+
+def consensus_ctes(tag: str, order: str) -> str:
+    cte(f"chosen{tag}", ("votes", "corpus"), f"""
+SELECT query_id, doc_id, rank, 'consensus' AS source FROM (SELECT v.query_id, v.doc_id,
+  CAST(row_number() OVER (PARTITION BY v.query_id ORDER BY {order}) AS INTEGER) AS rank
+  FROM votes v JOIN corpus c ON c.doc_id = v.doc_id) WHERE rank <= {K}""")
+    cte(f"without{tag}", ("universe", f"chosen{tag}"),
+        f"SELECT query_id FROM universe WHERE query_id NOT IN (SELECT query_id FROM chosen{tag})")
+    cte(f"picked{tag}", (f"without{tag}", "rrf_k", "qs", "universe"), f"""
+SELECT query_id FROM (SELECT w.query_id, row_number() OVER (ORDER BY q.text ASC NULLS FIRST, w.query_id) AS o
+  FROM without{tag} w LEFT JOIN qs q ON q.query_id = w.query_id
+  WHERE w.query_id IN (SELECT query_id FROM rrf_k))
+WHERE o <= (SELECT floor(count(*) * 0.1) FROM universe)""")
+    cte(f"cons{tag}", (f"chosen{tag}", f"without{tag}", f"picked{tag}", "rrf_k"), f"""
+SELECT query_id, doc_id, rank, source FROM chosen{tag} UNION ALL
+SELECT query_id, doc_id, rank, 'fallback' FROM rrf_k WHERE query_id IN (SELECT query_id FROM picked{tag})
+  AND rank <= {K} UNION ALL
+SELECT query_id, CAST(NULL AS BIGINT), 1, 'sentinel' FROM without{tag}
+  WHERE query_id NOT IN (SELECT query_id FROM picked{tag})""")
+    return f"cons{tag}"
+
+
+consensus_ctes("", "v.votes DESC, c.text ASC, v.doc_id ASC")
+consensus_ctes("_br", "v.votes DESC, v.best_rank ASC, c.text ASC, v.doc_id ASC")
+cte("jq", ("qrels",), "SELECT query_id, doc_id, any_value(label) AS label FROM qrels GROUP BY query_id, doc_id")
+cte("all_runs", ("runs5", "cons"), "SELECT retriever, retriever_idx, query_id, doc_id, rank FROM runs5 UNION ALL "
+    "SELECT 'consensus', 5, query_id, doc_id, rank FROM cons")
+
+
 def macro_sql(runs_cte: str) -> str:
     """Macro precision/recall/F1 + error classes over a CTE (retriever, query_id, doc_id)."""
     return f"""
@@ -140,4 +248,97 @@ def oracle_sql() -> dict[str, str]:
     q["ground_truth"] = sql("SELECT query_id, doc_id, label FROM qrels", "qrels")
     cte("runs_bm25", ("bm25_k",), "SELECT 'bm25' AS retriever, query_id, doc_id, rank FROM bm25_k")
     q["macro_metrics"] = sql(macro_sql("runs_bm25"), "runs_bm25", "qrels")
+    q["corpus_stats"] = sql("""
+SELECT (SELECT n FROM st_ws) AS n_docs, round((SELECT sum(dl) FROM dl_ws) / (SELECT n FROM st_ws), 6) AS avgdl,
+       count(*) AS n_terms, round(avg(raw), 6) AS mean_idf,
+       CAST(sum(CASE WHEN raw < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative_idf FROM rawidf_ws""",
+                            "st_ws", "dl_ws", "rawidf_ws")
+    q["term_idf"] = sql("SELECT f.token, f.df, round(i.idf, 6) AS idf FROM df_ws f JOIN idf_ws i USING (token)",
+                        "df_ws", "idf_ws")
+    q["bm25_std_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM match_k", "match_k")
+    q["tfidf_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM tfidf_k", "tfidf_k")
+    for key, dims in (("dense_topk", None), ("dense_topk_b", 32)):
+        v = "CAST(embedding AS DOUBLE[])" if dims is None else f"list_slice(CAST(embedding AS DOUBLE[]), 1, {dims})"
+        q[key] = f"""
+WITH e AS (SELECT vec_id, {v} AS v FROM embeddings),
+eq AS (SELECT vec_id AS query_id, v, sqrt(list_dot_product(v, v)) AS nv FROM e WHERE vec_id % {QUERY_VECTOR_EVERY} = 0),
+ed AS (SELECT vec_id AS doc_id, v, sqrt(list_dot_product(v, v)) AS nv FROM e WHERE vec_id % {QUERY_VECTOR_EVERY} <> 0),
+s AS (SELECT eq.query_id, ed.doc_id, CASE WHEN eq.nv > 0 AND ed.nv > 0
+        THEN list_dot_product(eq.v, ed.v) / (eq.nv * ed.nv) ELSE 0.0 END AS score FROM eq CROSS JOIN ed)
+SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT query_id, doc_id, score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank FROM s)
+WHERE rank <= {K}"""
+    q["candidate_union"] = sql("SELECT query_id, doc_id, cand_pos FROM cand", "cand")
+    q["hybrid_rerank"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM hyb_k", "hyb_k")
+    q["rrf_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM rrf_k", "rrf_k")
+    q["judge_pairs"] = sql("SELECT retriever, query_id, doc_id, rank, prediction FROM judged", "judged")
+    q["relevance_votes"] = sql("SELECT query_id, doc_id, votes, best_rank FROM votes", "votes")
+    q["consensus"] = sql("SELECT query_id, doc_id, rank, source FROM cons", "cons")
+    q["consensus_best_rank"] = sql("SELECT query_id, doc_id, rank, source FROM cons_br", "cons_br")
+    q["consensus_summary"] = sql("""
+SELECT count(*) AS total_queries, CAST(sum(n) AS BIGINT) AS total_rows,
+       CAST(sum(s) AS BIGINT) AS queries_without_documents, CAST(sum(f) AS BIGINT) AS fallbacks_used
+FROM (SELECT query_id, count(*) AS n, max(CASE WHEN source = 'sentinel' THEN 1 ELSE 0 END) AS s,
+             max(CASE WHEN source = 'fallback' THEN 1 ELSE 0 END) AS f FROM cons GROUP BY query_id)""", "cons")
+    q["coverage_summary"] = sql("""
+SELECT count(*) AS total_queries, CAST(sum(CASE WHEN n_rel > 0 THEN 1 ELSE 0 END) AS BIGINT) AS queries_with_relevant,
+       CAST(coalesce(sum(n_rel), 0) AS BIGINT) AS relevant_rows,
+       CAST(sum(CASE WHEN n_rel = 0 THEN 1 ELSE 0 END) AS BIGINT) AS queries_without_relevant
+FROM (SELECT query_id, sum(prediction) AS n_rel FROM judged WHERE retriever <> 'rrf' GROUP BY query_id)""", "judged")
+    q["run_cardinality"] = sql("SELECT retriever, count(DISTINCT query_id) AS n_queries, "
+                               "count(DISTINCT doc_id) AS n_documents, count(*) AS n_rows FROM all_runs "
+                               "GROUP BY retriever", "all_runs")
+    q["leaderboard"] = sql(macro_sql("all_runs"), "all_runs", "qrels")
+    q["error_classes"] = sql(f"SELECT retriever, wrong_docs_count, no_docs_count FROM ({macro_sql('all_runs')})",
+                             "all_runs", "qrels")
+    inacc = """
+SELECT s.retriever, s.query_id, s.n_retrieved, coalesce(nr.n_rel, 0) AS n_relevant,
+       CASE WHEN s.has_s = 1 THEN 'no_docs' ELSE 'wrong_docs' END AS error_class FROM (
+  SELECT r.retriever, r.query_id, count(*) AS n_retrieved,
+         sum(CASE WHEN p.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS tp,
+         max(CASE WHEN r.doc_id IS NULL THEN 1 ELSE 0 END) AS has_s
+  FROM (SELECT DISTINCT retriever, query_id, doc_id FROM all_runs) r
+  LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM qrels WHERE label = 1) p
+    ON p.query_id = r.query_id AND p.doc_id = r.doc_id GROUP BY r.retriever, r.query_id) s
+LEFT JOIN (SELECT query_id, count(*) AS n_rel FROM (SELECT DISTINCT query_id, doc_id FROM qrels WHERE label = 1)
+           GROUP BY query_id) nr ON nr.query_id = s.query_id
+WHERE s.tp = 0"""
+    q["inaccurate_queries"] = sql(inacc, "all_runs", "qrels")
+    q["sample_failures"] = sql(f"""
+SELECT retriever, query_id, n_retrieved, n_relevant, error_class, sample_rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY retriever ORDER BY
+    md5(concat_ws('|', '0', retriever, CAST(query_id AS VARCHAR)))) AS INTEGER) AS sample_rank FROM ({inacc}))
+WHERE sample_rank <= 5""", "all_runs", "qrels")
+    q["micro_metrics"] = sql(f"""
+SELECT retriever, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1_score,
+       round(CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END, 6) AS accuracy
+FROM (SELECT retriever, tp, fp, fn, tn,
+             CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r
+      FROM (SELECT d.retriever, CAST(coalesce(h.tp, 0) AS BIGINT) AS tp, CAST(coalesce(h.fp, 0) AS BIGINT) AS fp,
+                   CAST((SELECT count(*) FROM jq WHERE label = 1) - coalesce(h.tp, 0) AS BIGINT) AS fn,
+                   CAST((SELECT count(*) FROM jq WHERE label = 0) - coalesce(h.fp, 0) AS BIGINT) AS tn
+            FROM (SELECT * FROM (VALUES ('bm25'), ('tfidf'), ('match'), ('hybrid'), ('rrf'), ('consensus')) t(retriever)) d
+            LEFT JOIN (SELECT c.retriever, sum(CASE WHEN j.label = 1 THEN 1 ELSE 0 END) AS tp,
+                              sum(CASE WHEN j.label = 0 THEN 1 ELSE 0 END) AS fp
+                       FROM (SELECT DISTINCT retriever, query_id, doc_id FROM all_runs WHERE rank <= {K}) c
+                       JOIN jq j ON j.query_id = c.query_id AND j.doc_id = c.doc_id GROUP BY c.retriever) h
+            ON h.retriever = d.retriever))""", "all_runs", "jq")
+    q["best_retriever_docs"] = sql(f"""
+SELECT retriever, query_id, doc_id, rank FROM all_runs WHERE doc_id IS NOT NULL AND retriever = (
+  SELECT b.retriever FROM ({macro_sql('all_runs')}) b JOIN
+    (VALUES ('bm25', 0), ('tfidf', 1), ('match', 2), ('hybrid', 3), ('rrf', 4), ('consensus', 5)) d(retriever, idx)
+    ON d.retriever = b.retriever ORDER BY b.f1_score DESC, d.idx LIMIT 1)""", "all_runs", "qrels")
+    q["ppi_estimate"] = f"""
+WITH d AS (SELECT doc_id, CASE WHEN len({WS('text')}) > {MIN_WORDS_EXCLUSIVE} THEN 1 ELSE 0 END AS f FROM documents),
+u AS (SELECT 'all' AS scope, count(*) AS n_unlabelled, avg(f) AS mean_f, var_pop(f) AS var_f
+      FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+l AS (SELECT 'all' AS scope, count(*) AS n_labelled, avg(y - f) AS mean_rect, var_pop(y - f) AS var_rect,
+             avg(y) AS gold_mean FROM (SELECT d.f, CAST(lb.quality AS DOUBLE) AS y FROM d JOIN labels lb USING (doc_id)))
+SELECT scope, n_unlabelled, n_labelled, round(mean_f, 6) AS judge_mean, round(gold_mean, 6) AS gold_mean,
+       round(mean_f + mean_rect, 6) AS estimate,
+       round(mean_f + mean_rect - 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_low,
+       round(mean_f + mean_rect + 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_high
+FROM u FULL JOIN l USING (scope)"""
     return q
