@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 # Fixed values (must equal the semantics being reproduced).
 # Python's ``str.split()`` with no argument splits on these code points
 # (the characters for which ``str.isspace()`` is true).
-PY_WHITESPACE_CLASS = (
-    r"[\x{9}\x{a}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}"
-    r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
+# The same set as a regular-expression class (used by the SQL oracle).
+PY_WHITESPACE_CLASS = "[" + "".join("\\x{%x}" % ord(c) for c in PY_WHITESPACE) + "]+"
 # "Standard analyzer" approximation: lower-cased runs of letters and digits.
 STD_TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 # Strings that pandas' ``read_csv`` turns into NaN by default.
@@ -40,8 +41,13 @@ def _c(c) -> Column:
 
 
 def ws_tokens(text) -> Column:
-    """Whitespace tokens, case kept, no empty tokens (``str.split()``)."""
-    return F.filter(F.split(_c(text), PY_WHITESPACE_CLASS), lambda t: t != F.lit(""))
+    """Whitespace tokens, case kept, no empty tokens (``str.split()``).
+
+    Every whitespace code point is mapped to a space with ``translate`` and
+    the text is split on that single character; no regular expression runs.
+    """
+    spaced = F.translate(_c(text), PY_WHITESPACE, " " * len(PY_WHITESPACE))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(text) -> Column:

@@ -49,50 +49,40 @@ def edge_doc_ids(corpus: DataFrame, n: int, ascending: bool) -> Column:
     return arr if ascending else F.reverse(arr)
 
 
+def maybe_broadcast(small: bool | None, df: DataFrame) -> DataFrame:
+    """Broadcast when the caller already knows the side is small (``True``), never
+    when it knows it is not (``False``), and check the row count when unknown."""
+    if small is None:
+        return bounded_broadcast(df)
+    return F.broadcast(df) if small else df
+
+
 def zero_backfill(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: int,
                   ascending: bool = True, negatives_possible: bool = False) -> DataFrame:
     """Exact top-k over *all* documents when unmatched documents score 0.
 
     ``scored`` holds (query_id, doc_id, score) for matched pairs only. A
-    retriever that ranks the whole corpus gives zero-score documents too, in
-    document order (``ascending``) or reverse order, ahead of negative scores.
-    Only queries with fewer than ``k`` positive scores need them, and those are
-    found among the first ``2k + max |negatives|`` documents, so the filler is
-    a bounded array per query rather than a join with the corpus.
+    retriever that ranks the whole corpus also returns zero-score documents,
+    in document order (``ascending``) or reverse order, ahead of negative
+    scores. Only the first ``L = 2k (+ max negatives per query)`` documents can
+    ever be needed, so every query gets those ``L`` as zero-score candidates
+    (a bounded array from one scalar subquery -- no join with the corpus).
+    One top-``L`` pass over matched + zero candidates, a dedupe on at most
+    ``L`` rows per query (a matched score wins over its zero copy) and a final
+    top-``k`` give the exact result; the scores are computed once.
     """
     order = [F.col("score").desc(), doc_order(ascending)]
-    nz = scored.where(F.col("score") != 0)
-    top = top_k(nz, "query_id", order, k).drop("rank")
-
+    nz = scored.where(F.col("score") != 0).select("query_id", "doc_id", "score")
     extra = 0
     if negatives_possible:
-        neg_counts = (nz.where(F.col("score") < 0).groupBy("query_id")
-                      .agg(F.count(F.lit(1)).alias("n")))
-        extra = int(neg_counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
-    edge = edge_doc_ids(corpus, 2 * k + extra, ascending)
-
-    known = (top.groupBy("query_id")
-             .agg(F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("n_pos"),
-                  F.collect_list(F.when(F.col("score") > 0, F.col("doc_id"))).alias("pos_ids")))
-    need = (queries.select("query_id").join(known, "query_id", "left")
-            .select("query_id",
-                    F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
-                    F.coalesce("pos_ids", F.array().cast("array<bigint>")).alias("pos_ids"))
-            .where(F.col("n_pos") < k))
-    if negatives_possible:
-        neg_in_edge = (nz.where(F.col("score") < 0)
-                       .withColumn("edge", edge)
-                       .where(F.array_contains(F.col("edge"), F.col("doc_id")))
-                       .groupBy("query_id").agg(F.collect_list("doc_id").alias("neg_ids")))
-        need = (need.join(neg_in_edge, "query_id", "left")
-                .withColumn("pos_ids", F.concat("pos_ids",
-                                                F.coalesce("neg_ids", F.array().cast("array<bigint>"))))
-                .drop("neg_ids"))
-    fill = (need.withColumn("edge", edge)
-            .select("query_id",
-                    F.slice(F.filter("edge", lambda x: ~F.array_contains(F.col("pos_ids"), x)),
-                            1, k).alias("ids"))
-            .select("query_id", F.explode("ids").alias("doc_id"))
-            .withColumn("score", F.lit(0.0)))
-    both = top.select("query_id", "doc_id", "score").unionByName(fill)
-    return top_k(both, "query_id", order, k)
+        extra = int(nz.where(F.col("score") < 0).groupBy("query_id").count()
+                    .agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    n_edge = 2 * k + extra
+    edge = edge_doc_ids(corpus, n_edge, ascending)
+    fill = (queries.select("query_id").withColumn("edge", edge)
+            .select("query_id", F.explode("edge").alias("doc_id"), F.lit(0.0).alias("score")))
+    first = top_k(nz.unionByName(fill), "query_id", order, n_edge).drop("rank")
+    dedup = (first.groupBy("query_id", "doc_id")
+             .agg(F.coalesce(F.max(F.when(F.col("score") != 0, F.col("score"))), F.lit(0.0))
+                  .alias("score")))
+    return top_k(dedup, "query_id", order, k)

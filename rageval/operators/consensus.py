@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import std_tokens
-from .common import bounded_broadcast, top_k
+from .common import maybe_broadcast, top_k
 
 # Default judge threshold and fallback ratio.
 JUDGE_THRESHOLD = 0.5
@@ -38,7 +38,7 @@ def judge_rule(threshold: float = JUDGE_THRESHOLD):
 
 
 def judge_pairs(pairs: DataFrame, corpus: DataFrame, queries: DataFrame,
-                judge: Callable | None = None, judge_fn: Callable | None = None) -> DataFrame:
+                judge: Callable | None = None, judge_fn: Callable | None = None, small: bool | None = None) -> DataFrame:
     """Add ``prediction`` (0/1) to (…, query_id, doc_id) rows.
 
     ``judge`` builds a Column from (query text, document text) and stays in
@@ -47,9 +47,9 @@ def judge_pairs(pairs: DataFrame, corpus: DataFrame, queries: DataFrame,
     Each distinct pair is judged once and joined back.
     """
     distinct_pairs = pairs.select("query_id", "doc_id").distinct()
-    texts = (bounded_broadcast(distinct_pairs)
+    texts = (maybe_broadcast(small, distinct_pairs)
              .join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
-             .join(bounded_broadcast(queries.select("query_id", F.col("text").alias("qtext"))),
+             .join(maybe_broadcast(small, queries.select("query_id", F.col("text").alias("qtext"))),
                    "query_id"))
     if judge_fn is not None:
         @F.pandas_udf("int")
@@ -72,7 +72,7 @@ def relevance_votes(judged: DataFrame, exclude=("rrf",)) -> DataFrame:
 
 def consensus(judged: DataFrame, fusion: DataFrame, corpus: DataFrame, queries: DataFrame,
               k: int, ratio: float = FALLBACK_RATIO, tie_break: str = "text",
-              exclude=("rrf",)) -> DataFrame:
+              exclude=("rrf",), small: bool | None = None) -> DataFrame:
     """(query_id, doc_id, rank, source) with source consensus | fallback | sentinel.
 
     ``tie_break="text"`` orders equal votes by document text (the reference);
@@ -84,7 +84,7 @@ def consensus(judged: DataFrame, fusion: DataFrame, corpus: DataFrame, queries:
     j = judged.where(~F.col("retriever").isin(*exclude)) if exclude else judged
     universe = j.select("query_id").distinct()
     votes = relevance_votes(judged, exclude)
-    votes = bounded_broadcast(votes).join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
+    votes = maybe_broadcast(small, votes).join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
     order = [F.col("votes").desc()]
     if tie_break == "best_rank":
         order.append(F.col("best_rank").asc())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import reciprocal_rank
-from .common import bounded_broadcast, top_k
+from .common import maybe_broadcast, top_k
 from .lexical import TfidfModel, tfidf_query_vectors
 
 # Fixed value: the rank constant of reciprocal rank fusion (Cormack et al. 2009).
@@ -29,10 +29,10 @@ def candidate_union(*runs: DataFrame) -> DataFrame:
         .select("query_id", "doc_id", F.col("cand_pos").cast("int"))
 
 
-def pair_similarity(model: TfidfModel, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_similarity(model: TfidfModel, queries: DataFrame, pairs: DataFrame, small: bool | None = None) -> DataFrame:
     """tf-idf cosine for given (query_id, doc_id) pairs only; 0 when nothing is shared."""
-    qv = bounded_broadcast(tfidf_query_vectors(model, queries))
-    p = bounded_broadcast(pairs.select("query_id", "doc_id").distinct())
+    qv = maybe_broadcast(small, tfidf_query_vectors(model, queries, small))
+    p = maybe_broadcast(small, pairs.select("query_id", "doc_id").distinct())
     wd = F.col("tf").cast("double") * F.col("idf")
     dots = (model.index.postings.select("doc_id", "token", "tf").join(p, "doc_id")
             .join(qv, ["query_id", "token"])
@@ -48,10 +48,10 @@ def pair_similarity(model: TfidfModel, queries: DataFrame, pairs: DataFrame) ->
 
 
 def hybrid_rerank(model: TfidfModel, queries: DataFrame, lexical_run: DataFrame,
-                  match_run: DataFrame, k: int) -> DataFrame:
+                  match_run: DataFrame, k: int, small: bool | None = None) -> DataFrame:
     """BM25 list + match list -> ordered union -> rerank by similarity (stable) -> k."""
     cands = candidate_union(lexical_run, match_run)
-    scored = pair_similarity(model, queries, cands)
+    scored = pair_similarity(model, queries, cands, small)
     out = top_k(scored, "query_id", [F.col("sim").desc(), F.col("cand_pos").asc()], k)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), F.col("sim").alias("score"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
 from ..sources.tables import nonblank
-from .common import bounded_broadcast
+from .common import maybe_broadcast
 
 # Fixed value: anchors are at most this many tokens long.
 ANCHOR_TOKENS = 3
@@ -42,42 +42,42 @@ def query_anchors(queries: DataFrame) -> DataFrame:
 
 
 def doc_ngrams(corpus: DataFrame, m: int) -> DataFrame:
-    """(doc_key, doc_id, m, gram): every run of ``m`` consecutive whitespace tokens."""
+    """(doc_id, m, gram): every run of ``m`` consecutive whitespace tokens."""
     toks = ws_tokens("text")
-    d = corpus.select("doc_key", "doc_id", toks.alias("toks"))
+    d = corpus.select("doc_id", toks.alias("toks"))
     n = F.size("toks")
     grams = F.when(n >= m, F.transform(F.sequence(F.lit(1), n - m + 1),
                                        lambda i: F.array_join(F.slice("toks", i, m), " ")))
-    return d.select("doc_key", "doc_id", F.lit(m).alias("m"),
+    return d.select("doc_id", F.lit(m).alias("m"),
                     F.explode(F.coalesce(grams, F.array().cast("array<string>"))).alias("gram"))
 
 
-def containment_pairs(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+def containment_pairs(corpus: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
     """(query_id, doc_id) where the document text contains the query text."""
     anchors = query_anchors(queries)
     sizes = sorted(r["m"] for r in anchors.select("m").distinct().collect())
     if not sizes:
         return corpus.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint")
-    small = bounded_broadcast(anchors.select("query_id", "m", F.col("anchor").alias("gram")))
+    anchor_side = maybe_broadcast(small, anchors.select("query_id", "m", F.col("anchor").alias("gram")))
     grams = None
     for m in sizes:
         g = doc_ngrams(corpus, m)
         grams = g if grams is None else grams.unionByName(g)
-    cand = (grams.join(small, ["m", "gram"])
-            .select("query_id", "doc_key", "doc_id").dropDuplicates())
-    qtext = bounded_broadcast(anchors.select("query_id", F.col("text").alias("qtext")))
-    return (bounded_broadcast(cand).join(corpus.select("doc_key", F.col("text").alias("dtext")), "doc_key")
+    cand = (grams.join(anchor_side, ["m", "gram"])
+            .select("query_id", "doc_id").dropDuplicates())
+    qtext = maybe_broadcast(small, anchors.select("query_id", F.col("text").alias("qtext")))
+    return (maybe_broadcast(small, cand).join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
             .join(qtext, "query_id")
             .where(F.col("dtext").contains(F.col("qtext")))
             .select("query_id", "doc_id"))
 
 
-def qrels(corpus: DataFrame, queries: DataFrame, labels: DataFrame, pool: DataFrame) -> DataFrame:
+def qrels(corpus: DataFrame, queries: DataFrame, labels: DataFrame, pool: DataFrame, small: bool | None = None) -> DataFrame:
     """(query_id, doc_id, label): containment positives plus pooled labelled negatives.
 
     ``pool`` is a run (query_id, doc_id, ...) used for pooling, e.g. BM25 top 10.
     """
-    pos = containment_pairs(corpus, queries).withColumn("label", F.lit(1))
+    pos = containment_pairs(corpus, queries, small).withColumn("label", F.lit(1))
     labelled = labels.select("doc_id").distinct()
     neg = (pool.select("query_id", "doc_id").distinct()
            .join(labelled, "doc_id", "left_semi")

@@ -1,10 +1,11 @@
 """Lexical retrieval: index statistics (A1), Okapi BM25 (R1), full-text match (R4), tf-idf cosine.
 
-The index is a postings table ``(doc_key, doc_id, dl, token, tf)``. It is
-built once per corpus from the text with ``explode`` + ``groupBy``; because the
-corpus is hash-partitioned by ``doc_key`` (see ``dedupe_texts``) the tf
+The index is a postings table ``(doc_id, dl, token, tf)``. It is built once
+per corpus from the text with a generator + ``groupBy``; when the corpus and
+the postings are stored bucketed by ``doc_id`` (see ``Fixtures``) the tf
 aggregation and every later per-(query, document) aggregation run without a
-shuffle. Searching joins the query terms -- a small, size-checked side that is
+shuffle, and the per-query top-k is cut inside each task before the only
+exchange (by query). Searching joins the query terms -- a small, size-checked side that is
 broadcast -- with the postings on ``token``: an equi-join that only touches
 postings of query terms, instead of scoring every (query, document) pair.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import (bm25_okapi_idf, bm25_plus_one_idf, bm25_term, std_tokens,
                               ws_tokens)
 from ..sources.tables import nonblank
-from .common import bounded_broadcast, top_k, zero_backfill
+from .common import maybe_broadcast, top_k, zero_backfill
 
 WS = "whitespace"
 STD = "standard"
@@ -40,8 +41,8 @@ def tokenize(kind: str, text) -> "F.Column":
 @dataclass
 class LexicalIndex:
     kind: str
-    corpus: DataFrame      # doc_key, doc_id, text
-    postings: DataFrame    # doc_key, doc_id, dl, token, tf
+    corpus: DataFrame      # doc_id, text
+    postings: DataFrame    # doc_id, dl, token, tf
     term_df: DataFrame     # token, df
     n_docs: int
     avgdl: float
@@ -64,10 +65,11 @@ def build_index(corpus: DataFrame, kind: str = WS, materialize=_persist) -> Lexi
     Global statistics are single-row aggregates read back as scalars (the
     equivalent of building the index once before searching).
     """
-    toks = corpus.select("doc_key", "doc_id", tokenize(kind, "text").alias("toks"))
-    postings = (toks.select("doc_key", "doc_id", F.size("toks").alias("dl"),
-                            F.explode("toks").alias("token"))
-                .groupBy("doc_key", "doc_id", "dl", "token")
+    toks = tokenize(kind, "text")
+    # One generator emits (token, dl): the tokens are computed once per document.
+    rows = corpus.select("doc_id", F.inline(F.arrays_zip(
+        toks.alias("token"), F.array_repeat(F.size(toks), F.size(toks)).alias("dl"))))
+    postings = (rows.groupBy("doc_id", "dl", "token")
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
     if materialize is not None:
         postings = materialize(postings)
@@ -92,21 +94,21 @@ def query_terms(queries: DataFrame, kind: str) -> DataFrame:
             .groupBy("query_id", "token").agg(F.count(F.lit(1)).cast("int").alias("qtf")))
 
 
-def query_term_stats(qt: DataFrame, index: LexicalIndex) -> DataFrame:
+def query_term_stats(qt: DataFrame, index: LexicalIndex, small: bool | None = None) -> DataFrame:
     """(token, df) for the distinct query tokens that occur in the corpus.
 
     The distinct query tokens are the small side and are broadcast; the term
     table (vocabulary-sized) streams past them.
     """
-    return index.term_df.join(bounded_broadcast(qt.select("token").distinct()), "token")
+    return index.term_df.join(maybe_broadcast(small, qt.select("token").distinct()), "token")
 
 
-def _match_scores(index: LexicalIndex, qw: DataFrame, k1: float, b: float) -> DataFrame:
+def _match_scores(index: LexicalIndex, qw: DataFrame, k1: float, b: float, small: bool | None = None) -> DataFrame:
     """Sum of BM25 term weights per matched (query, document)."""
-    qw = bounded_broadcast(qw)
+    qw = maybe_broadcast(small, qw)
     term = bm25_term(F.col("wq"), F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
     return (index.postings.join(qw, "token")
-            .groupBy("query_id", "doc_key", "doc_id")
+            .groupBy("query_id", "doc_id")
             .agg(F.sum(term).alias("score")))
 
 
@@ -116,7 +118,7 @@ def okapi_idf_column(index: LexicalIndex, eps: float) -> "F.Column":
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = OKAPI_K1,
-                b: float = OKAPI_B, eps: float = OKAPI_EPSILON) -> DataFrame:
+                b: float = OKAPI_B, eps: float = OKAPI_EPSILON, small: bool | None = None) -> DataFrame:
     """Okapi BM25 top-k per query over whitespace tokens.
 
     Terms with negative idf get ``eps * mean idf``. The reference ranks every
@@ -127,9 +129,9 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = OKA
     if k < 1:
         raise ValueError("k must be >= 1")
     qt = query_terms(queries, index.kind)
-    qw = (qt.join(query_term_stats(qt, index), "token")
+    qw = (qt.join(query_term_stats(qt, index, small), "token")
           .select("query_id", "token", (F.col("qtf") * okapi_idf_column(index, eps)).alias("wq")))
-    scored = _match_scores(index, qw, k1, b).select("query_id", "doc_id", "score")
+    scored = _match_scores(index, qw, k1, b, small).select("query_id", "doc_id", "score")
     negatives = index.min_okapi_idf < 0 and eps * index.mean_okapi_idf < 0
     out = zero_backfill(scored, nonblank(queries), index.corpus, k, ascending=True,
                         negatives_possible=negatives)
@@ -137,15 +139,15 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = OKA
 
 
 def match_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = MATCH_K1,
-                 b: float = MATCH_B) -> DataFrame:
+                 b: float = MATCH_B, small: bool | None = None) -> DataFrame:
     """Full-text match -- only documents sharing a term, idf ``ln(1 + (N-df+.5)/(df+.5))``."""
     if k < 1:
         raise ValueError("k must be >= 1")
     qt = query_terms(queries, index.kind)
-    qw = (qt.join(query_term_stats(qt, index), "token")
+    qw = (qt.join(query_term_stats(qt, index, small), "token")
           .select("query_id", "token",
                   (F.col("qtf") * bm25_plus_one_idf(F.lit(index.n_docs), F.col("df"))).alias("wq")))
-    scored = _match_scores(index, qw, k1, b).where(F.col("score") > 0)
+    scored = _match_scores(index, qw, k1, b, small).where(F.col("score") > 0)
     out = top_k(scored, "query_id", [F.col("score").desc(), F.col("doc_id").asc()], k)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")
 
@@ -159,49 +161,48 @@ def tfidf_idf(index: LexicalIndex, df_col="df") -> "F.Column":
 @dataclass
 class TfidfModel:
     index: LexicalIndex
-    doc_norm: DataFrame   # doc_key, doc_id, norm
+    doc_norm: DataFrame   # doc_id, norm
 
 
 def build_tfidf(index: LexicalIndex, materialize=_persist) -> TfidfModel:
     """Document vector norms; the one place the whole postings table meets the term table."""
     w = F.col("tf").cast("double") * tfidf_idf(index)
     norms = (index.postings.join(index.term_df, "token")
-             .groupBy("doc_key").agg(F.max("doc_id").alias("doc_id"),
-                                     F.sqrt(F.sum(w * w)).alias("norm")))
+             .groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm")))
     if materialize is not None:
         norms = materialize(norms)
     return TfidfModel(index=index, doc_norm=norms)
 
 
-def tfidf_query_vectors(model: TfidfModel, queries: DataFrame) -> DataFrame:
+def tfidf_query_vectors(model: TfidfModel, queries: DataFrame, small: bool | None = None) -> DataFrame:
     """(query_id, token, idf, wq, qnorm) for non-blank queries."""
     qt = query_terms(queries, model.index.kind)
-    qv = qt.join(bounded_broadcast(query_term_stats(qt, model.index)), "token", "left").select(
+    qv = qt.join(maybe_broadcast(small, query_term_stats(qt, model.index, small)), "token", "left").select(
         "query_id", "token", tfidf_idf(model.index).alias("idf"),
         (F.col("qtf").cast("double") * tfidf_idf(model.index)).alias("wq"))
     qn = qv.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
     return qv.join(qn, "query_id")
 
 
-def tfidf_scores(model: TfidfModel, queries: DataFrame) -> DataFrame:
+def tfidf_scores(model: TfidfModel, queries: DataFrame, small: bool | None = None) -> DataFrame:
     """Cosine of tf-idf vectors for every (query, document) sharing a term."""
-    qv = bounded_broadcast(tfidf_query_vectors(model, queries).where(F.col("wq") > 0))
+    qv = maybe_broadcast(small, tfidf_query_vectors(model, queries, small).where(F.col("wq") > 0))
     wd = F.col("tf").cast("double") * F.col("idf")
     dots = (model.index.postings.join(qv, "token")
-            .groupBy("query_id", "doc_key", "doc_id")
+            .groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("wq") * wd).alias("dot"), F.max("qnorm").alias("qnorm")))
-    return (dots.join(model.doc_norm.drop("doc_id"), "doc_key")
+    return (dots.join(model.doc_norm, "doc_id")
             .select("query_id", "doc_id",
                     F.when(F.col("qnorm") * F.col("norm") > 0,
                            F.col("dot") / (F.col("qnorm") * F.col("norm")))
                     .otherwise(F.lit(0.0)).alias("score")))
 
 
-def tfidf_search(model: TfidfModel, queries: DataFrame, k: int) -> DataFrame:
+def tfidf_search(model: TfidfModel, queries: DataFrame, k: int, small: bool | None = None) -> DataFrame:
     """U1 default encoder: tf-idf cosine top-k. Ranks the whole corpus like a dense
     retriever: ties and zero-similarity fill go to the larger doc_id first."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    scored = tfidf_scores(model, queries)
+    scored = tfidf_scores(model, queries, small)
     out = zero_backfill(scored, nonblank(queries), model.index.corpus, k, ascending=False)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..operators import consensus as consensus_ops
 from ..operators import dense, fusion, ground_truth, lexical
-from ..session import checkpoint_root
+from ..functions.text import std_tokens, ws_tokens
+from ..operators.common import DEFAULT_BROADCAST_ROWS
+from ..session import checkpoint_root, write_bucketed
 from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
@@ -59,9 +61,22 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name)
 
+    @staticmethod
+    def bucket(df: DataFrame, name: str) -> DataFrame:
+        """Materialise a document-keyed stage as a table bucketed by ``doc_id``."""
+        return write_bucketed(df, name, "doc_id")
+
     @cached_property
     def corpus(self) -> DataFrame:
-        return self.cut(tables.corpus(self.spark, self.sf_dir))
+        return self.bucket(tables.corpus(self.spark, self.sf_dir), "corpus")
+
+    @cached_property
+    def small(self) -> bool:
+        """One size check for every query-derived join side: the query token rows
+        (the largest such side) must fit the broadcast bound."""
+        q = tables.nonblank(self.queries)
+        n = q.agg(F.sum(F.size(ws_tokens("text")) + F.size(std_tokens("text")))).first()[0] or 0
+        return int(n) <= DEFAULT_BROADCAST_ROWS
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -69,18 +84,26 @@ class Fixtures:
 
     @cached_property
     def ws_index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.corpus, lexical.WS, materialize=self.cut)
+        return lexical.build_index(self.corpus, lexical.WS, materialize=self._index_table("ws"))
 
     @cached_property
     def std_index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.corpus, lexical.STD, materialize=self.cut)
+        return lexical.build_index(self.corpus, lexical.STD, materialize=self._index_table("std"))
 
     @cached_property
     def tfidf(self) -> lexical.TfidfModel:
-        return lexical.build_tfidf(self.std_index, materialize=self.cut)
+        return lexical.build_tfidf(self.std_index, materialize=lambda df: self.bucket(df, "doc_norm"))
+
+    def _index_table(self, kind: str):
+        """Postings are bucketed by doc_id; the vocabulary table is checkpointed."""
+        def materialize(df: DataFrame) -> DataFrame:
+            if "doc_id" in df.columns:
+                return self.bucket(df, f"postings_{kind}")
+            return self.cut(df)
+        return materialize
 
     def bm25(self, k: int | None = None) -> DataFrame:
-        return lexical.bm25_search(self.ws_index, self.queries, k or self.k)
+        return lexical.bm25_search(self.ws_index, self.queries, k or self.k, small=self.small)
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -88,21 +111,21 @@ class Fixtures:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        q = ground_truth.qrels(self.corpus, self.queries, self.table("labels"), self.pool)
+        q = ground_truth.qrels(self.corpus, self.queries, self.table("labels"), self.pool, small=self.small)
         return self.cut(q)
 
     def with_retriever(self, df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("retriever"), *df.columns)
 
     def match(self, k: int | None = None) -> DataFrame:
-        return lexical.match_search(self.std_index, self.queries, k or self.k)
+        return lexical.match_search(self.std_index, self.queries, k or self.k, small=self.small)
 
     def tfidf_run(self, k: int | None = None) -> DataFrame:
-        return lexical.tfidf_search(self.tfidf, self.queries, k or self.k)
+        return lexical.tfidf_search(self.tfidf, self.queries, k or self.k, small=self.small)
 
     def hybrid(self, k: int | None = None) -> DataFrame:
         k = k or self.k
-        return fusion.hybrid_rerank(self.tfidf, self.queries, self.bm25(k), self.match(k), k)
+        return fusion.hybrid_rerank(self.tfidf, self.queries, self.bm25(k), self.match(k), k, small=self.small)
 
     @cached_property
     def base_runs(self) -> DataFrame:
@@ -129,13 +152,14 @@ class Fixtures:
 
     @cached_property
     def judged(self) -> DataFrame:
-        j = consensus_ops.judge_pairs(self.runs, self.corpus, self.queries)
+        j = consensus_ops.judge_pairs(self.runs, self.corpus, self.queries, small=self.small)
         return self.cut(j)
 
     def consensus(self, tie_break: str = "text") -> DataFrame:
         if tie_break not in self._consensus:
             self._consensus[tie_break] = self.cut(consensus_ops.consensus(
-                self.judged, self.rrf, self.corpus, self.queries, self.k, tie_break=tie_break))
+                self.judged, self.rrf, self.corpus, self.queries, self.k, tie_break=tie_break,
+                small=self.small))
         return self._consensus[tie_break]
 
     @cached_property

@@ -57,3 +57,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the checkpoint root for an intermediate table."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def write_bucketed(df, name: str, key: str, n_buckets: int | None = None):
+    """Write ``df`` as a parquet table bucketed by ``key`` under the checkpoint root.
+
+    Reading it back, Spark knows the rows are hash-partitioned by ``key``, so
+    joins and aggregations keyed by it (and by supersets of it) run without a
+    shuffle; the write also cuts the lineage like a checkpoint.
+    """
+    spark = df.sparkSession
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"rageval_{name}_{uuid.uuid4().hex[:10]}"
+    (df.write.format("parquet").bucketBy(n, key).option("path", path)
+       .mode("overwrite").saveAsTable(table))
+    return spark.table(table)

@@ -29,23 +29,23 @@ def min_words(df: DataFrame, text_col: str = "text", min_exclusive: int = MIN_WO
 
 
 def dedupe_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct text, keeping the smallest id.
-
-    Grouped by the SHA-256 of the text (the ``doc_key``), so the shuffle key is
-    32 bytes however long the text is and uniformly spread. The aggregate is
-    declarative, so copies of a text collapse in the map-side partial
-    aggregation before the shuffle: a text repeated in a third of all rows
-    still sends one row per map task. The output stays hash-partitioned by
-    ``doc_key``; operators keyed by document group on it without a reshuffle.
+    """One row per distinct text, keeping the smallest id (ids are unique per row).
+
+    The keep-list is computed on a narrow projection -- (SHA-256 of the text,
+    id) -- so the only thing shuffled for grouping is 40 bytes per row, and
+    the aggregate is partial: copies of a text collapse in the map task, so a
+    text repeated in a third of all rows still sends one row per task. The
+    texts themselves move once, in the semi-join by id, which leaves the
+    corpus hash-partitioned by ``doc_id``.
     """
-    keyed = df.select(F.unhex(F.sha2(F.col(text_col), 256)).alias("doc_key"),
-                      F.col(id_col), F.col(text_col))
-    return (keyed.groupBy("doc_key")
-            .agg(F.min(id_col).alias(id_col), F.min_by(text_col, id_col).alias(text_col)))
+    h = F.sha2(F.col(text_col), 256)
+    keep = (df.select(h.alias("h"), F.col(id_col))
+            .groupBy("h").agg(F.min(id_col).alias(id_col)).select(id_col))
+    return df.select(id_col, text_col).join(keep, id_col, "left_semi")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``corpus(doc_key, doc_id, text)``: documents with > 50 words, deduplicated by text."""
+    """``corpus(doc_id, text)``: documents with > 50 words, deduplicated by text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedupe_texts(min_words(docs))
 
