@@ -196,11 +196,7 @@ def micro_metrics(spark, sf_dir):
 @register("best_retriever_docs")
 def best_retriever_docs(spark, sf_dir):
     """The pairs of the retriever with the best macro F1 (ties: retriever order)."""
-    fx = fixtures(spark, sf_dir)
-    board = metrics.macro_metrics(fx.all_runs, fx.qrels).join(fx.retriever_dim(), "retriever")
-    best = board.orderBy(F.col("f1_score").desc(), "retriever_idx").limit(1).select("retriever")
-    return (fx.all_runs.join(best, "retriever", "left_semi").where(F.col("doc_id").isNotNull())
-            .select("retriever", "query_id", "doc_id", "rank"))
+    return fixtures(spark, sf_dir).best_pairs
 
 
 @register("ppi_estimate")
@@ -215,3 +211,313 @@ def ppi_estimate(spark, sf_dir):
     docs = fx.table("documents").select("doc_id", (word_count("text") > 50).cast("int").alias("f"))
     labels = fx.table("labels").select("doc_id", F.col("quality").alias("y"))
     return metrics.ppi_estimate(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id"))
+
+
+# --- cleaning, sets, scalar functions ---------------------------------------------
+
+from ..functions import text as T  # noqa: E402
+from ..operators import generate, router  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import tables, tsv  # noqa: E402
+
+RAW_PAIRS_SCHEMA = ("query_id long, doc_id long, Query string, Document string, "
+                    "Context_Relevance_Label string")
+
+
+def raw_judged_pairs(fx) -> DataFrame:
+    """The judged-pairs file as the original pipeline reads it: BM25 depth-10 pool
+    with texts and a text label ([[Yes]] / [[No]] when judged, 'N/A' for an
+    unjudged labelled document, 'None' otherwise)."""
+    labelled = fx.table("labels").select("doc_id").distinct().withColumn("has_label", F.lit(1))
+    lab = F.when(F.col("label") == 1, F.lit(T.LABEL_YES)).when(F.col("label") == 0, F.lit(T.LABEL_NO)) \
+        .when(F.col("has_label") == 1, F.lit("N/A")).otherwise(F.lit("None"))
+    return (fx.pool.select("query_id", "doc_id")
+            .join(fx.qrels, ["query_id", "doc_id"], "left")
+            .join(labelled, "doc_id", "left")
+            .join(fx.queries.select("query_id", F.col("text").alias("Query")), "query_id")
+            .join(fx.corpus.select("doc_id", F.col("text").alias("Document")), "doc_id")
+            .select("query_id", "doc_id", "Query", "Document", lab.alias("Context_Relevance_Label")))
+
+
+@register("scan_tsv")
+def scan_tsv(spark, sf_dir):
+    """Judged pairs written as TSV (quoted, multi-line) and read back with a schema."""
+    fx = fixtures(spark, sf_dir)
+    path = scratch_path(spark, "judged_pairs.tsv")
+    tsv.write_tsv(raw_judged_pairs(fx), path)
+    return tsv.read_tsv(spark, path, RAW_PAIRS_SCHEMA)
+
+
+@register("clean_pairs")
+def clean_pairs(spark, sf_dir):
+    """Drop NA-like labels, parse the rest to 0/1."""
+    raw = scan_tsv(spark, sf_dir)
+    lab = T.label_to_int("Context_Relevance_Label")
+    return raw.select("query_id", "doc_id", lab.alias("label")).dropna(subset=["label"])
+
+
+@register("parse_labels")
+def parse_labels(spark, sf_dir):
+    """Few-shot examples (user turn, next assistant turn, [[Yes]]/[[No]]) round-tripped
+    through TSV and parsed; the label says whether the answer covers half the question's terms."""
+    from ..operators.consensus import coverage
+    conv = fixtures(spark, sf_dir).table("conversations")
+    u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("Query"))
+    a = conv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("Answer"))
+    ex = u.join(a, ["conv_id", "turn"]).withColumn(
+        "Answer_Relevance_Label",
+        F.when(coverage("Query", "Answer") >= 0.5, F.lit(T.LABEL_YES)).otherwise(F.lit(T.LABEL_NO)))
+    path = scratch_path(spark, "few_shot.tsv")
+    tsv.write_tsv(ex, path)
+    back = tsv.read_tsv(spark, path, "conv_id long, turn long, Query string, Answer string, "
+                                     "Answer_Relevance_Label string")
+    tsv.require_columns(back, ["Query", "Answer", "Answer_Relevance_Label"])
+    return back.select("conv_id", "turn", T.parse_yes_no("Answer_Relevance_Label").alias("answer_relevance"))
+
+
+@register("min_words")
+def min_words(spark, sf_dir):
+    """Documents with strictly more than 50 whitespace words."""
+    docs = fixtures(spark, sf_dir).table("documents")
+    return tables.min_words(docs).select("doc_id", T.word_count("text").alias("n_words"))
+
+
+@register("distinct_docs")
+def distinct_docs(spark, sf_dir):
+    """One id per distinct kept text (the smallest) and how many rows carried it."""
+    docs = tables.min_words(fixtures(spark, sf_dir).table("documents"))
+    return (docs.groupBy(F.sha2("text", 256).alias("h"))
+            .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+            .select("doc_id", "n_copies"))
+
+
+@register("distinct_queries")
+def distinct_queries(spark, sf_dir):
+    """Distinct query texts (smallest id kept)."""
+    q = fixtures(spark, sf_dir).queries
+    return q.groupBy("text").agg(F.min("query_id").alias("query_id")).select("query_id", "text")
+
+
+@register("first_n_queries")
+def first_n_queries(spark, sf_dir):
+    """The first 1000 distinct queries in order of appearance (the cap is the feature)."""
+    q = distinct_queries(spark, sf_dir)
+    return q.orderBy("query_id").limit(tables.DEFAULT_QUERY_CAP)
+
+
+@register("semi_queries")
+def semi_queries(spark, sf_dir):
+    """Pooled results kept only for queries that have a relevant document."""
+    fx = fixtures(spark, sf_dir)
+    pos = fx.qrels.where(F.col("label") == 1).select("query_id")
+    return fx.pool.join(pos, "query_id", "left_semi").select("query_id", "doc_id", "rank")
+
+
+def _as_list(col="doc_id") -> "F.Column":
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", col))),
+                                    lambda s: s[col].cast("string")), ",")
+
+
+@register("blank_query_guard")
+def blank_query_guard(spark, sf_dir):
+    """Every query listed; blank ones get an empty result, never an error."""
+    fx = fixtures(spark, sf_dir)
+    res = fx.bm25().groupBy("query_id").agg(_as_list().alias("doc_ids"), F.count(F.lit(1)).alias("n_results"))
+    return (fx.queries.select("query_id", T.is_blank("text").cast("int").alias("is_blank"))
+            .join(res, "query_id", "left")
+            .select("query_id", "is_blank", F.coalesce("doc_ids", F.lit("")).alias("doc_ids"),
+                    F.coalesce("n_results", F.lit(0)).alias("n_results")))
+
+
+@register("runs_as_lists")
+def runs_as_lists(spark, sf_dir):
+    """A5: documents per (retriever, query) as an ordered list (joined as text)."""
+    r = fixtures(spark, sf_dir).runs
+    return r.groupBy("retriever", "query_id").agg(_as_list().alias("doc_ids"))
+
+
+@register("explode_runs")
+def explode_runs(spark, sf_dir):
+    """nested lists back to one row per (query, document) with the position as rank."""
+    r = fixtures(spark, sf_dir).runs
+    lists = r.groupBy("retriever", "query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"])
+        .alias("docs"))
+    return lists.select("retriever", "query_id", F.posexplode("docs").alias("pos", "doc_id")) \
+        .select("retriever", "query_id", "doc_id", (F.col("pos") + 1).cast("int").alias("rank"))
+
+
+@register("scalar_text")
+def scalar_text(spark, sf_dir):
+    """Token counts, blank test, prompt length, capped token count."""
+    q = fixtures(spark, sf_dir).queries
+    return q.select("query_id",
+                    F.size(T.ws_tokens("text")).alias("n_ws_tokens"),
+                    F.size(T.std_tokens("text")).alias("n_std_tokens"),
+                    T.is_blank("text").cast("int").alias("is_blank"),
+                    F.length(T.prompt("text", F.lit(""))).alias("prompt_chars"),
+                    F.size(T.token_cap(T.ws_tokens("text"), T.std_tokens("text"), 16)).alias("capped_tokens"))
+
+
+@register("missing_queries")
+def missing_queries(spark, sf_dir):
+    """Per retriever, the queries it returned nothing for."""
+    from .fixtures import ALL_RETRIEVERS
+    fx = fixtures(spark, sf_dir)
+    runs = fx.all_runs
+    out = None
+    for name in ALL_RETRIEVERS:
+        m = (fx.queries.select("query_id")
+             .join(runs.where(F.col("retriever") == name).select("query_id"), "query_id", "left_anti")
+             .select(F.lit(name).alias("retriever"), "query_id"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("missing_members")
+def missing_members(spark, sf_dir):
+    """Expected retrievers and models against what the stored results contain."""
+    from .fixtures import ALL_RETRIEVERS
+    fx = fixtures(spark, sf_dir)
+    expected = spark.createDataFrame(
+        [(n, "retriever") for n in ALL_RETRIEVERS] + [(n, "llm") for n in generate.PROVIDERS],
+        "member string, kind string")
+    present = (fx.all_runs.select(F.col("retriever").alias("member")).distinct()
+               .unionByName(fx.answers.select(F.col("llm").alias("member")).distinct())
+               .withColumn("present", F.lit(1)))
+    return (expected.join(present, "member", "left")
+            .select("member", "kind", F.coalesce("present", F.lit(0)).alias("present")))
+
+
+RUN_SCHEMA = "query_id long, doc_id long, rank int"
+
+
+@register("scan_runs_dir")
+def scan_runs_dir(spark, sf_dir):
+    """One TSV folder per retriever, read back with one glob; name from the path."""
+    fx = fixtures(spark, sf_dir)
+    d = scratch_path(spark, "runs")
+    for name in ("bm25", "tfidf", "match", "hybrid", "rrf"):
+        tsv.write_tsv(fx.runs.where(F.col("retriever") == name).select("query_id", "doc_id", "rank"),
+                      f"{d}/{name}_results.tsv")
+    return tsv.read_suffix_dir(spark, d, "_results.tsv", RUN_SCHEMA) \
+        .select("retriever", "query_id", "doc_id", "rank")
+
+
+@register("scan_judged_dir")
+def scan_judged_dir(spark, sf_dir):
+    """S3: judged files by suffix, the fusion file excluded, required columns checked."""
+    fx = fixtures(spark, sf_dir)
+    d = scratch_path(spark, "judged")
+    for name in ("bm25", "tfidf", "match", "hybrid", "rrf"):
+        tsv.write_tsv(fx.judged.where(F.col("retriever") == name)
+                      .select("query_id", "doc_id", "rank", "prediction"), f"{d}/{name}_ares_scores.tsv")
+    df = tsv.read_suffix_dir(spark, d, "_ares_scores.tsv",
+                             "query_id long, doc_id long, rank int, prediction int", exclude=("rrf",))
+    tsv.require_columns(df, ["query_id", "doc_id", "prediction"])
+    return df.select("retriever", "query_id", "doc_id", "rank", "prediction")
+
+
+@register("incremental_backfill")
+def incremental_backfill(spark, sf_dir):
+    """Stage outputs are written only if absent; a second pass computes only the
+    retrievers the folder lacks (anti-join of the expected set with what is stored)."""
+    from .fixtures import BASE_RETRIEVERS
+    fx = fixtures(spark, sf_dir)
+    d = scratch_path(spark, "backfill")
+    for name in ("bm25", "match"):                       # first pass
+        tsv.write_tsv(fx.runs.where(F.col("retriever") == name).select("query_id", "doc_id", "rank"),
+                      f"{d}/{name}_results.tsv", mode="ignore")
+    stored = tsv.read_suffix_dir(spark, d, "_results.tsv", RUN_SCHEMA)
+    expected = spark.createDataFrame([(n,) for n in BASE_RETRIEVERS], "retriever string")
+    todo = [r["retriever"] for r in tsv.missing_work(expected, stored, ["retriever"]).collect()]
+    for name in todo:                                    # second pass: only what is missing
+        tsv.write_tsv(fx.runs.where(F.col("retriever") == name).select("query_id", "doc_id", "rank"),
+                      f"{d}/{name}_results.tsv", mode="ignore")
+    return tsv.read_suffix_dir(spark, d, "_results.tsv", RUN_SCHEMA) \
+        .select("retriever", "query_id", "doc_id", "rank")
+
+
+# --- generation and routing ------------------------------------------------------
+
+
+@register("generate_answers")
+def generate_answers(spark, sf_dir):
+    """Every model answers every pair of the best retriever."""
+    return fixtures(spark, sf_dir).answers.select("llm", "query_id", "doc_id", "answer")
+
+
+@register("llm_scores")
+def llm_scores(spark, sf_dir):
+    """Mean judged answer relevance per model."""
+    return generate.llm_scores(fixtures(spark, sf_dir).judged_answers)
+
+
+@register("best_llm")
+def best_llm(spark, sf_dir):
+    """The best model overall (ties to the earlier model)."""
+    return generate.best_llm(generate.llm_scores(fixtures(spark, sf_dir).judged_answers))
+
+
+@register("router_training_rows")
+def router_training_rows(spark, sf_dir):
+    """Best model per (query, document) and its label index."""
+    return fixtures(spark, sf_dir).training_rows
+
+
+@register("hash_split")
+def hash_split(spark, sf_dir):
+    """U4: stable 80/20 train/validation split by the md5 of the pair key."""
+    return router.hash_split(fixtures(spark, sf_dir).training_rows).select("query_id", "doc_id", "split")
+
+
+@register("baseline_routing")
+def baseline_routing(spark, sf_dir):
+    """BM25 top-1 per query answered by one fixed model."""
+    fx = fixtures(spark, sf_dir)
+    return fx.baseline_answers.select("query_id", "doc_id", "answer")
+
+
+@register("routing_eval")
+def routing_eval(spark, sf_dir):
+    """Baseline vs oracle routing, each judged for context and answer relevance,
+    scored by prediction-powered inference against the judged pairs."""
+    return fixtures(spark, sf_dir).routing_eval()
+
+
+@register("error_isolation")
+def error_isolation(spark, sf_dir):
+    """An external answer function that fails on some rows; failures are kept as rows."""
+    fx = fixtures(spark, sf_dir)
+    rows = generate.prompts(fx.best_pairs, fx.corpus, fx.queries).withColumn("llm", F.lit("first_line"))
+    out = generate.answer_with_fn(rows, first_line_or_fail)
+    return out.select("llm", "query_id", "doc_id", "answer", F.col("error").isNotNull().cast("int").alias("failed"))
+
+
+FIRST_LINE_LIMIT = 300
+
+
+def first_line_or_fail(llm, prompts):
+    """A stand-in external model: answers with the document's first line and raises
+    on documents whose first line is longer than 300 characters."""
+    import pandas as pd
+    out = []
+    for p in prompts:
+        line = p.split(T.PROMPT_DOCUMENT, 1)[1].split("\n")[0]
+        if len(line) > FIRST_LINE_LIMIT:
+            raise ValueError("document line too long")
+        out.append(line)
+    return pd.Series(out)
+
+
+@register("router_eval")
+def router_eval(spark, sf_dir):
+    """Validation log-loss and accuracy of the trained router per setting."""
+    return fixtures(spark, sf_dir).router[1]
+
+
+@register("dynamic_routing")
+def dynamic_routing(spark, sf_dir):
+    """P5/U8: route each best-retriever pair with the trained router, then answer."""
+    return fixtures(spark, sf_dir).dynamic_routing()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import consensus as consensus_ops
-from ..operators import dense, fusion, ground_truth, lexical
+from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, router
 from ..functions.text import std_tokens, ws_tokens
 from ..operators.common import DEFAULT_BROADCAST_ROWS
 from ..session import checkpoint_root, write_bucketed
@@ -31,6 +31,7 @@ POOL_DEPTH = 10         # judging pool depth for negatives
 BASE_RETRIEVERS = ("bm25", "tfidf", "match", "hybrid")
 ALL_RETRIEVERS = BASE_RETRIEVERS + ("rrf", "consensus")
 DENSE_B_DIMS = 32       # encoder B stand-in: the first 32 embedding dimensions
+ROUTING_TOP_K = 1       # fixed value: routing retrieves the top 1 document
 
 _CACHE: dict = {}
 
@@ -177,3 +178,75 @@ class Fixtures:
     def dense(self, dims: int | None = None, k: int | None = None) -> DataFrame:
         emb_q, emb_d = tables.embedding_roles(self.spark, self.sf_dir, dims)
         return dense.dense_search(emb_q, emb_d, k or self.k)
+
+    # --- best retriever, answers and routing ------------------------------------------
+
+    @cached_property
+    def best_pairs(self) -> DataFrame:
+        """(query_id, doc_id, rank) of the retriever with the best macro F1."""
+        board = metrics.macro_metrics(self.all_runs, self.qrels).join(self.retriever_dim(), "retriever")
+        best = board.orderBy(F.col("f1_score").desc(), "retriever_idx").limit(1).select("retriever")
+        pairs = (self.all_runs.join(best, "retriever", "left_semi").where(F.col("doc_id").isNotNull())
+                 .select("retriever", "query_id", "doc_id", "rank"))
+        return self.cut(pairs)
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        return self.cut(generate.generate_answers(self.best_pairs, self.corpus, self.queries))
+
+    @cached_property
+    def judged_answers(self) -> DataFrame:
+        return self.cut(generate.judge_answers(self.answers, self.queries))
+
+    @cached_property
+    def training_rows(self) -> DataFrame:
+        return self.cut(generate.best_per_pair(self.judged_answers))
+
+    @cached_property
+    def baseline_answers(self) -> DataFrame:
+        """BM25 top-1 answered by the first model."""
+        top1 = self.bm25(ROUTING_TOP_K)
+        ans = generate.generate_answers(top1, self.corpus, self.queries, names=generate.PROVIDERS[:1])
+        return self.cut(ans)
+
+    def routing_eval(self) -> DataFrame:
+        from ..operators.consensus import coverage
+        oracle = (self.judged_answers.join(self.training_rows.select("query_id", "doc_id", "label"),
+                                           ["query_id", "doc_id"])
+                  .where(F.col("llm_idx") == F.col("label"))
+                  .select(F.lit("oracle").alias("routing"), "query_id", "doc_id", "answer",
+                          F.col("prediction").alias("answer_pred")))
+        base = (generate.judge_answers(self.baseline_answers, self.queries)
+                .select(F.lit("baseline").alias("routing"), "query_id", "doc_id", "answer",
+                        F.col("prediction").alias("answer_pred")))
+        both = oracle.unionByName(base)
+        ctx = (both.join(self.queries.select("query_id", F.col("text").alias("qtext")), "query_id")
+               .join(self.corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
+               .withColumn("context_pred", (coverage("qtext", "dtext") >= 0.5).cast("int")))
+        rows = ctx.select("routing", "query_id", "doc_id", F.inline(F.array(
+            F.struct(F.lit("Context_Relevance_Label").alias("label_kind"), F.col("context_pred").alias("f")),
+            F.struct(F.lit("Answer_Relevance_Label").alias("label_kind"), F.col("answer_pred").alias("f")))))
+        gold = self.qrels.select("query_id", "doc_id", F.col("label").alias("y"))
+        labelled = rows.join(gold, ["query_id", "doc_id"])
+        unlabelled = rows.join(gold, ["query_id", "doc_id"], "left_anti")
+        return metrics.ppi_estimate(unlabelled, labelled, ["routing", "label_kind"])
+
+    @cached_property
+    def router(self):
+        """The router pipeline fitted on the train split; (model, validation table)."""
+        rows = router.hash_split(self.training_rows)
+        feats = router.router_features(rows, self.corpus, self.queries).withColumn(
+            "label", F.col("label").cast("double"))
+        train = self.cut(feats.where(F.col("split") == "train"))
+        val = self.cut(feats.where(F.col("split") == "validation"))
+        return router.train_router(train, val)
+
+    def dynamic_routing(self) -> DataFrame:
+        """P5/U8: route the best-retriever pairs, answer with the chosen model."""
+        model = self.router[0]
+        feats = router.router_features(self.best_pairs.select("query_id", "doc_id"), self.corpus, self.queries)
+        routed = router.route(model, feats, generate.llm_dim(self.spark))
+        answer = F.lit(None).cast("string")
+        for n in generate.PROVIDERS:
+            answer = F.when(F.col("llm") == n, generate.provider_answer(n, F.col("dtext"))).otherwise(answer)
+        return routed.select("query_id", "doc_id", F.trim(answer).alias("answer"), F.col("llm").alias("best_llm"))

@@ -216,6 +216,61 @@ cte("all_runs", ("runs5", "cons"), "SELECT retriever, retriever_idx, query_id, d
     "SELECT 'consensus', 5, query_id, doc_id, rank FROM cons")
 
 
+# --- best retriever, answers, routing --------------------------------------------
+NL = "chr(10)"
+
+
+def COVER(q: str, d: str) -> str:
+    """Share of distinct standard tokens of q found in d."""
+    return (f"(CASE WHEN len(list_distinct({STD(q)})) > 0 THEN len(list_intersect(list_distinct({STD(q)}), "
+            f"{STD(d)})) / len(list_distinct({STD(q)})) ELSE 0.0 END)")
+
+
+def ANSWER(llm: str, text: str) -> str:
+    lines = f"string_split({text}, {NL})"
+    if llm == "first_line":
+        return f"{lines}[1]"
+    if llm == "last_line":
+        return f"{lines}[-1]"
+    return f"list_reduce({lines}, lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END)"
+
+
+cte("board", ("all_runs", "qrels"), "SELECT * FROM (" + "{MACRO}" + ")")
+cte("best_pairs", ("all_runs", "board"), """
+SELECT retriever, query_id, doc_id, rank FROM all_runs WHERE doc_id IS NOT NULL AND retriever = (
+  SELECT b.retriever FROM board b JOIN
+    (VALUES ('bm25', 0), ('tfidf', 1), ('match', 2), ('hybrid', 3), ('rrf', 4), ('consensus', 5)) d(retriever, idx)
+    ON d.retriever = b.retriever ORDER BY b.f1_score DESC, d.idx LIMIT 1)""")
+cte("answers", ("best_pairs", "corpus"), f"""
+SELECT m.llm, m.llm_idx, p.query_id, p.doc_id, trim(CASE m.llm
+    WHEN 'first_line' THEN {ANSWER('first_line', 'c.text')}
+    WHEN 'last_line' THEN {ANSWER('last_line', 'c.text')}
+    ELSE {ANSWER('longest_line', 'c.text')} END) AS answer
+FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p JOIN corpus c ON c.doc_id = p.doc_id
+CROSS JOIN (VALUES ('first_line', 0), ('last_line', 1), ('longest_line', 2)) m(llm, llm_idx)""")
+cte("janswers", ("answers", "qs"), f"""
+SELECT a.*, CASE WHEN a.answer IS NULL THEN NULL WHEN {COVER('q.text', 'a.answer')} >= 0.5 THEN 1 ELSE 0 END
+  AS prediction FROM answers a JOIN qs q ON q.query_id = a.query_id""")
+cte("trows", ("janswers",), """
+SELECT query_id, doc_id, best_llm, label FROM (SELECT query_id, doc_id, llm AS best_llm, llm_idx AS label,
+  row_number() OVER (PARTITION BY query_id, doc_id ORDER BY prediction DESC, llm_idx ASC) AS rn
+  FROM janswers WHERE prediction IS NOT NULL) WHERE rn = 1""")
+cte("base_ans", ("qs_ok", "corpus", "m_bm25", "qs"), f"""
+SELECT b.query_id, b.doc_id, trim({ANSWER('first_line', 'c.text')}) AS answer,
+  CASE WHEN {COVER('q.text', 'trim(' + ANSWER('first_line', 'c.text') + ')')} >= 0.5 THEN 1 ELSE 0 END AS answer_pred
+FROM ({_bm25_ranked(1)}) b JOIN corpus c ON c.doc_id = b.doc_id JOIN qs q ON q.query_id = b.query_id""")
+cte("rows_", ("routed",), """
+SELECT routing, query_id, doc_id, 'Context_Relevance_Label' AS label_kind, context_pred AS f FROM routed
+UNION ALL SELECT routing, query_id, doc_id, 'Answer_Relevance_Label', answer_pred FROM routed""")
+cte("routed", ("janswers", "trows", "base_ans", "corpus", "qs"), f"""
+SELECT r.routing, r.query_id, r.doc_id, r.answer_pred,
+  CASE WHEN {COVER('q.text', 'c.text')} >= 0.5 THEN 1 ELSE 0 END AS context_pred
+FROM (SELECT 'oracle' AS routing, j.query_id, j.doc_id, j.prediction AS answer_pred FROM janswers j
+      JOIN trows t ON t.query_id = j.query_id AND t.doc_id = j.doc_id WHERE j.llm_idx = t.label
+      UNION ALL SELECT 'baseline', query_id, doc_id, answer_pred FROM base_ans) r
+JOIN qs q ON q.query_id = r.query_id JOIN corpus c ON c.doc_id = r.doc_id""")
+
+
 def macro_sql(runs_cte: str) -> str:
     """Macro precision/recall/F1 + error classes over a CTE (retriever, query_id, doc_id)."""
     return f"""
@@ -341,4 +396,85 @@ SELECT scope, n_unlabelled, n_labelled, round(mean_f, 6) AS judge_mean, round(go
        round(mean_f + mean_rect - 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_low,
        round(mean_f + mean_rect + 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_high
 FROM u FULL JOIN l USING (scope)"""
+    CTES["board"] = (CTES["board"][0], macro_sql("all_runs"))
+    raw = """
+SELECT p.query_id, p.doc_id, q.text AS Query, c.text AS Document,
+  CASE WHEN r.label = 1 THEN '[[Yes]]' WHEN r.label = 0 THEN '[[No]]'
+       WHEN p.doc_id IN (SELECT doc_id FROM labels) THEN 'N/A' ELSE 'None' END AS Context_Relevance_Label
+FROM (SELECT DISTINCT query_id, doc_id FROM bm25_pool) p LEFT JOIN qrels r ON r.query_id = p.query_id
+  AND r.doc_id = p.doc_id JOIN qs q ON q.query_id = p.query_id JOIN corpus c ON c.doc_id = p.doc_id"""
+    q["scan_tsv"] = sql(raw, "bm25_pool", "qrels", "qs", "corpus")
+    q["clean_pairs"] = sql(f"""SELECT query_id, doc_id, CASE WHEN Context_Relevance_Label = '[[Yes]]' THEN 1 ELSE 0 END
+  AS label FROM ({raw}) WHERE Context_Relevance_Label IN ('[[Yes]]', '[[No]]')""", "bm25_pool", "qrels", "qs", "corpus")
+    q["parse_labels"] = f"""
+SELECT u.conv_id, u.turn, CASE WHEN {COVER('u.text', 'a.text')} >= 0.5 THEN 1 ELSE 0 END AS answer_relevance
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'"""
+    q["min_words"] = (f"SELECT doc_id, CAST(len({WS('text')}) AS INTEGER) AS n_words FROM documents "
+                      f"WHERE len({WS('text')}) > {MIN_WORDS_EXCLUSIVE}")
+    q["distinct_docs"] = sql("SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM docs_ok GROUP BY text", "docs_ok")
+    q["distinct_queries"] = "SELECT min(item_id) AS query_id, text FROM benchmark GROUP BY text"
+    q["first_n_queries"] = ("SELECT query_id, text FROM (SELECT min(item_id) AS query_id, text FROM benchmark "
+                            "GROUP BY text) ORDER BY query_id LIMIT 1000")
+    q["semi_queries"] = sql("SELECT query_id, doc_id, rank FROM bm25_pool WHERE query_id IN "
+                            "(SELECT query_id FROM qrels WHERE label = 1)", "bm25_pool", "qrels")
+    q["blank_query_guard"] = sql(f"""
+SELECT b.item_id AS query_id, CAST(CASE WHEN {BLANK('b.text')} THEN 1 ELSE 0 END AS INTEGER) AS is_blank,
+  coalesce(r.doc_ids, '') AS doc_ids, coalesce(r.n, 0) AS n_results
+FROM benchmark b LEFT JOIN (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS doc_ids,
+  count(*) AS n FROM bm25_k GROUP BY query_id) r ON r.query_id = b.item_id""", "bm25_k")
+    q["runs_as_lists"] = sql("SELECT retriever, query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) "
+                             "AS doc_ids FROM runs5 GROUP BY retriever, query_id", "runs5")
+    q["explode_runs"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs5", "runs5")
+    q["scalar_text"] = f"""
+SELECT item_id AS query_id, CAST(len({WS('text')}) AS INTEGER) AS n_ws_tokens,
+  CAST(len({STD('text')}) AS INTEGER) AS n_std_tokens,
+  CAST(CASE WHEN {BLANK('text')} THEN 1 ELSE 0 END AS INTEGER) AS is_blank,
+  CAST(length('Query: ' || text || {NL} || 'Document: ' || {NL} || 'Answer:') AS INTEGER) AS prompt_chars,
+  CAST(least(16, len({WS('text')}) + len({STD('text')})) AS INTEGER) AS capped_tokens FROM benchmark"""
+    dim6 = "(VALUES ('bm25'), ('tfidf'), ('match'), ('hybrid'), ('rrf'), ('consensus')) d(retriever)"
+    q["missing_queries"] = sql(f"""
+SELECT d.retriever, b.item_id AS query_id FROM {dim6} CROSS JOIN benchmark b
+WHERE NOT EXISTS (SELECT 1 FROM all_runs r WHERE r.retriever = d.retriever AND r.query_id = b.item_id)""", "all_runs")
+    q["missing_members"] = sql("""
+SELECT e.member, e.kind, CASE WHEN e.member IN (SELECT retriever FROM all_runs UNION SELECT llm FROM answers)
+  THEN 1 ELSE 0 END AS present
+FROM (VALUES ('bm25', 'retriever'), ('tfidf', 'retriever'), ('match', 'retriever'), ('hybrid', 'retriever'),
+             ('rrf', 'retriever'), ('consensus', 'retriever'), ('first_line', 'llm'), ('last_line', 'llm'),
+             ('longest_line', 'llm')) e(member, kind)""", "all_runs", "answers")
+    q["scan_runs_dir"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs5", "runs5")
+    q["scan_judged_dir"] = sql("SELECT retriever, query_id, doc_id, rank, prediction FROM judged "
+                               "WHERE retriever <> 'rrf'", "judged")
+    q["incremental_backfill"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs4", "runs4")
+    q["generate_answers"] = sql("SELECT llm, query_id, doc_id, answer FROM answers", "answers")
+    q["llm_scores"] = sql("SELECT llm, llm_idx, count(*) AS n_answers, count(prediction) AS n_scored, "
+                          "round(avg(prediction), 6) AS score FROM janswers GROUP BY llm, llm_idx", "janswers")
+    q["best_llm"] = sql("SELECT llm, score FROM (SELECT llm, llm_idx, round(avg(prediction), 6) AS score FROM janswers "
+                        "GROUP BY llm, llm_idx) WHERE score IS NOT NULL ORDER BY score DESC, llm_idx LIMIT 1", "janswers")
+    q["router_training_rows"] = sql("SELECT query_id, doc_id, best_llm, label FROM trows", "trows")
+    q["hash_split"] = sql("""
+SELECT query_id, doc_id, CASE WHEN (('0x' || substr(md5('42|' || CAST(query_id AS VARCHAR) || '|' ||
+  CAST(doc_id AS VARCHAR)), 1, 4))::INTEGER) % 100 < 20 THEN 'validation' ELSE 'train' END AS split
+FROM trows""", "trows")
+    q["baseline_routing"] = sql("SELECT query_id, doc_id, answer FROM base_ans", "base_ans")
+    q["routing_eval"] = sql("""
+SELECT coalesce(u.routing, l.routing) AS routing, coalesce(u.label_kind, l.label_kind) AS label_kind,
+  n_unlabelled, n_labelled, round(mean_f, 6) AS judge_mean, round(gold_mean, 6) AS gold_mean,
+  round(mean_f + mean_rect, 6) AS estimate,
+  round(mean_f + mean_rect - 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_low,
+  round(mean_f + mean_rect + 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_high
+FROM (SELECT routing, label_kind, count(*) AS n_unlabelled, avg(f) AS mean_f, var_pop(f) AS var_f FROM rows_
+      WHERE NOT EXISTS (SELECT 1 FROM qrels g WHERE g.query_id = rows_.query_id AND g.doc_id = rows_.doc_id)
+      GROUP BY routing, label_kind) u
+FULL JOIN (SELECT r.routing, r.label_kind, count(*) AS n_labelled, avg(g.label - r.f) AS mean_rect,
+                  var_pop(g.label - r.f) AS var_rect, avg(g.label) AS gold_mean
+           FROM rows_ r JOIN qrels g ON g.query_id = r.query_id AND g.doc_id = r.doc_id
+           GROUP BY r.routing, r.label_kind) l
+ON u.routing = l.routing AND u.label_kind = l.label_kind""", "rows_")
+    q["error_isolation"] = sql(f"""
+SELECT 'first_line' AS llm, query_id, doc_id, CASE WHEN length(l) > 300 THEN NULL ELSE l END AS answer,
+  CASE WHEN length(l) > 300 THEN 1 ELSE 0 END AS failed
+FROM (SELECT DISTINCT p.query_id, p.doc_id, {ANSWER('first_line', 'c.text')} AS l FROM best_pairs p
+      JOIN corpus c ON c.doc_id = p.doc_id)""", "best_pairs", "corpus")
+    q["best_retriever_docs"] = sql("SELECT retriever, query_id, doc_id, rank FROM best_pairs", "best_pairs")
     return q
