@@ -29,19 +29,17 @@ def min_words(df: DataFrame, text_col: str = "text", min_exclusive: int = MIN_WO
 
 
 def dedupe_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct text, keeping the smallest id (ids are unique per row).
-
-    The keep-list is computed on a narrow projection -- (SHA-256 of the text,
-    id) -- so the only thing shuffled for grouping is 40 bytes per row, and
-    the aggregate is partial: copies of a text collapse in the map task, so a
-    text repeated in a third of all rows still sends one row per task. The
-    texts themselves move once, in the semi-join by id, which leaves the
-    corpus hash-partitioned by ``doc_id``.
+    """One row per distinct text, keeping the smallest id.
+
+    One pass: grouped by the SHA-256 of the text (a 32-byte, uniformly spread
+    key) with ``min(id)`` and ``min_by(text, id)``. The aggregate runs
+    partially in every map task first, so copies of a text collapse before
+    the shuffle -- a text repeated in a third of all rows still sends one row
+    per task -- and each distinct text crosses the network once.
     """
-    h = F.sha2(F.col(text_col), 256)
-    keep = (df.select(h.alias("h"), F.col(id_col))
-            .groupBy("h").agg(F.min(id_col).alias(id_col)).select(id_col))
-    return df.select(id_col, text_col).join(keep, id_col, "left_semi")
+    return (df.groupBy(F.sha2(F.col(text_col), 256).alias("h"))
+            .agg(F.min(id_col).alias(id_col), F.min_by(text_col, id_col).alias(text_col))
+            .select(id_col, text_col))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
