@@ -60,3 +60,14 @@ def read_suffix_dir(spark: SparkSession, directory: str, suffix: str, schema,
 def missing_work(expected: DataFrame, stored: DataFrame, keys) -> DataFrame:
     """The keys of ``expected`` that have no stored row -- only these need computing."""
     return expected.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A named result that may not exist -- missing means an empty table of the
+    schema (the feature using it is simply off), not an error."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return spark.createDataFrame([], schema)
+    return read_tsv(spark, path, schema)
