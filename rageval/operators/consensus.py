@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import std_tokens
+from ..session import ship_package
 from .common import maybe_broadcast, top_k
 
 # Default judge threshold and fallback ratio.
@@ -52,6 +53,8 @@ def judge_pairs(pairs: DataFrame, corpus: DataFrame, queries: DataFrame,
              .join(maybe_broadcast(small, queries.select("query_id", F.col("text").alias("qtext"))),
                    "query_id"))
     if judge_fn is not None:
+        ship_package(pairs.sparkSession)
+
         @F.pandas_udf("int")
         def ext(q: pd.Series, d: pd.Series) -> pd.Series:
             return pd.Series(judge_fn(q, d)).astype("int32")

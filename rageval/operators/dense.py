@@ -11,11 +11,14 @@ emits at most ``k x block`` rows. A final per-query top-k merges the batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import top_k
 
 # Largest query block, in float64 values (rows x dims), shipped to executors.
@@ -55,6 +58,7 @@ def dense_search(emb_q: DataFrame, emb_d: DataFrame, k: int,
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = emb_d.sparkSession
+    ship_package(spark)
     stats = emb_q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     n_q, dims = int(stats["n"]), int(stats["d"] or 0)
     if n_q == 0:
@@ -86,3 +90,20 @@ def _batch_topk_bc(bc, k: int):
         qids, qmat = bc.value
         yield from _batch_topk(qids, qmat, k)(batches)
     return run
+
+
+def embed_texts(df: DataFrame, text_col: str, encode_fn, out_col: str = "vec") -> DataFrame:
+    """Batch text embedding with a user encoder, as an iterator pandas UDF.
+
+    ``encode_fn(texts: list[str]) -> array-like (n, dims)``. The model is
+    created once per task by the caller's closure and applied per Arrow batch.
+    """
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            vecs = np.asarray(encode_fn(texts.fillna("").tolist()), dtype=np.float32)
+            yield pd.Series(list(vecs))
+
+    return df.withColumn(out_col, encode(F.col(text_col)))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_FAILED_ANSWER, prompt
+from ..session import ship_package
 from .common import top_k
 from .consensus import coverage
 
@@ -77,6 +78,8 @@ def answer_with_fn(rows: DataFrame, answer_fn: Callable, max_attempts: int = MAX
     rows are answered one by one so a single bad row only marks itself:
     ``answer`` null and ``error`` set. Nothing is dropped.
     """
+    ship_package(rows.sparkSession)
+
     def run(batches):
         for pdf in batches:
             out = []

@@ -20,7 +20,7 @@ from ..operators import consensus as consensus_ops
 from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, router
 from ..functions.text import std_tokens, ws_tokens
 from ..operators.common import DEFAULT_BROADCAST_ROWS
-from ..session import checkpoint_root, write_bucketed
+from ..session import checkpoint_root, ship_package, write_bucketed
 from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
@@ -52,6 +52,7 @@ class Fixtures:
         self.sf_dir = sf_dir
         self.k = k
         checkpoint_root(spark)
+        ship_package(spark)
         self._consensus: dict[str, DataFrame] = {}
 
     @staticmethod

@@ -73,3 +73,37 @@ def write_bucketed(df, name: str, key: str, n_buckets: int | None = None):
     (df.write.format("parquet").bucketBy(n, key).option("path", path)
        .mode("overwrite").saveAsTable(table))
     return spark.table(table)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rageval`` importable by Python workers (the programmatic ``--py-files``).
+
+    Functions run in ``mapInPandas`` / pandas UDFs refer to this package; the
+    zip is written once per application into the checkpoint folder and added
+    with ``addPyFile``.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    target = checkpoint_root(spark)
+    if "://" in target and not target.startswith("file:"):
+        local_dir = tempfile.mkdtemp(prefix="rageval-pkg-")   # driver-side staging only
+    else:
+        local_dir = target.replace("file:", "")
+    zpath = os.path.join(local_dir, f"rageval-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
