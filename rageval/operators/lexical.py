@@ -32,6 +32,8 @@ OKAPI_B = 0.75
 OKAPI_EPSILON = 0.25
 MATCH_K1 = 1.2
 MATCH_B = 0.75
+# Largest vocabulary (terms) broadcast when computing document norms.
+MAX_BROADCAST_TERMS = 1_000_000
 
 
 def tokenize(kind: str, text) -> "F.Column":
@@ -167,7 +169,11 @@ class TfidfModel:
 def build_tfidf(index: LexicalIndex, materialize=_persist) -> TfidfModel:
     """Document vector norms; the one place the whole postings table meets the term table."""
     w = F.col("tf").cast("double") * tfidf_idf(index)
-    norms = (index.postings.join(index.term_df, "token")
+    # Every posting needs its term's idf. The vocabulary is broadcast only when
+    # its size (known from the index statistics) is within the bound; beyond
+    # it the join is a sort-merge on token, where AQE splits stop-word skew.
+    terms = F.broadcast(index.term_df) if index.n_terms <= MAX_BROADCAST_TERMS else index.term_df
+    norms = (index.postings.join(terms, "token")
              .groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm")))
     if materialize is not None:
         norms = materialize(norms)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 VALIDATION_SHARE = 20
 SPLIT_SEED = "42"
 MAX_TOKENS = 512
-REG_GRID = (0.0, 0.01, 0.1)
+REG_GRID = (0.01, 0.1)
 
 
 def hash_bucket(*cols) -> "F.Column":
@@ -48,7 +48,7 @@ def router_pipeline(reg: float, n_features: int = 1 << 16) -> Pipeline:
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=n_features)
     idf = IDF(inputCol="tf", outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg,
-                            family="multinomial", maxIter=50)
+                            family="multinomial", maxIter=25)
     return Pipeline(stages=[tok, tf, idf, lr])
 
 
