@@ -54,6 +54,14 @@ class Fixtures:
         checkpoint_root(spark)
         ship_package(spark)
         self._consensus: dict[str, DataFrame] = {}
+        self._runs: dict[tuple, DataFrame] = {}
+
+    def _run(self, name: str, k: int, make) -> DataFrame:
+        """Each retriever run is computed once per (retriever, k) and checkpointed."""
+        key = (name, k)
+        if key not in self._runs:
+            self._runs[key] = self.cut(make(k))
+        return self._runs[key]
 
     @staticmethod
     def cut(df: DataFrame) -> DataFrame:
@@ -105,11 +113,12 @@ class Fixtures:
         return materialize
 
     def bm25(self, k: int | None = None) -> DataFrame:
-        return lexical.bm25_search(self.ws_index, self.queries, k or self.k, small=self.small)
+        return self._run("bm25", k or self.k,
+                         lambda kk: lexical.bm25_search(self.ws_index, self.queries, kk, small=self.small))
 
     @cached_property
     def pool(self) -> DataFrame:
-        return self.cut(self.bm25(POOL_DEPTH))
+        return self.bm25(POOL_DEPTH)
 
     @cached_property
     def qrels(self) -> DataFrame:
@@ -120,14 +129,17 @@ class Fixtures:
         return df.select(F.lit(name).alias("retriever"), *df.columns)
 
     def match(self, k: int | None = None) -> DataFrame:
-        return lexical.match_search(self.std_index, self.queries, k or self.k, small=self.small)
+        return self._run("match", k or self.k,
+                         lambda kk: lexical.match_search(self.std_index, self.queries, kk, small=self.small))
 
     def tfidf_run(self, k: int | None = None) -> DataFrame:
-        return lexical.tfidf_search(self.tfidf, self.queries, k or self.k, small=self.small)
+        return self._run("tfidf", k or self.k,
+                         lambda kk: lexical.tfidf_search(self.tfidf, self.queries, kk, small=self.small))
 
     def hybrid(self, k: int | None = None) -> DataFrame:
-        k = k or self.k
-        return fusion.hybrid_rerank(self.tfidf, self.queries, self.bm25(k), self.match(k), k, small=self.small)
+        return self._run("hybrid", k or self.k,
+                         lambda kk: fusion.hybrid_rerank(self.tfidf, self.queries, self.bm25(kk), self.match(kk),
+                                                         kk, small=self.small))
 
     @cached_property
     def base_runs(self) -> DataFrame:
