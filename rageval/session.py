@@ -85,6 +85,7 @@ def ship_package(spark: SparkSession) -> None:
     zip is written once per application into the checkpoint folder and added
     with ``addPyFile``.
     """
+    import io
     import os
     import zipfile
 
@@ -93,17 +94,20 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    target = checkpoint_root(spark)
-    if "://" in target and not target.startswith("file:"):
-        local_dir = tempfile.mkdtemp(prefix="rageval-pkg-")   # driver-side staging only
-    else:
-        local_dir = target.replace("file:", "")
-    zpath = os.path.join(local_dir, f"rageval-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
+    # Written through the Hadoop FileSystem API into the shared checkpoint
+    # folder, so it works for local paths and cluster file systems alike.
+    zpath = f"{checkpoint_root(spark)}/rageval-{uuid.uuid4().hex[:8]}.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(zpath)
+    out = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(hpath, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
     sc.addPyFile(zpath)
     _SHIPPED.add(sc.applicationId)
