@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..operators import consensus as consensus_ops
 from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, router
-from ..functions.text import std_tokens, ws_tokens
 from ..operators.common import DEFAULT_BROADCAST_ROWS
 from ..session import checkpoint_root, ship_package, write_bucketed
 from ..sources import tables
@@ -82,11 +81,11 @@ class Fixtures:
 
     @cached_property
     def small(self) -> bool:
-        """One size check for every query-derived join side: the query token rows
-        (the largest such side) must fit the broadcast bound."""
-        q = tables.nonblank(self.queries)
-        n = q.agg(F.sum(F.size(ws_tokens("text")) + F.size(std_tokens("text")))).first()[0] or 0
-        return int(n) <= DEFAULT_BROADCAST_ROWS
+        """One size check for every query-derived join side. The largest such side
+        is the query token rows; every token has at least one character, so twice
+        the total query length bounds it (whitespace plus standard tokens)."""
+        n = self.queries.agg(F.sum(F.length("text"))).first()[0] or 0
+        return 2 * int(n) <= DEFAULT_BROADCAST_ROWS
 
     @cached_property
     def queries(self) -> DataFrame:
