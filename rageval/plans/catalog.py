@@ -412,8 +412,8 @@ def scan_judged_dir(spark, sf_dir):
     d = scratch_path(spark, "judged")
     for name in ("bm25", "tfidf", "match", "hybrid", "rrf"):
         tsv.write_tsv(fx.judged.where(F.col("retriever") == name)
-                      .select("query_id", "doc_id", "rank", "prediction"), f"{d}/{name}_ares_scores.tsv")
-    df = tsv.read_suffix_dir(spark, d, "_ares_scores.tsv",
+                      .select("query_id", "doc_id", "rank", "prediction"), f"{d}/{name}_judged.tsv")
+    df = tsv.read_suffix_dir(spark, d, "_judged.tsv",
                              "query_id long, doc_id long, rank int, prediction int", exclude=("rrf",))
     tsv.require_columns(df, ["query_id", "doc_id", "prediction"])
     return df.select("retriever", "query_id", "doc_id", "rank", "prediction")
