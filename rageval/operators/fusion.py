@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import reciprocal_rank
@@ -25,8 +25,8 @@ def candidate_union(*runs: DataFrame) -> DataFrame:
         tagged = t if tagged is None else tagged.unionByName(t)
     first = (tagged.groupBy("query_id", "doc_id")
              .agg(F.min(F.struct("src", "rank")).alias("first")))
-    return top_k(first, "query_id", [F.col("first").asc()], 1 << 30, rank_col="cand_pos") \
-        .select("query_id", "doc_id", F.col("cand_pos").cast("int"))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("first").asc()))
+    return first.select("query_id", "doc_id", pos.cast("int").alias("cand_pos"))
 
 
 def pair_similarity(model: TfidfModel, queries: DataFrame, pairs: DataFrame, small: bool | None = None) -> DataFrame:
