@@ -120,3 +120,14 @@ def consensus_summary(result: DataFrame) -> DataFrame:
                      F.sum("n").cast("long").alias("total_rows"),
                      F.sum(F.col("s").cast("int")).cast("long").alias("queries_without_documents"),
                      F.sum(F.col("f").cast("int")).cast("long").alias("fallbacks_used"))
+
+
+def consensus_as_text(result: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """F10/X13 at the edge: (Query, Document) rows with the sentinel text for queries
+    left without documents -- the shape the consensus results file has."""
+    from ..functions.text import SENTINEL_DOCUMENT
+    return (result.join(corpus.select("doc_id", F.col("text").alias("Document")), "doc_id", "left")
+            .join(queries.select("query_id", F.col("text").alias("Query")), "query_id")
+            .select("query_id", "rank", "Query",
+                    F.coalesce("Document", F.lit(SENTINEL_DOCUMENT)).alias("Document"),
+                    (F.col("source") == "sentinel").cast("int").alias("is_sentinel")))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..operators import consensus as consensus_ops
 from ..operators import generate, metrics
+from ..sources import tsv
 from .fixtures import fixtures
 
 
@@ -31,6 +33,9 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, mode: str = "ov
         "routing_eval": fx.routing_eval(),                          # P6
     }
     paths = {}
+    text_path = f"{out_dir.rstrip('/')}/consensus_results.tsv"        # S8: the text file at the edge
+    tsv.write_tsv(consensus_ops.consensus_as_text(fx.consensus(), fx.corpus, fx.queries), text_path, mode)
+    paths["consensus_results.tsv"] = text_path
     for name, df in stages.items():
         path = f"{out_dir.rstrip('/')}/{name}"
         df.write.mode(mode).parquet(path)

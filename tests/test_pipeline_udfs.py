@@ -46,3 +46,9 @@ def test_whole_pipeline_writes_every_stage(spark):
     assert spark.read.parquet(paths["leaderboard"]).count() == 6
     assert spark.read.parquet(paths["best_llm"]).count() == 1
     assert spark.read.parquet(paths["routing_eval"]).count() >= 1
+    from rageval.sources import tsv
+    txt = tsv.read_tsv(spark, paths["consensus_results.tsv"],
+                       "query_id long, rank int, Query string, Document string, is_sentinel int")
+    sentinel = txt.where("is_sentinel = 1").collect()
+    assert all(r.Document == "No Relevant Information Available" for r in sentinel)
+    assert txt.count() == spark.read.parquet(paths["runs"]).where("retriever = 'consensus'").count()
