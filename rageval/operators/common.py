@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 # bound is checked before the hint is applied and beyond it the join is left to
 # the planner (sort-merge, with AQE skew splitting).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+# Scores are ranked at this many decimals. Sums of the same terms in another
+# order differ in the last bits; the original sums each document in query-term
+# order, so equal scores there are exact ties broken by position. Rounding
+# makes them ties here too, on every partitioning and engine.
+SCORE_DECIMALS = 10
+
+
+def rank_score(col="score") -> Column:
+    return F.round(F.col(col) if isinstance(col, str) else col, SCORE_DECIMALS)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -71,7 +80,7 @@ def zero_backfill(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: i
     ``L`` rows per query (a matched score wins over its zero copy) and a final
     top-``k`` give the exact result; the scores are computed once.
     """
-    order = [F.col("score").desc(), doc_order(ascending)]
+    order = [rank_score().desc(), doc_order(ascending)]
     nz = scored.where(F.col("score") != 0).select("query_id", "doc_id", "score")
     extra = 0
     if negatives_possible:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import top_k
+from .common import SCORE_DECIMALS, rank_score, top_k
 
 # Largest query block, in float64 values (rows x dims), shipped to executors.
 MAX_BLOCK_VALUES = 8_000_000
@@ -43,7 +43,7 @@ def _batch_topk(qids: np.ndarray, qmat: np.ndarray, k: int):
             sims = qmat @ dmat.T                                   # (Q, B)
             kk = min(k, sims.shape[1])
             # order: score desc, then doc_id desc (reversed argsort of the reference)
-            keys = (np.broadcast_to(-dids, sims.shape), -sims)
+            keys = (np.broadcast_to(-dids, sims.shape), -np.round(sims, SCORE_DECIMALS))
             order = np.lexsort(keys, axis=-1)[:, :kk]
             rows = np.repeat(np.arange(sims.shape[0]), kk)
             cols = order.reshape(-1)
@@ -81,7 +81,7 @@ def dense_search(emb_q: DataFrame, emb_d: DataFrame, k: int,
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    out = top_k(cand, "query_id", [F.col("score").desc(), F.col("doc_id").desc()], k)
+    out = top_k(cand, "query_id", [rank_score().desc(), F.col("doc_id").desc()], k)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")
 
 

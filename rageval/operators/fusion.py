@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import reciprocal_rank
-from .common import maybe_broadcast, top_k
+from .common import maybe_broadcast, rank_score, top_k
 from .lexical import TfidfModel, tfidf_query_vectors
 
 # Fixed value: the rank constant of reciprocal rank fusion (Cormack et al. 2009).
@@ -52,7 +52,7 @@ def hybrid_rerank(model: TfidfModel, queries: DataFrame, lexical_run: DataFrame,
     """BM25 list + match list -> ordered union -> rerank by similarity (stable) -> k."""
     cands = candidate_union(lexical_run, match_run)
     scored = pair_similarity(model, queries, cands, small)
-    out = top_k(scored, "query_id", [F.col("sim").desc(), F.col("cand_pos").asc()], k)
+    out = top_k(scored, "query_id", [rank_score("sim").desc(), F.col("cand_pos").asc()], k)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), F.col("sim").alias("score"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import (bm25_okapi_idf, bm25_plus_one_idf, bm25_term, std_tokens,
                               ws_tokens)
 from ..sources.tables import nonblank
-from .common import maybe_broadcast, top_k, zero_backfill
+from .common import maybe_broadcast, rank_score, top_k, zero_backfill
 
 WS = "whitespace"
 STD = "standard"
@@ -150,7 +150,7 @@ def match_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = MA
           .select("query_id", "token",
                   (F.col("qtf") * bm25_plus_one_idf(F.lit(index.n_docs), F.col("df"))).alias("wq")))
     scored = _match_scores(index, qw, k1, b, small).where(F.col("score") > 0)
-    out = top_k(scored, "query_id", [F.col("score").desc(), F.col("doc_id").asc()], k)
+    out = top_k(scored, "query_id", [rank_score().desc(), F.col("doc_id").asc()], k)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")
 
 

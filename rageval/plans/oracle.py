@@ -82,7 +82,7 @@ cte("m_bm25", ("qtf_ws", "idf_ws", "post_ws", "dl_ws", "st_ws"),
 def _bm25_ranked(k: int) -> str:
     return ("SELECT query_id, doc_id, rank, score FROM (SELECT q.query_id, c.doc_id, "
             "coalesce(m.score, 0.0) AS score, CAST(row_number() OVER (PARTITION BY q.query_id "
-            "ORDER BY coalesce(m.score, 0.0) DESC, c.doc_id ASC) AS INTEGER) AS rank "
+            "ORDER BY round(coalesce(m.score, 0.0), 10) DESC, c.doc_id ASC) AS INTEGER) AS rank "
             "FROM qs_ok q CROSS JOIN corpus c LEFT JOIN m_bm25 m ON m.query_id = q.query_id "
             f"AND m.doc_id = c.doc_id) WHERE rank <= {k}")
 
@@ -123,7 +123,7 @@ cte("m_match", ("qtf_std", "df_std", "post_std", "dl_std", "st_std"),
     "FROM qtf_std q JOIN df_std f USING (token) JOIN post_std p USING (token) "
     "JOIN dl_std d ON d.doc_id = p.doc_id CROSS JOIN st_std s GROUP BY q.query_id, p.doc_id")
 cte("match_k", ("m_match",), "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, "
-    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ASC) AS INTEGER) AS rank "
+    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id ASC) AS INTEGER) AS rank "
     f"FROM m_match WHERE score > 0) WHERE rank <= {K}")
 cte("idf_t", ("df_std", "st_std"), "SELECT token, ln((1.0 + s.n) / (1.0 + f.df)) + 1.0 AS idf FROM df_std f, st_std s")
 cte("dnorm", ("post_std", "idf_t"), "SELECT p.doc_id, sqrt(sum((p.tf * i.idf) * (p.tf * i.idf))) AS norm "
@@ -140,7 +140,7 @@ cte("cos_t", ("dots", "qn", "dnorm"), "SELECT d.query_id, d.doc_id, CASE WHEN qn
     "JOIN dnorm n ON n.doc_id = d.doc_id")
 cte("tfidf_k", ("qs_ok", "corpus", "cos_t"),
     "SELECT query_id, doc_id, rank, score FROM (SELECT q.query_id, c.doc_id, coalesce(t.score, 0.0) AS score, "
-    "CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(t.score, 0.0) DESC, c.doc_id DESC) "
+    "CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(t.score, 0.0), 10) DESC, c.doc_id DESC) "
     "AS INTEGER) AS rank FROM qs_ok q CROSS JOIN corpus c LEFT JOIN cos_t t ON t.query_id = q.query_id "
     f"AND t.doc_id = c.doc_id) WHERE rank <= {K}")
 
@@ -159,7 +159,7 @@ SELECT c.query_id, c.doc_id, c.cand_pos, coalesce(x.sim, 0.0) AS sim FROM cand c
   JOIN qn USING (query_id) JOIN dnorm n ON n.doc_id = d.doc_id) x
 ON x.query_id = c.query_id AND x.doc_id = c.doc_id""")
 cte("hyb_k", ("cand_sim",), "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, sim AS score, "
-    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cand_pos ASC) AS INTEGER) AS rank "
+    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 10) DESC, cand_pos ASC) AS INTEGER) AS rank "
     f"FROM cand_sim) WHERE rank <= {K}")
 cte("runs4", ("bm25_k", "tfidf_k", "match_k", "hyb_k"), """
 SELECT 'bm25' AS retriever, 0 AS retriever_idx, query_id, doc_id, rank, score FROM bm25_k UNION ALL
@@ -321,7 +321,7 @@ ed AS (SELECT vec_id AS doc_id, v, sqrt(list_dot_product(v, v)) AS nv FROM e WHE
 s AS (SELECT eq.query_id, ed.doc_id, CASE WHEN eq.nv > 0 AND ed.nv > 0
         THEN list_dot_product(eq.v, ed.v) / (eq.nv * ed.nv) ELSE 0.0 END AS score FROM eq CROSS JOIN ed)
 SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT query_id, doc_id, score,
-  CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank FROM s)
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id DESC) AS INTEGER) AS rank FROM s)
 WHERE rank <= {K}"""
     q["candidate_union"] = sql("SELECT query_id, doc_id, cand_pos FROM cand", "cand")
     q["hybrid_rerank"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM hyb_k", "hyb_k")
