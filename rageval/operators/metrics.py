@@ -135,19 +135,28 @@ def ppi_estimate(unlabelled: DataFrame, labelled: DataFrame, group_cols=(), z: f
     ``unlabelled`` has a 0/1 judge prediction ``f``; ``labelled`` has ``f`` and
     the gold label ``y``. Estimate ``mean(f over unlabelled) + mean(y - f over
     labelled)``; half-width ``z * sqrt(var(f)/N + var(y - f)/n)`` (population
-    variances). Both sides are single grouped aggregates joined on the groups.
+    variances). Both sides are stacked and summarised by one grouped
+    aggregation with conditional aggregates -- no join between them.
     """
     g = list(group_cols)
     if not g:
         unlabelled = unlabelled.withColumn("scope", F.lit("all"))
         labelled = labelled.withColumn("scope", F.lit("all"))
         g = ["scope"]
-    u = unlabelled.groupBy(*g).agg(F.count(F.lit(1)).alias("n_unlabelled"), F.avg("f").alias("mean_f"),
-                                   F.var_pop("f").alias("var_f"))
-    lab = labelled.withColumn("rect", F.col("y").cast("double") - F.col("f").cast("double"))
-    lab = lab.groupBy(*g).agg(F.count(F.lit(1)).alias("n_labelled"), F.avg("rect").alias("mean_rect"),
-                              F.var_pop("rect").alias("var_rect"), F.avg("y").alias("gold_mean"))
-    both = u.join(lab, g, "full")
+    u = unlabelled.select(*g, F.col("f").cast("double").alias("f"), F.lit(None).cast("double").alias("y"),
+                          F.lit(0).alias("is_lab"))
+    lab = labelled.select(*g, F.col("f").cast("double").alias("f"), F.col("y").cast("double").alias("y"),
+                          F.lit(1).alias("is_lab"))
+    is_u, is_l = F.col("is_lab") == 0, F.col("is_lab") == 1
+    rect = F.col("y") - F.col("f")
+    both = u.unionByName(lab).groupBy(*g).agg(
+        F.nullif(F.sum(F.when(is_u, 1).otherwise(0)).cast("long"), F.lit(0).cast("long")).alias("n_unlabelled"),
+        F.avg(F.when(is_u, F.col("f"))).alias("mean_f"),
+        F.var_pop(F.when(is_u, F.col("f"))).alias("var_f"),
+        F.nullif(F.sum(F.when(is_l, 1).otherwise(0)).cast("long"), F.lit(0).cast("long")).alias("n_labelled"),
+        F.avg(F.when(is_l, rect)).alias("mean_rect"),
+        F.var_pop(F.when(is_l, rect)).alias("var_rect"),
+        F.avg(F.when(is_l, F.col("y"))).alias("gold_mean"))
     est = F.col("mean_f") + F.col("mean_rect")
     half = F.lit(z) * F.sqrt(F.col("var_f") / F.col("n_unlabelled") + F.col("var_rect") / F.col("n_labelled"))
     return both.select(*g, "n_unlabelled", "n_labelled",
