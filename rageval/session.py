@@ -67,7 +67,11 @@ def write_bucketed(df, name: str, key: str, n_buckets: int | None = None):
     shuffle; the write also cuts the lineage like a checkpoint.
     """
     spark = df.sparkSession
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bucketed scans are not coalesced by AQE, so the bucket count is the task
+    # count of every stage reading the table: the shuffle-partition setting,
+    # capped at four tasks per core of the cluster.
+    n = n_buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                         4 * spark.sparkContext.defaultParallelism)
     path = scratch_path(spark, name)
     table = f"rageval_{name}_{uuid.uuid4().hex[:10]}"
     (df.write.format("parquet").bucketBy(n, key).option("path", path)
