@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,18 +36,25 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def is_single_machine(master: str) -> bool:
+    """``local``, ``local[n]`` or ``local[n, f]``: driver and tasks share one file system."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests)
-    do we create one, so that intermediate tables are never written to a
-    machine-local folder on a real cluster.
+    The cluster's setting always wins. When it is unset, a ``local`` master
+    gets a temporary folder (tests); any other master raises, because a
+    machine-local folder is not visible to the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not is_single_machine(sc.master):
+                raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
             current = tempfile.mkdtemp(prefix="rageval-ckpt-")
             spark.conf.set("spark.checkpoint.dir", current)
         sc.setCheckpointDir(current)
@@ -90,7 +98,6 @@ def ship_package(spark: SparkSession) -> None:
     with ``addPyFile``.
     """
     import io
-    import os
     import zipfile
 
     sc = spark.sparkContext
