@@ -4,8 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sharding, warc
-from .common import table
+from . import langid, quality, sharding, warc
+from .common import id_crc, table
+
+
+def op3_bitmask_langid(spark, sf_dir):
+    """The language of every document, by filters learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    got = langid.identify(docs, langid.train(docs))
+    return got.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_line_rules(spark, sf_dir):
+    """Counts and verdict of every document."""
+    got = quality.score_documents(table(spark, sf_dir, "documents"), with_text=False)
+    return got.drop("clean_text")
 
 
 def op9_warc_transactions(spark, sf_dir):
@@ -23,7 +36,7 @@ def op10_virtual_slots(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op9_warc_transactions, op10_virtual_slots)}
+    return {f.__name__: f for f in (op3_bitmask_langid, op6_line_rules, op9_warc_transactions, op10_virtual_slots)}
 
 
 def oracle_sql():
