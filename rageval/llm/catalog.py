@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, quality, sharding, warc
+from . import langid, quality, rans, sharding, warc
 from .common import id_crc, table
 
 
@@ -15,6 +16,11 @@ def op3_bitmask_langid(spark, sf_dir):
     return got.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_rans_tokens(spark, sf_dir):
+    """Token files of all documents, written, read back and decoded."""
+    return rans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 def op6_line_rules(spark, sf_dir):
     """Counts and verdict of every document."""
     got = quality.score_documents(table(spark, sf_dir, "documents"), with_text=False)
@@ -36,7 +42,7 @@ def op10_virtual_slots(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_bitmask_langid, op6_line_rules, op9_warc_transactions, op10_virtual_slots)}
+    return {f.__name__: f for f in (op3_bitmask_langid, op5_rans_tokens, op6_line_rules, op9_warc_transactions, op10_virtual_slots)}
 
 
 def oracle_sql():
