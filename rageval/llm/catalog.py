@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, quality, rans, sharding, warc
+from . import langid, packing, quality, rans, sharding, warc
 from .common import id_crc, table
 
 
+def op2_cutting_stock_packing(spark, sf_dir):
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op3_bitmask_langid(spark, sf_dir):
     """The language of every document, by filters learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -42,7 +47,7 @@ def op10_virtual_slots(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_bitmask_langid, op5_rans_tokens, op6_line_rules, op9_warc_transactions, op10_virtual_slots)}
+    return {f.__name__: f for f in (op2_cutting_stock_packing, op3_bitmask_langid, op5_rans_tokens, op6_line_rules, op9_warc_transactions, op10_virtual_slots)}
 
 
 def oracle_sql():
