@@ -61,7 +61,7 @@ def best_pattern(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), out
 
 
-def solve_cutting_stock(weight: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
+def solve_cutting_stock(weight: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and uses of a nearly optimal solution of the linear program, by the revised simplex method.
 
     It starts with patterns of one class each and stops once no pattern is worth ``1 + gap``: the bound then says
@@ -89,9 +89,9 @@ def solve_cutting_stock(weight: np.ndarray, demand: np.ndarray, room: int, gap:
         out = int(ratio.argmin())
         uses -= ratio[out] * step
         uses[out] = ratio[out]
-        inverse[out] /= step[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(step[others], inverse[out])
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
         basis[:, out], cost[out] = column, price
     real = (cost > 0) & (uses > 1e-9)
     return np.rint(basis[:, real].T).astype(np.int64), uses[real]
