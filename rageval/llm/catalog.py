@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, rans, sharding, warc
+from . import hnsw, langid, mixing, packing, quality, rans, sharding, warc
 from .common import id_crc, table
 
 
+def op1_hnsw_shards(spark, sf_dir):
+    """The 10 nearest of every hundredth vector among all others."""
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_cutting_stock_packing(spark, sf_dir):
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -21,6 +26,11 @@ def op3_bitmask_langid(spark, sf_dir):
     return got.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_splitting_tree_mix(spark, sf_dir):
+    """What a mix of all sources by weight takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op5_rans_tokens(spark, sf_dir):
     """Token files of all documents, written, read back and decoded."""
     return rans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
@@ -47,7 +57,7 @@ def op10_virtual_slots(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_cutting_stock_packing, op3_bitmask_langid, op5_rans_tokens, op6_line_rules, op9_warc_transactions, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_hnsw_shards, op2_cutting_stock_packing, op3_bitmask_langid, op4_splitting_tree_mix, op5_rans_tokens, op6_line_rules, op9_warc_transactions, op10_virtual_slots)}
 
 
 def oracle_sql():
