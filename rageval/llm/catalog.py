@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, mixing, neardup, packing, quality, rans, sharding, warc
+from . import hnsw, langid, mixing, neardup, packing, pitman_yor, quality, rans, sharding, warc
 from .common import id_crc, table
 
 
@@ -47,6 +47,11 @@ def op7_dart_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark, sf_dir):
+    """The log10 probability of every document, by a model of four fifths of them."""
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_transactions(spark, sf_dir):
     """Archive all pages, read the archives back, one row per capture."""
     got = warc.archive_and_read(table(spark, sf_dir, "pages"), with_payload=False)
@@ -62,7 +67,7 @@ def op10_virtual_slots(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_hnsw_shards, op2_cutting_stock_packing, op3_bitmask_langid, op4_splitting_tree_mix, op5_rans_tokens, op6_line_rules, op7_dart_minhash, op9_warc_transactions, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_hnsw_shards, op2_cutting_stock_packing, op3_bitmask_langid, op4_splitting_tree_mix, op5_rans_tokens, op6_line_rules, op7_dart_minhash, op8_pitman_yor, op9_warc_transactions, op10_virtual_slots)}
 
 
 def oracle_sql():
