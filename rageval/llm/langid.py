@@ -52,17 +52,19 @@ def ngram_hashes(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
 
     Letters are lowered, all else becomes a space, runs of spaces count as one, and n-grams don't leave their text.
     """
-    joined = "\0".join(["", *(t or "" for t in texts), ""])
+    joined = "".join(f"\0{t or ''} " for t in texts)
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     letters = letter_codes()[points]
     breaks = np.zeros(len(points), bool)
     sizes = np.array([len(t or "") for t in texts], np.int64)
-    breaks[np.concatenate([[0], np.cumsum(sizes + 1)])] = True
-    # a text's own bounds count as spaces; the break before a text is the space that opens it
+    breaks[np.cumsum(sizes + 2) - (sizes + 2)] = True
+    # a break is the space that opens its text
     keep = (letters != 0) | breaks | np.concatenate([[True], letters[:-1] != 0])
     letters, breaks = letters[keep], breaks[keep]
     text = np.cumsum(breaks) - 1
-    has = np.bincount(text, weights=letters != 0, minlength=len(texts) + 1)[:len(texts)] > 0
+    has = np.bincount(text, weights=letters != 0, minlength=len(texts))[:len(texts)] > 0
     m = len(letters) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), has
@@ -70,7 +72,7 @@ def ngram_hashes(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
     for i in range(n):
         h = (h ^ letters[i:m + i].astype(np.uint64)) * _MIX[i % 4]
         h ^= h >> np.uint64(29)
-    inside = (text[:m] == text[n - 1:]) & (text[:m] < len(texts))
+    inside = text[:m] == text[n - 1:]
     return h[inside], text[:m][inside], has
 
 
