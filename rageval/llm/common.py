@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that go to a Python worker at once; whole texts travel, so batches are kept short.
 BATCH_ROWS = 512
 
+#: Rows of a few numbers that are broadcast at most; more are joined.
+BROADCAST_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +41,11 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it has few rows, else left to a plain join; ``df`` is written already."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     return stem if stem not in df.columns else f"{stem}_{uuid.uuid4().hex[:8]}"

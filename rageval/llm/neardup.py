@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, python_ready, staged
+from .common import WORD, fits, python_ready, staged
 from .tokens import chunks
 
 WORDS = re.compile(WORD)
@@ -41,8 +41,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Ranks below this make the first band; each further one doubles what the bands cover.
 FIRST_RANK = 0.125
-#: Rows of 16 bytes that are broadcast at most; more are joined.
-BROADCAST_ROWS = 1_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -208,11 +206,6 @@ def signed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return staged(docs.mapInArrow(sign, schema), "signed")
 
 
-def fits(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has few rows, else left to a plain join; ``df`` is written already."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component. Labels go to neighbours and labels of labels are
     looked up until nothing changes; each round is written."""

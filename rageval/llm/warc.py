@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import python_ready
+from .common import fits, python_ready, staged
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -49,19 +49,20 @@ def _record(headers: list[tuple[str, Column | str]], body: Column) -> Column:
 def mark_revisits(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Adds ``rid, payload, payload_bytes, payload_digest, first_rid`` (of the capture that holds the payload).
 
-    Digests are grouped before the join, so a payload that a third of all pages share costs one row a task.
-    ``rid`` follows from the scan alone and is the same in each pass over the input.
+    Rows are numbered and written, so that each later pass sees the same numbers. Digests are grouped before the join,
+    so a payload that a third of all pages share costs one row a task; payloads themselves move only where there are
+    too many revisits to broadcast.
     """
     payload = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    rows = pages.select("page_id", "url", F.monotonically_increasing_id().alias("rid"), payload.alias("payload"),
-                        F.octet_length(payload).cast("long").alias("payload_bytes"),
-                        F.sha1(payload.cast("binary")).alias("payload_digest"))
+    rows = staged(pages.select("page_id", "url", F.monotonically_increasing_id().alias("rid"), payload.alias("payload"),
+                               F.octet_length(payload).cast("long").alias("payload_bytes"),
+                               F.sha1(payload.cast("binary")).alias("payload_digest")), "pages")
     heads = (rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
              .agg(F.max(F.struct("page_id", "rid")).alias("head"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("payload_digest", "payload_bytes", F.col("head.rid").alias("first_rid")))
     narrow = (rows.where(F.col("payload_bytes") >= min_bytes).select("rid", "payload_digest", "payload_bytes")
               .join(heads, ["payload_digest", "payload_bytes"]).where("rid <> first_rid").select("rid", "first_rid"))
-    return rows.join(narrow, "rid", "left")
+    return rows.join(fits(staged(narrow, "revisits")), "rid", "left")
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = REVISIT_BYTES) -> None:
