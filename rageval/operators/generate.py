@@ -14,36 +14,40 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT_FAILED_ANSWER, prompt
+from ..functions.text import DEFAULT_FAILED_ANSWER, prompt, std_tokens
 from ..session import ship_package
 from .common import top_k
 from .consensus import coverage
 
-# The stand-in providers, in model order, and generation settings.
-PROVIDERS = ("first_line", "last_line", "longest_line")
+# The stand-in providers, in model order, and generation settings.
+PROVIDERS = ("coverage", "density", "length")
 MAX_ATTEMPTS = 5
 ANSWER_THRESHOLD = 0.5
 
 
-def _lines(doc: Column) -> Column:
-    return F.split(doc, "\n")
+def line_score(llm: str, query: Column, line: Column) -> Column:
+    """How well a line answers the query. ``coverage``: its distinct query tokens; ``density``: these as a share of its
+    distinct tokens and one more; ``length``: their characters, as long words say more."""
+    own = F.array_distinct(std_tokens(line))
+    hit = F.array_intersect(F.array_distinct(std_tokens(query)), own)
+    if llm == "coverage":
+        return F.size(hit).cast("double")
+    if llm == "density":
+        return F.size(hit).cast("double") / (F.size(own) + 1)
+    if llm == "length":
+        return F.aggregate(hit, F.lit(0), lambda n, t: n + F.length(t)).cast("double")
+    raise ValueError(f"unknown provider {llm}")
 
 
-def provider_answer(llm: str, doc: Column) -> Column:
-    """Extractive stand-in answers: one line of the document."""
-    lines = _lines(doc)
-    if llm == "first_line":
-        return F.element_at(lines, 1)
-    if llm == "last_line":
-        return F.element_at(lines, -1)
-    if llm == "longest_line":
-        return F.aggregate(lines, F.element_at(lines, 1),
-                           lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    raise ValueError(f"unknown provider {llm}")
+def provider_answer(llm: str, query: Column, doc: Column) -> Column:
+    """Extractive stand-in answers: the document's line with the highest score, the first of equals."""
+    lines = F.transform(F.split(doc, "\n"), lambda x, i: F.struct(line_score(llm, query, x).alias("score"), (-i).alias("at"), x.alias("line")))
+    return F.array_max(lines)["line"]
 
 
 def llm_dim(spark, names=PROVIDERS) -> DataFrame:
@@ -61,12 +65,18 @@ def generate_answers(pairs: DataFrame, corpus: DataFrame, queries: DataFrame,
                      names=PROVIDERS) -> DataFrame:
     """U2 with the built-in providers: (llm, llm_idx, query_id, doc_id, answer)."""
     texts = (pairs.select("query_id", "doc_id").distinct()
-             .join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id"))
+             .join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
+             .join(queries.select("query_id", F.col("text").alias("qtext")), "query_id"))
     rows = with_models(texts, names)
+    return rows.select("llm", "llm_idx", "query_id", "doc_id", F.trim(chosen_answer(names)).alias("answer"))
+
+
+def chosen_answer(names=PROVIDERS) -> Column:
+    """The answer of the provider that ``llm`` names, to ``qtext`` from ``dtext``."""
     answer = F.lit(None).cast("string")
     for n in names:
-        answer = F.when(F.col("llm") == n, provider_answer(n, F.col("dtext"))).otherwise(answer)
-    return rows.select("llm", "llm_idx", "query_id", "doc_id", F.trim(answer).alias("answer"))
+        answer = F.when(F.col("llm") == n, provider_answer(n, F.col("qtext"), F.col("dtext"))).otherwise(answer)
+    return answer
 
 
 def answer_with_fn(rows: DataFrame, answer_fn: Callable, max_attempts: int = MAX_ATTEMPTS,
@@ -75,38 +85,43 @@ def answer_with_fn(rows: DataFrame, answer_fn: Callable, max_attempts: int = MAX
 
     ``rows`` has (llm, query_id, doc_id, prompt). Each Arrow batch is answered
     per model with up to ``max_attempts`` tries; if a batch keeps failing, its
-    rows are answered one by one so a single bad row only marks itself:
-    ``answer`` null and ``error`` set. Nothing is dropped.
+    rows are answered one by one, with as many tries each, so a single bad row
+    only marks itself: ``answer`` null and ``error`` set. Answers belong to
+    prompts by position; a wrong number of them counts as a failure. Nothing
+    is dropped, rows without a model included.
     """
     ship_package(rows.sparkSession)
 
+    def attempt(llm, batch):
+        error = None
+        for _ in range(max_attempts):
+            try:
+                got = list(answer_fn(llm, batch))
+                if len(got) != len(batch):
+                    raise ValueError(f"{len(got)} answers to {len(batch)} prompts")
+                return got, None
+            except Exception as e:  # noqa: BLE001 - isolate, then retry per row
+                error = f"{type(e).__name__}: {e}"
+                if retry_wait:
+                    time.sleep(retry_wait)
+        return None, error
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for llm, grp in pdf.groupby("llm", sort=False):
-                answers, errors = None, None
-                for attempt in range(max_attempts):
-                    try:
-                        answers = pd.Series(answer_fn(llm, grp["prompt"]), index=grp.index)
-                        errors = pd.Series([None] * len(grp), index=grp.index, dtype="object")
-                        break
-                    except Exception:  # noqa: BLE001 - isolate, then retry per row
-                        if retry_wait:
-                            time.sleep(retry_wait)
-                if answers is None:
-                    vals, errs = [], []
-                    for p in grp["prompt"]:
-                        try:
-                            vals.append(pd.Series(answer_fn(llm, pd.Series([p]))).iloc[0])
-                            errs.append(None)
-                        except Exception as e:  # noqa: BLE001
-                            vals.append(None)
-                            errs.append(f"{type(e).__name__}: {e}")
-                    answers = pd.Series(vals, index=grp.index, dtype="object")
-                    errors = pd.Series(errs, index=grp.index, dtype="object")
-                out.append(grp.assign(answer=answers.astype("object"), error=errors))
-            if out:
-                yield pd.concat(out)[["llm", "query_id", "doc_id", "answer", "error"]]
+            answers, errors = np.empty(len(pdf), object), np.empty(len(pdf), object)
+            prompts_ = pdf["prompt"].reset_index(drop=True)
+            for llm, places in pdf.reset_index(drop=True).groupby("llm", sort=False, dropna=False).groups.items():
+                llm = None if pd.isna(llm) else llm
+                got, _ = attempt(llm, prompts_.iloc[places].reset_index(drop=True))
+                if got is not None:
+                    for i, x in zip(places, got):
+                        answers[i] = x
+                    continue
+                for i in places:
+                    one, errors[i] = attempt(llm, prompts_.iloc[[i]].reset_index(drop=True))
+                    answers[i] = None if one is None else one[0]
+            if len(pdf):
+                yield pdf[["llm", "query_id", "doc_id"]].assign(answer=answers, error=errors)
     return rows.select("llm", "query_id", "doc_id", "prompt").mapInPandas(
         run, "llm string, query_id long, doc_id long, answer string, error string")
 
@@ -125,13 +140,12 @@ def default_answer(answer: Column) -> Column:
 
 
 def judge_answers(answers: DataFrame, queries: DataFrame, threshold: float = ANSWER_THRESHOLD) -> DataFrame:
-    """U3 for answers: 1 when the answer covers ``threshold`` of the query's terms.
-    A null answer gets a null prediction (skipped by the mean)."""
+    """U3 for answers: ``grade``, the share of the query's terms that the answer has, and ``prediction``, 1 when it
+    reaches ``threshold``. A null answer gets nulls (skipped by the mean)."""
     q = queries.select("query_id", F.col("text").alias("qtext"))
-    pred = F.when(F.col("answer").isNotNull(),
-                  (coverage(F.col("qtext"), F.col("answer")) >= F.lit(threshold)).cast("int"))
+    grade = F.when(F.col("answer").isNotNull(), coverage(F.col("qtext"), F.col("answer")))
     return answers.join(q, "query_id").select(
-        *answers.columns, pred.alias("prediction"))
+        *answers.columns, grade.alias("grade"), (grade >= F.lit(threshold)).cast("int").alias("prediction"))
 
 
 def llm_scores(judged_answers: DataFrame) -> DataFrame:
@@ -150,8 +164,9 @@ def best_llm(scores: DataFrame) -> DataFrame:
 
 
 def best_per_pair(judged_answers: DataFrame) -> DataFrame:
-    """Per (query, document), the best model (score desc, then model order)."""
-    ranked = top_k(judged_answers.where(F.col("prediction").isNotNull()),
-                   ["query_id", "doc_id"], [F.col("prediction").desc(), F.col("llm_idx").asc()], 1)
+    """Per (query, document), the model with the best grade (then model order); the 0/1 prediction would tie
+    nearly always."""
+    ranked = top_k(judged_answers.where(F.col("grade").isNotNull()),
+                   ["query_id", "doc_id"], [F.col("grade").desc(), F.col("llm_idx").asc()], 1)
     return ranked.select("query_id", "doc_id", F.col("llm").alias("best_llm"),
                          F.col("llm_idx").alias("label"))

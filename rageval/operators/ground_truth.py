@@ -1,83 +1,54 @@
 """Judged (query, document) pairs derived from the driver tables.
 
-Positives: the document contains the query text. Found with an equi-join on
-a token n-gram *anchor* taken from the inside of the query -- when a text is
-contained in another, its interior tokens are whole tokens of the container --
-and then verified with ``contains`` on the candidate pairs only. No query is
-compared with every document.
+Positives: the query's whitespace tokens occur in the document one after
+another. Each query looks up the postings of its rarest token only; the
+candidates are verified on the texts. No query is compared with every
+document, and a query with a token that no document has is done at once.
 
 Negatives (pooling, as in TREC): documents that carry a quality label and
-that BM25 puts in a query's top ``pool_depth`` without containing it.
+that a pooled run returns for a query without containing it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
 from ..sources.tables import nonblank
 from .common import maybe_broadcast
+from .lexical import LexicalIndex
 
-# Fixed value: anchors are at most this many tokens long.
-ANCHOR_TOKENS = 3
 
+def token_line(text) -> Column:
+    """The whitespace tokens, each between single spaces."""
+    return F.concat(F.lit(" "), F.array_join(ws_tokens(text), " "), F.lit(" "))
 
-def query_anchors(queries: DataFrame) -> DataFrame:
-    """(query_id, text, m, anchor): the middle ``m``-gram of the query's interior tokens.
 
-    Queries of one or two tokens have no interior; their anchor is all their
-    tokens, so for them a positive also needs those tokens to be whole words.
-    """
-    toks = ws_tokens("text")
-    q = nonblank(queries).select("query_id", "text", toks.alias("toks"))
-    n = F.size("toks")
-    interior = F.when(n >= 3, F.slice("toks", 2, n - 2)).otherwise(F.col("toks"))
-    q = q.withColumn("interior", interior)
-    ni = F.size("interior")
-    m = F.least(ni, F.lit(ANCHOR_TOKENS))
-    start = F.floor((ni - m) / 2).cast("int") + 1
-    return q.select("query_id", "text", m.cast("int").alias("m"),
-                    F.array_join(F.slice("interior", start, m), " ").alias("anchor"))
-
-
-def doc_ngrams(corpus: DataFrame, m: int) -> DataFrame:
-    """(doc_id, m, gram): every run of ``m`` consecutive whitespace tokens."""
-    toks = ws_tokens("text")
-    d = corpus.select("doc_id", toks.alias("toks"))
-    n = F.size("toks")
-    grams = F.when(n >= m, F.transform(F.sequence(F.lit(1), n - m + 1),
-                                       lambda i: F.array_join(F.slice("toks", i, m), " ")))
-    return d.select("doc_id", F.lit(m).alias("m"),
-                    F.explode(F.coalesce(grams, F.array().cast("array<string>"))).alias("gram"))
+def rarest_tokens(index: LexicalIndex, queries: DataFrame, small: bool | None = None) -> DataFrame:
+    """(query_id, token): the query's token that fewest documents have, the first of equals; queries with a token that
+    isn't in the vocabulary are left out, as no document contains them."""
+    toks = nonblank(queries).select("query_id", F.explode(F.array_distinct(ws_tokens("text"))).alias("token"))
+    known = index.term_df.join(maybe_broadcast(small, toks), "token", "right")
+    return (known.groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("least"), F.count_if(F.col("df").isNull()).alias("unknown"))
+            .where("unknown = 0").select("query_id", F.col("least.token").alias("token")))
 
 
-def containment_pairs(corpus: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
-    """(query_id, doc_id) where the document text contains the query text."""
-    anchors = query_anchors(queries)
-    sizes = sorted(r["m"] for r in anchors.select("m").distinct().collect())
-    if not sizes:
-        return corpus.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint")
-    anchor_side = maybe_broadcast(small, anchors.select("query_id", "m", F.col("anchor").alias("gram")))
-    grams = None
-    for m in sizes:
-        g = doc_ngrams(corpus, m)
-        grams = g if grams is None else grams.unionByName(g)
-    cand = (grams.join(anchor_side, ["m", "gram"])
-            .select("query_id", "doc_id").dropDuplicates())
-    qtext = maybe_broadcast(small, anchors.select("query_id", F.col("text").alias("qtext")))
-    return (maybe_broadcast(small, cand).join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
-            .join(qtext, "query_id")
-            .where(F.col("dtext").contains(F.col("qtext")))
-            .select("query_id", "doc_id"))
+def containment_pairs(index: LexicalIndex, corpus: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
+    """(query_id, doc_id) where the document's tokens contain the query's tokens in a row."""
+    rare = rarest_tokens(index, queries, small).join(queries.select("query_id", token_line("text").alias("qline")), "query_id")
+    cand = index.postings.select("doc_id", "token").join(maybe_broadcast(small, rare), "token").select("query_id", "doc_id", "qline")
+    return (cand.join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
+            .where(F.contains(token_line("dtext"), F.col("qline"))).select("query_id", "doc_id"))
 
 
-def qrels(corpus: DataFrame, queries: DataFrame, labels: DataFrame, pool: DataFrame, small: bool | None = None) -> DataFrame:
+def qrels(index: LexicalIndex, corpus: DataFrame, queries: DataFrame, labels: DataFrame, pool: DataFrame,
+          small: bool | None = None) -> DataFrame:
     """(query_id, doc_id, label): containment positives plus pooled labelled negatives.
 
-    ``pool`` is a run (query_id, doc_id, ...) used for pooling, e.g. BM25 top 10.
+    ``pool`` has the (query_id, doc_id) of all pooled runs.
     """
-    pos = containment_pairs(corpus, queries, small).withColumn("label", F.lit(1))
+    pos = containment_pairs(index, corpus, queries, small).withColumn("label", F.lit(1))
     labelled = labels.select("doc_id").distinct()
     neg = (pool.select("query_id", "doc_id").distinct()
            .join(labelled, "doc_id", "left_semi")

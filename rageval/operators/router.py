@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 # Validation share (20 %) and the split seed.
 VALIDATION_SHARE = 20
 SPLIT_SEED = "42"
-MAX_TOKENS = 512
 REG_GRID = (0.01, 0.1)
 
 
@@ -36,7 +35,7 @@ def hash_split(df: DataFrame, key_cols=("query_id", "doc_id"), share: int = VALI
 
 
 def router_features(rows: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(…, router_text): query text then document text (X16 caps the tokens in the pipeline)."""
+    """(…, router_text): query text then document text."""
     return (rows.join(queries.select("query_id", F.col("text").alias("qtext")), "query_id")
             .join(corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
             .withColumn("router_text", F.concat_ws(" ", "qtext", "dtext")))

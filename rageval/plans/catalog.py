@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import std_tokens
 from ..operators import consensus as consensus_ops
 from ..operators import fusion, lexical, metrics
-from .fixtures import DENSE_B_DIMS, fixtures
+from .externals import answer, answer_or_fail
+from .fixtures import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -91,8 +92,8 @@ def dense_topk(spark, sf_dir):
 
 @register("dense_topk_b")
 def dense_topk_b(spark, sf_dir):
-    """The same operator on a second encoder (first 32 dimensions)."""
-    return _round(fixtures(spark, sf_dir).dense(DENSE_B_DIMS))
+    """The same operator on a second encoder (the vectors folded in the middle)."""
+    return _round(fixtures(spark, sf_dir).dense("b"))
 
 
 @register("candidate_union")
@@ -225,7 +226,7 @@ RAW_PAIRS_SCHEMA = ("query_id long, doc_id long, Query string, Document string,
 
 
 def raw_judged_pairs(fx) -> DataFrame:
-    """The judged-pairs file as the original pipeline reads it: BM25 depth-10 pool
+    """The judged-pairs file as the original pipeline reads it: the pool
     with texts and a text label ([[Yes]] / [[No]] when judged, 'N/A' for an
     unjudged labelled document, 'None' otherwise)."""
     labelled = fx.table("labels").select("doc_id").distinct().withColumn("has_label", F.lit(1))
@@ -349,15 +350,15 @@ def explode_runs(spark, sf_dir):
 
 
 @register("scalar_text")
-def scalar_text(spark, sf_dir):
-    """Token counts, blank test, prompt length, capped token count."""
+def scalar_text(spark, sf_dir, cap=512):
+    """Token counts, blank test, prompt length, tokens within the cap."""
     q = fixtures(spark, sf_dir).queries
     return q.select("query_id",
                     F.size(T.ws_tokens("text")).alias("n_ws_tokens"),
                     F.size(T.std_tokens("text")).alias("n_std_tokens"),
                     T.is_blank("text").cast("int").alias("is_blank"),
                     F.length(T.prompt("text", F.lit(""))).alias("prompt_chars"),
-                    F.size(T.token_cap(T.ws_tokens("text"), T.std_tokens("text"), 16)).alias("capped_tokens"))
+                    F.size(T.token_cap(T.ws_tokens("text"), T.std_tokens("text"), cap)).alias("capped_tokens"))
 
 
 @register("missing_queries")
@@ -486,29 +487,23 @@ def routing_eval(spark, sf_dir):
     return fixtures(spark, sf_dir).routing_eval()
 
 
-@register("error_isolation")
-def error_isolation(spark, sf_dir):
-    """An external answer function that fails on some rows; failures are kept as rows."""
-    fx = fixtures(spark, sf_dir)
-    rows = generate.prompts(fx.best_pairs, fx.corpus, fx.queries).withColumn("llm", F.lit("first_line"))
-    out = generate.answer_with_fn(rows, first_line_or_fail)
-    return out.select("llm", "query_id", "doc_id", "answer", F.col("error").isNotNull().cast("int").alias("failed"))
+def _external_rows(fx) -> DataFrame:
+    """A prompt for each pair and model; the models come one after another within a batch."""
+    return generate.with_models(generate.prompts(fx.best_pairs, fx.corpus, fx.queries))
 
 
-FIRST_LINE_LIMIT = 300
+@register("answer_external")
+def answer_external(spark, sf_dir):
+    """Three external models answer from the prompt alone."""
+    out = generate.answer_with_fn(_external_rows(fixtures(spark, sf_dir)), answer)
+    return out.select("llm", "query_id", "doc_id", generate.default_answer(F.col("answer")).alias("answer"))
 
 
-def first_line_or_fail(llm, prompts):
-    """A stand-in external model: answers with the document's first line and raises
-    on documents whose first line is longer than 300 characters."""
-    import pandas as pd
-    out = []
-    for p in prompts:
-        line = p.split(T.PROMPT_DOCUMENT, 1)[1].split("\n")[0]
-        if len(line) > FIRST_LINE_LIMIT:
-            raise ValueError("document line too long")
-        out.append(line)
-    return pd.Series(out)
+@register("error_isolation")
+def error_isolation(spark, sf_dir):
+    """External models that fail on some prompts; failures are kept as rows."""
+    out = generate.answer_with_fn(_external_rows(fixtures(spark, sf_dir)), answer_or_fail)
+    return out.select("llm", "query_id", "doc_id", "answer", F.col("error").isNotNull().cast("int").alias("failed"))
 
 
 @register("router_eval")

@@ -23,13 +23,13 @@ from ..session import checkpoint_root, ship_package, write_bucketed
 from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
-POOL_DEPTH = 10         # judging pool depth for negatives
+POOL_DEPTH = 10         # default depth of the judging pool, an argument of ``Fixtures``
+POOLED = ("bm25", "tfidf", "match")  # every first-stage run; the hybrid one reorders theirs
 # Retriever dimension, in fusion order: whitespace BM25, tf-idf cosine (the
 # dense-encoder stand-in), standard-analyzer match, hybrid rerank; then the
 # fused and the consensus runs.
 BASE_RETRIEVERS = ("bm25", "tfidf", "match", "hybrid")
 ALL_RETRIEVERS = BASE_RETRIEVERS + ("rrf", "consensus")
-DENSE_B_DIMS = 32       # encoder B stand-in: the first 32 embedding dimensions
 ROUTING_TOP_K = 1       # fixed value: routing retrieves the top 1 document
 
 _CACHE: dict = {}
@@ -46,10 +46,11 @@ def fixtures(spark: SparkSession, sf_dir: str) -> "Fixtures":
 
 
 class Fixtures:
-    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K):
+    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, pool_depth: int = POOL_DEPTH):
         self.spark = spark
         self.sf_dir = sf_dir
         self.k = k
+        self.pool_depth = pool_depth
         checkpoint_root(spark)
         ship_package(spark)
         self._consensus: dict[str, DataFrame] = {}
@@ -117,11 +118,17 @@ class Fixtures:
 
     @cached_property
     def pool(self) -> DataFrame:
-        return self.bm25(POOL_DEPTH)
+        """(query_id, doc_id, rank): what any first-stage run returns to ``pool_depth``, with its best rank."""
+        runs = {"bm25": self.bm25, "tfidf": self.tfidf_run, "match": self.match}
+        every = None
+        for name in POOLED:
+            own = runs[name](self.pool_depth).select("query_id", "doc_id", "rank")
+            every = own if every is None else every.unionByName(own)
+        return self.cut(every.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")))
 
     @cached_property
     def qrels(self) -> DataFrame:
-        q = ground_truth.qrels(self.corpus, self.queries, self.table("labels"), self.pool, small=self.small)
+        q = ground_truth.qrels(self.ws_index, self.corpus, self.queries, self.table("labels"), self.pool, small=self.small)
         return self.cut(q)
 
     def with_retriever(self, df: DataFrame, name: str) -> DataFrame:
@@ -187,8 +194,8 @@ class Fixtures:
         return self.spark.createDataFrame([(n, i) for i, n in enumerate(ALL_RETRIEVERS)],
                                           "retriever string, retriever_idx int")
 
-    def dense(self, dims: int | None = None, k: int | None = None) -> DataFrame:
-        emb_q, emb_d = tables.embedding_roles(self.spark, self.sf_dir, dims)
+    def dense(self, encoder: str = "a", k: int | None = None) -> DataFrame:
+        emb_q, emb_d = tables.embedding_roles(self.spark, self.sf_dir, encoder)
         return dense.dense_search(emb_q, emb_d, k or self.k)
 
     # --- best retriever, answers and routing ------------------------------------------
@@ -258,7 +265,4 @@ class Fixtures:
         model = self.router[0]
         feats = router.router_features(self.best_pairs.select("query_id", "doc_id"), self.corpus, self.queries)
         routed = router.route(model, feats, generate.llm_dim(self.spark))
-        answer = F.lit(None).cast("string")
-        for n in generate.PROVIDERS:
-            answer = F.when(F.col("llm") == n, generate.provider_answer(n, F.col("dtext"))).otherwise(answer)
-        return routed.select("query_id", "doc_id", F.trim(answer).alias("answer"), F.col("llm").alias("best_llm"))
+        return routed.select("query_id", "doc_id", F.trim(generate.chosen_answer()).alias("answer"), F.col("llm").alias("best_llm"))

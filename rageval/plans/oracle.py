@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions.text import PY_WHITESPACE_CLASS, STD_TOKEN_PATTERN
 from ..operators.lexical import MATCH_B, MATCH_K1, OKAPI_B, OKAPI_EPSILON, OKAPI_K1
 from ..sources.tables import MIN_WORDS_EXCLUSIVE, QUERY_VECTOR_EVERY
-from .fixtures import DEFAULT_K, POOL_DEPTH
+from .fixtures import DEFAULT_K
 
 K = DEFAULT_K
 
@@ -49,7 +49,7 @@ def sql(final: str, *needed: str) -> str:
         visit(n)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + final
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + "\n" + final
 
 
 # --- base views ------------------------------------------------------------
@@ -68,8 +68,8 @@ cte("st_ws", ("dl_ws",), "SELECT count(*) AS n, avg(dl) AS avgdl FROM dl_ws")
 cte("rawidf_ws", ("df_ws", "st_ws"),
     "SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df_ws, st_ws")
 cte("idf_ws", ("rawidf_ws",),
-    f"SELECT token, CASE WHEN raw < 0 THEN {OKAPI_EPSILON} * (SELECT avg(raw) FROM rawidf_ws) "
-    "ELSE raw END AS idf FROM rawidf_ws")
+    f"SELECT token, CASE WHEN raw < 0 THEN {OKAPI_EPSILON} * m.mean ELSE raw END AS idf "
+    "FROM rawidf_ws CROSS JOIN (SELECT avg(raw) AS mean FROM rawidf_ws) m")
 cte("qtf_ws", ("qs_ok",), "SELECT query_id, token, count(*) AS qtf FROM "
     f"(SELECT query_id, unnest({WS('text')}) AS token FROM qs_ok) GROUP BY query_id, token")
 cte("m_bm25", ("qtf_ws", "idf_ws", "post_ws", "dl_ws", "st_ws"),
@@ -88,25 +88,6 @@ def _bm25_ranked(k: int) -> str:
 
 
 cte("bm25_k", ("qs_ok", "corpus", "m_bm25"), _bm25_ranked(K))
-cte("bm25_pool", ("qs_ok", "corpus", "m_bm25"), _bm25_ranked(POOL_DEPTH))
-
-# --- judged pairs: containment positives + pooled negatives ------------------
-cte("q_anchor", ("qs_ok",), f"""
-SELECT query_id, text, array_to_string(interior[s : s + m - 1], ' ') AS anchor FROM (
-  SELECT query_id, text, interior, m, CAST(floor((len(interior) - m) / 2) AS INTEGER) + 1 AS s FROM (
-    SELECT query_id, text, interior, least(len(interior), 3) AS m FROM (
-      SELECT query_id, text, CASE WHEN len(toks) >= 3 THEN toks[2 : len(toks) - 1] ELSE toks END AS interior
-      FROM (SELECT query_id, text, {WS('text')} AS toks FROM qs_ok))))""")
-cte("q_pos", ("q_anchor", "corpus"),
-    "SELECT a.query_id, c.doc_id FROM q_anchor a, corpus c WHERE contains(c.text, a.text) "
-    f"AND contains(' ' || array_to_string({WS('c.text')}, ' ') || ' ', ' ' || a.anchor || ' ')")
-cte("qrels", ("q_pos", "bm25_pool"), """
-SELECT query_id, doc_id, 1 AS label FROM q_pos
-UNION ALL
-SELECT DISTINCT p.query_id, p.doc_id, 0 AS label FROM bm25_pool p
-WHERE p.doc_id IN (SELECT doc_id FROM labels)
-  AND NOT EXISTS (SELECT 1 FROM q_pos x WHERE x.query_id = p.query_id AND x.doc_id = p.doc_id)""")
-
 
 # --- standard-analyzer index: match (R4) and tf-idf (U1) ------------------------
 cte("c_std", ("corpus",), f"SELECT doc_id, {STD('text')} AS toks FROM corpus")
@@ -122,9 +103,15 @@ cte("m_match", ("qtf_std", "df_std", "post_std", "dl_std", "st_std"),
     f"{MATCH_K1 + 1.0} / (p.tf + {MATCH_K1} * ({1.0 - MATCH_B} + {MATCH_B} * d.dl / s.avgdl))) AS score "
     "FROM qtf_std q JOIN df_std f USING (token) JOIN post_std p USING (token) "
     "JOIN dl_std d ON d.doc_id = p.doc_id CROSS JOIN st_std s GROUP BY q.query_id, p.doc_id")
-cte("match_k", ("m_match",), "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, "
-    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id ASC) AS INTEGER) AS rank "
-    f"FROM m_match WHERE score > 0) WHERE rank <= {K}")
+
+
+def _match_ranked(k: int) -> str:
+    return ("SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, "
+            "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id ASC) AS INTEGER) AS rank "
+            f"FROM m_match WHERE score > 0) WHERE rank <= {k}")
+
+
+cte("match_k", ("m_match",), _match_ranked(K))
 cte("idf_t", ("df_std", "st_std"), "SELECT token, ln((1.0 + s.n) / (1.0 + f.df)) + 1.0 AS idf FROM df_std f, st_std s")
 cte("dnorm", ("post_std", "idf_t"), "SELECT p.doc_id, sqrt(sum((p.tf * i.idf) * (p.tf * i.idf))) AS norm "
     "FROM post_std p JOIN idf_t i USING (token) GROUP BY p.doc_id")
@@ -138,11 +125,33 @@ cte("dots", ("qv", "post_std"), "SELECT v.query_id, p.doc_id, sum(v.wq * (p.tf *
 cte("cos_t", ("dots", "qn", "dnorm"), "SELECT d.query_id, d.doc_id, CASE WHEN qn.qnorm * n.norm > 0 "
     "THEN d.dot / (qn.qnorm * n.norm) ELSE 0.0 END AS score FROM dots d JOIN qn USING (query_id) "
     "JOIN dnorm n ON n.doc_id = d.doc_id")
-cte("tfidf_k", ("qs_ok", "corpus", "cos_t"),
-    "SELECT query_id, doc_id, rank, score FROM (SELECT q.query_id, c.doc_id, coalesce(t.score, 0.0) AS score, "
-    "CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(t.score, 0.0), 10) DESC, c.doc_id DESC) "
-    "AS INTEGER) AS rank FROM qs_ok q CROSS JOIN corpus c LEFT JOIN cos_t t ON t.query_id = q.query_id "
-    f"AND t.doc_id = c.doc_id) WHERE rank <= {K}")
+
+
+def _tfidf_ranked(k: int) -> str:
+    return ("SELECT query_id, doc_id, rank, score FROM (SELECT q.query_id, c.doc_id, coalesce(t.score, 0.0) AS score, "
+            "CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(t.score, 0.0), 10) DESC, c.doc_id DESC) "
+            "AS INTEGER) AS rank FROM qs_ok q CROSS JOIN corpus c LEFT JOIN cos_t t ON t.query_id = q.query_id "
+            f"AND t.doc_id = c.doc_id) WHERE rank <= {k}")
+
+
+cte("tfidf_k", ("qs_ok", "corpus", "cos_t"), _tfidf_ranked(K))
+
+# --- judged pairs: the query's tokens in a row are positive; pooled, labelled documents negative ---
+def LINE(x: str) -> str:
+    return f"(' ' || array_to_string({WS(x)}, ' ') || ' ')"
+
+
+cte("q_pos", ("qs_ok", "corpus"), f"SELECT q.query_id, c.doc_id FROM (SELECT query_id, {LINE('text')} AS l FROM qs_ok) q, "
+    f"(SELECT doc_id, {LINE('text')} AS l FROM corpus) c WHERE contains(c.l, q.l)")
+cte("pool", ("qs_ok", "corpus", "m_bm25", "cos_t", "m_match"), f"""
+SELECT query_id, doc_id, min(rank) AS rank FROM ({_bm25_ranked(10)} UNION ALL {_tfidf_ranked(10)} UNION ALL {_match_ranked(10)})
+GROUP BY query_id, doc_id""")
+cte("qrels", ("q_pos", "pool"), """
+SELECT query_id, doc_id, 1 AS label FROM q_pos
+UNION ALL
+SELECT DISTINCT p.query_id, p.doc_id, 0 AS label FROM pool p
+WHERE p.doc_id IN (SELECT doc_id FROM labels)
+  AND NOT EXISTS (SELECT 1 FROM q_pos x WHERE x.query_id = p.query_id AND x.doc_id = p.doc_id)""")
 
 # --- hybrid (R5), fusion (R6) --------------------------------------------------
 cte("cand", ("bm25_k", "match_k"), """
@@ -226,13 +235,22 @@ def COVER(q: str, d: str) -> str:
             f"{STD(d)})) / len(list_distinct({STD(q)})) ELSE 0.0 END)")
 
 
-def ANSWER(llm: str, text: str) -> str:
-    lines = f"string_split({text}, {NL})"
-    if llm == "first_line":
-        return f"{lines}[1]"
-    if llm == "last_line":
-        return f"{lines}[-1]"
-    return f"list_reduce({lines}, lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END)"
+LLMS = (("coverage", "c"), ("density", "d"), ("length", "l"))
+
+
+def best_lines(pairs: str, llms=LLMS) -> str:
+    """(llm, llm_idx, query_id, doc_id, line): of each pair of a CTE the line with the highest score, for each model."""
+    scored = f"""SELECT query_id, doc_id, pos, line, len(hit) AS c, len(hit) / (len(own) + 1) AS d,
+  coalesce(list_sum(list_transform(hit, lambda t: length(t))), 0) AS l
+FROM (SELECT *, list_intersect(list_distinct({STD('qtext')}), own) AS hit
+      FROM (SELECT *, list_distinct({STD('line')}) AS own
+            FROM (SELECT p.query_id, p.doc_id, q.text AS qtext, unnest(string_split(c.text, {NL})) AS line,
+                         generate_subscripts(string_split(c.text, {NL}), 1) AS pos
+                  FROM (SELECT DISTINCT query_id, doc_id FROM {pairs}) p JOIN corpus c ON c.doc_id = p.doc_id
+                  JOIN qs q ON q.query_id = p.query_id)))"""
+    return " UNION ALL ".join(f"""SELECT '{llm}' AS llm, {i} AS llm_idx, query_id, doc_id, line FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {by} DESC, pos) AS rn FROM ({scored})) WHERE rn = 1"""
+                              for i, (llm, by) in enumerate(llms))
 
 
 cte("board", ("all_runs", "qrels"), "SELECT * FROM (" + "{MACRO}" + ")")
@@ -241,24 +259,20 @@ SELECT retriever, query_id, doc_id, rank FROM all_runs WHERE doc_id IS NOT NULL
   SELECT b.retriever FROM board b JOIN
     (VALUES ('bm25', 0), ('tfidf', 1), ('match', 2), ('hybrid', 3), ('rrf', 4), ('consensus', 5)) d(retriever, idx)
     ON d.retriever = b.retriever ORDER BY b.f1_score DESC, d.idx LIMIT 1)""")
-cte("answers", ("best_pairs", "corpus"), f"""
-SELECT m.llm, m.llm_idx, p.query_id, p.doc_id, trim(CASE m.llm
-    WHEN 'first_line' THEN {ANSWER('first_line', 'c.text')}
-    WHEN 'last_line' THEN {ANSWER('last_line', 'c.text')}
-    ELSE {ANSWER('longest_line', 'c.text')} END) AS answer
-FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p JOIN corpus c ON c.doc_id = p.doc_id
-CROSS JOIN (VALUES ('first_line', 0), ('last_line', 1), ('longest_line', 2)) m(llm, llm_idx)""")
+cte("best_line", ("best_pairs", "corpus", "qs"), best_lines("best_pairs"))
+cte("answers", ("best_line",), "SELECT llm, llm_idx, query_id, doc_id, trim(line) AS answer FROM best_line")
 cte("janswers", ("answers", "qs"), f"""
-SELECT a.*, CASE WHEN a.answer IS NULL THEN NULL WHEN {COVER('q.text', 'a.answer')} >= 0.5 THEN 1 ELSE 0 END
-  AS prediction FROM answers a JOIN qs q ON q.query_id = a.query_id""")
+SELECT *, CASE WHEN grade >= 0.5 THEN 1 WHEN grade < 0.5 THEN 0 END AS prediction FROM (
+  SELECT a.*, CASE WHEN a.answer IS NOT NULL THEN {COVER('q.text', 'a.answer')} END AS grade
+  FROM answers a JOIN qs q ON q.query_id = a.query_id)""")
 cte("trows", ("janswers",), """
 SELECT query_id, doc_id, best_llm, label FROM (SELECT query_id, doc_id, llm AS best_llm, llm_idx AS label,
-  row_number() OVER (PARTITION BY query_id, doc_id ORDER BY prediction DESC, llm_idx ASC) AS rn
-  FROM janswers WHERE prediction IS NOT NULL) WHERE rn = 1""")
-cte("base_ans", ("qs_ok", "corpus", "m_bm25", "qs"), f"""
-SELECT b.query_id, b.doc_id, trim({ANSWER('first_line', 'c.text')}) AS answer,
-  CASE WHEN {COVER('q.text', 'trim(' + ANSWER('first_line', 'c.text') + ')')} >= 0.5 THEN 1 ELSE 0 END AS answer_pred
-FROM ({_bm25_ranked(1)}) b JOIN corpus c ON c.doc_id = b.doc_id JOIN qs q ON q.query_id = b.query_id""")
+  row_number() OVER (PARTITION BY query_id, doc_id ORDER BY grade DESC, llm_idx ASC) AS rn
+  FROM janswers WHERE grade IS NOT NULL) WHERE rn = 1""")
+cte("bm25_1", ("qs_ok", "corpus", "m_bm25"), _bm25_ranked(1))
+cte("base_ans", ("bm25_1", "corpus", "qs"), f"""
+SELECT b.query_id, b.doc_id, trim(b.line) AS answer, CASE WHEN {COVER('q.text', 'trim(b.line)')} >= 0.5 THEN 1 ELSE 0 END AS answer_pred
+FROM ({best_lines("bm25_1", LLMS[:1])}) b JOIN qs q ON q.query_id = b.query_id""")
 cte("rows_", ("routed",), """
 SELECT routing, query_id, doc_id, 'Context_Relevance_Label' AS label_kind, context_pred AS f FROM routed
 UNION ALL SELECT routing, query_id, doc_id, 'Answer_Relevance_Label', answer_pred FROM routed""")
@@ -312,8 +326,9 @@ SELECT (SELECT n FROM st_ws) AS n_docs, round((SELECT sum(dl) FROM dl_ws) / (SEL
                         "df_ws", "idf_ws")
     q["bm25_std_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM match_k", "match_k")
     q["tfidf_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM tfidf_k", "tfidf_k")
-    for key, dims in (("dense_topk", None), ("dense_topk_b", 32)):
-        v = "CAST(embedding AS DOUBLE[])" if dims is None else f"list_slice(CAST(embedding AS DOUBLE[]), 1, {dims})"
+    whole = "CAST(embedding AS DOUBLE[])"
+    fold = f"list_transform(generate_series(1, (len(embedding) + 1) // 2), lambda i: ({whole})[i] + ({whole})[len(embedding) + 1 - i])"
+    for key, v in (("dense_topk", whole), ("dense_topk_b", fold)):
         q[key] = f"""
 WITH e AS (SELECT vec_id, {v} AS v FROM embeddings),
 eq AS (SELECT vec_id AS query_id, v, sqrt(list_dot_product(v, v)) AS nv FROM e WHERE vec_id % {QUERY_VECTOR_EVERY} = 0),
@@ -401,11 +416,11 @@ FROM u FULL JOIN l USING (scope)"""
 SELECT p.query_id, p.doc_id, q.text AS Query, c.text AS Document,
   CASE WHEN r.label = 1 THEN '[[Yes]]' WHEN r.label = 0 THEN '[[No]]'
        WHEN p.doc_id IN (SELECT doc_id FROM labels) THEN 'N/A' ELSE 'None' END AS Context_Relevance_Label
-FROM (SELECT DISTINCT query_id, doc_id FROM bm25_pool) p LEFT JOIN qrels r ON r.query_id = p.query_id
+FROM (SELECT DISTINCT query_id, doc_id FROM pool) p LEFT JOIN qrels r ON r.query_id = p.query_id
   AND r.doc_id = p.doc_id JOIN qs q ON q.query_id = p.query_id JOIN corpus c ON c.doc_id = p.doc_id"""
-    q["scan_tsv"] = sql(raw, "bm25_pool", "qrels", "qs", "corpus")
+    q["scan_tsv"] = sql(raw, "pool", "qrels", "qs", "corpus")
     q["clean_pairs"] = sql(f"""SELECT query_id, doc_id, CASE WHEN Context_Relevance_Label = '[[Yes]]' THEN 1 ELSE 0 END
-  AS label FROM ({raw}) WHERE Context_Relevance_Label IN ('[[Yes]]', '[[No]]')""", "bm25_pool", "qrels", "qs", "corpus")
+  AS label FROM ({raw}) WHERE Context_Relevance_Label IN ('[[Yes]]', '[[No]]')""", "pool", "qrels", "qs", "corpus")
     q["parse_labels"] = f"""
 SELECT u.conv_id, u.turn, CASE WHEN {COVER('u.text', 'a.text')} >= 0.5 THEN 1 ELSE 0 END AS answer_relevance
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -416,8 +431,8 @@ WHERE u.role = 'user' AND a.role = 'assistant'"""
     q["distinct_queries"] = "SELECT min(item_id) AS query_id, text FROM benchmark GROUP BY text"
     q["first_n_queries"] = ("SELECT query_id, text FROM (SELECT min(item_id) AS query_id, text FROM benchmark "
                             "GROUP BY text) ORDER BY query_id LIMIT 1000")
-    q["semi_queries"] = sql("SELECT query_id, doc_id, rank FROM bm25_pool WHERE query_id IN "
-                            "(SELECT query_id FROM qrels WHERE label = 1)", "bm25_pool", "qrels")
+    q["semi_queries"] = sql("SELECT query_id, doc_id, rank FROM pool WHERE query_id IN "
+                            "(SELECT query_id FROM qrels WHERE label = 1)", "pool", "qrels")
     q["blank_query_guard"] = sql(f"""
 SELECT b.item_id AS query_id, CAST(CASE WHEN {BLANK('b.text')} THEN 1 ELSE 0 END AS INTEGER) AS is_blank,
   coalesce(r.doc_ids, '') AS doc_ids, coalesce(r.n, 0) AS n_results
@@ -431,7 +446,7 @@ SELECT item_id AS query_id, CAST(len({WS('text')}) AS INTEGER) AS n_ws_tokens,
   CAST(len({STD('text')}) AS INTEGER) AS n_std_tokens,
   CAST(CASE WHEN {BLANK('text')} THEN 1 ELSE 0 END AS INTEGER) AS is_blank,
   CAST(length('Query: ' || text || {NL} || 'Document: ' || {NL} || 'Answer:') AS INTEGER) AS prompt_chars,
-  CAST(least(16, len({WS('text')}) + len({STD('text')})) AS INTEGER) AS capped_tokens FROM benchmark"""
+  CAST(least(512, len({WS('text')}) + len({STD('text')})) AS INTEGER) AS capped_tokens FROM benchmark"""
     dim6 = "(VALUES ('bm25'), ('tfidf'), ('match'), ('hybrid'), ('rrf'), ('consensus')) d(retriever)"
     q["missing_queries"] = sql(f"""
 SELECT d.retriever, b.item_id AS query_id FROM {dim6} CROSS JOIN benchmark b
@@ -440,8 +455,8 @@ WHERE NOT EXISTS (SELECT 1 FROM all_runs r WHERE r.retriever = d.retriever AND r
 SELECT e.member, e.kind, CASE WHEN e.member IN (SELECT retriever FROM all_runs UNION SELECT llm FROM answers)
   THEN 1 ELSE 0 END AS present
 FROM (VALUES ('bm25', 'retriever'), ('tfidf', 'retriever'), ('match', 'retriever'), ('hybrid', 'retriever'),
-             ('rrf', 'retriever'), ('consensus', 'retriever'), ('first_line', 'llm'), ('last_line', 'llm'),
-             ('longest_line', 'llm')) e(member, kind)""", "all_runs", "answers")
+             ('rrf', 'retriever'), ('consensus', 'retriever'), ('coverage', 'llm'), ('density', 'llm'),
+             ('length', 'llm')) e(member, kind)""", "all_runs", "answers")
     q["scan_runs_dir"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs5", "runs5")
     q["scan_judged_dir"] = sql("SELECT retriever, query_id, doc_id, rank, prediction FROM judged "
                                "WHERE retriever <> 'rrf'", "judged")
@@ -471,10 +486,12 @@ FULL JOIN (SELECT r.routing, r.label_kind, count(*) AS n_labelled, avg(g.label -
            FROM rows_ r JOIN qrels g ON g.query_id = r.query_id AND g.doc_id = r.doc_id
            GROUP BY r.routing, r.label_kind) l
 ON u.routing = l.routing AND u.label_kind = l.label_kind""", "rows_")
+    q["answer_external"] = sql("SELECT llm, query_id, doc_id, answer FROM answers", "answers")
+    prompt = f"'Query: ' || q.text || {NL} || 'Document: ' || c.text || {NL} || 'Answer:'"
     q["error_isolation"] = sql(f"""
-SELECT 'first_line' AS llm, query_id, doc_id, CASE WHEN length(l) > 300 THEN NULL ELSE l END AS answer,
-  CASE WHEN length(l) > 300 THEN 1 ELSE 0 END AS failed
-FROM (SELECT DISTINCT p.query_id, p.doc_id, {ANSWER('first_line', 'c.text')} AS l FROM best_pairs p
-      JOIN corpus c ON c.doc_id = p.doc_id)""", "best_pairs", "corpus")
+SELECT a.llm, a.query_id, a.doc_id, CASE WHEN f.failed = 0 THEN a.answer END AS answer, f.failed FROM answers a JOIN (
+  SELECT p.query_id, p.doc_id, CASE WHEN substr(md5({prompt}), 1, 1) < '4' THEN 1 ELSE 0 END AS failed
+  FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p JOIN corpus c ON c.doc_id = p.doc_id
+  JOIN qs q ON q.query_id = p.query_id) f ON f.query_id = a.query_id AND f.doc_id = a.doc_id""", "answers", "best_pairs", "corpus", "qs")
     q["best_retriever_docs"] = sql("SELECT retriever, query_id, doc_id, rank FROM best_pairs", "best_pairs")
     return q

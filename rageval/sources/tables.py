@@ -5,7 +5,7 @@ Every view reads the given parquet tables, so its work grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, word_count
@@ -31,15 +31,13 @@ def min_words(df: DataFrame, text_col: str = "text", min_exclusive: int = MIN_WO
 def dedupe_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text, keeping the smallest id.
 
-    One pass: grouped by the SHA-256 of the text (a 32-byte, uniformly spread
-    key) with ``min(id)`` and ``min_by(text, id)``. The aggregate runs
-    partially in every map task first, so copies of a text collapse before
-    the shuffle -- a text repeated in a third of all rows still sends one row
-    per task -- and each distinct text crosses the network once.
+    Grouped by the SHA-256 of the text with ``min(id)``: a hash aggregate over
+    narrow rows that runs partially in every map task first, so a text repeated
+    in a third of all rows sends one row per task. The texts of the kept ids
+    are then looked up with a semi-join.
     """
-    return (df.groupBy(F.sha2(F.col(text_col), 256).alias("h"))
-            .agg(F.min(id_col).alias(id_col), F.min_by(text_col, id_col).alias(text_col))
-            .select(id_col, text_col))
+    first = df.groupBy(F.sha2(F.col(text_col), 256).alias("h")).agg(F.min(id_col).alias(id_col)).select(id_col)
+    return df.select(id_col, text_col).join(first, id_col, "left_semi")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +62,17 @@ def nonblank(qs: DataFrame) -> DataFrame:
 QUERY_VECTOR_EVERY = 10
 
 
-def embedding_roles(spark: SparkSession, sf_dir: str, dims: int | None = None):
-    """``(emb_q, emb_d)`` = (query_id, vec) and (doc_id, vec) views of ``embeddings``."""
+def folded(vec) -> Column:
+    """The second encoder: components added up from both ends, half as many; all of the vector counts."""
+    v = vec.cast("array<double>")
+    both = F.zip_with(v, F.reverse(v), lambda a, b: a + b)
+    return F.slice(both, F.lit(1), F.ceil(F.size(v) / 2).cast("int"))
+
+
+def embedding_roles(spark: SparkSession, sf_dir: str, encoder: str = "a"):
+    """``(emb_q, emb_d)`` = (query_id, vec) and (doc_id, vec) views of ``embeddings``, as they are or ``folded``."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    vec = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
+    vec = F.col("embedding") if encoder == "a" else folded(F.col("embedding"))
     is_q = (F.col("vec_id") % QUERY_VECTOR_EVERY) == 0
     emb_q = e.where(is_q).select(F.col("vec_id").alias("query_id"), vec.alias("vec"))
     emb_d = e.where(~is_q).select(F.col("vec_id").alias("doc_id"), vec.alias("vec"))
