@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side (rows) we hand to ``broadcast()``. Everything we broadcast is
-# derived from the query set or a fixed dimension, never from the corpus; the
-# bound is checked before the hint is applied and beyond it the join is left to
-# the planner (sort-merge, with AQE skew splitting).
+# Largest side we hand to ``broadcast()``, in rows and in bytes. The bounds are
+# checked before the hint is applied and beyond them the join is left to the
+# planner (sort-merge, with AQE skew splitting).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 << 20
 # Scores are ranked at this many decimals. Sums of the same terms in another
 # order differ in the last bits; the original sums each document in query-term
 # order, so equal scores there are exact ties broken by position. Rounding
@@ -21,13 +21,12 @@ def rank_score(col="score") -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, SCORE_DECIMALS)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check reads at most ``max_rows + 1`` rows per partition.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows and ``max_bytes`` bytes as JSON text, else ``df``
+    unchanged; one aggregation over ``df``."""
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+    n, n_bytes = df.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if n <= max_rows and n_bytes <= max_bytes else df
 
 
 def top_k(df: DataFrame, partition_cols, order_cols, k: int, rank_col: str = "rank") -> DataFrame:
@@ -45,6 +44,27 @@ def top_k(df: DataFrame, partition_cols, order_cols, k: int, rank_col: str = "ra
               .where(F.col(rank_col) <= k))
 
 
+def first_n(df: DataFrame, order_cols, n: int, written) -> DataFrame:
+    """The first ``n`` rows in an order, without gathering them in a task: rows are dealt out by ranges of the order
+    and ``written``, ranges are counted, whole ranges are kept and one is cut. ``order_cols`` should be unique."""
+    ranged = written(df.repartitionByRange(*order_cols).withColumn("range_no", F.spark_partition_id()))
+    keep, cut, left = [], None, n
+    for no, size in ranged.groupBy("range_no").count().orderBy("range_no").collect():  # a row per partition
+        if left <= 0:
+            break
+        if size <= left:
+            keep.append(no)
+        else:
+            cut = no
+        left -= size if cut is None else left
+    whole = ranged.where(F.col("range_no").isin(keep)) if keep else ranged.where(F.lit(False))
+    if cut is not None:
+        rest = n - (ranged.where(F.col("range_no").isin(keep)).count() if keep else 0)
+        part = ranged.where(F.col("range_no") == cut)
+        whole = whole.unionByName(top_k(part, "range_no", order_cols, rest).drop("rank"))
+    return whole.drop("range_no")
+
+
 def doc_order(ascending: bool) -> Column:
     return F.col("doc_id").asc() if ascending else F.col("doc_id").desc()
 

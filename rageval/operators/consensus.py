@@ -3,8 +3,8 @@
 The consensus keeps, per query, the documents most retrievers' results were
 judged relevant for; queries without any fall back to the fusion run, but
 only up to a global budget of ``floor(n_queries * ratio)`` queries; the rest
-get the sentinel row. The reference's sequential budget counter becomes an
-ordered ``limit`` once the order is fixed (query text, then id).
+get the sentinel row. A sequential budget counter becomes the first rows of an
+order once that is fixed (query text, then id).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import std_tokens
 from ..session import ship_package
-from .common import maybe_broadcast, top_k
+from .common import first_n, maybe_broadcast, top_k
 
 # Default judge threshold and fallback ratio.
 JUDGE_THRESHOLD = 0.5
@@ -100,7 +100,8 @@ def consensus(judged: DataFrame, fusion: DataFrame, corpus: DataFrame, queries:
     eligible = (without.join(fusion.select("query_id").distinct(), "query_id", "left_semi")
                 .join(queries.select("query_id", F.col("text").alias("qtext")), "query_id", "left"))
     if budget > 0:
-        picked = eligible.orderBy(F.col("qtext").asc_nulls_first(), "query_id").limit(budget).select("query_id")
+        picked = first_n(eligible.select("query_id", "qtext"), [F.col("qtext").asc_nulls_first(), F.col("query_id").asc()],
+                         budget, lambda df: df.checkpoint(eager=True)).select("query_id")
     else:
         picked = eligible.select("query_id").where(F.lit(False))
     fallback = (fusion.where(F.col("rank") <= k).join(picked, "query_id", "left_semi")

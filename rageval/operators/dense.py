@@ -1,12 +1,12 @@
 """Dense retrieval (R2/R3/J2): exact cosine top-k of query vectors against document vectors.
 
 Scoring every (query, document) pair is what exact dense retrieval is; the
-plan keeps it distributed and never materialises the pairs. The query
-vectors are the bounded side: they are split into blocks whose size is
-checked (rows x dims) and each block is broadcast once. Documents stream
-through ``mapInPandas`` in Arrow batches; each batch does one matrix product
-against the block and keeps only its own top ``k`` per query, so a task
-emits at most ``k x block`` rows. A final per-query top-k merges the batches.
+plan keeps it distributed and never materialises the pairs. Documents are
+hashed into parts of bounded size, and every query goes to every part. A task
+holds one part's matrix and streams the queries past it in batches, a bounded
+number of cells at a time; per query it keeps ``k`` documents of the part. A
+final per-query top-k merges the parts. Neither side is collected or
+broadcast, whatever their sizes.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import SCORE_DECIMALS, rank_score, top_k
 
-# Largest query block, in float64 values (rows x dims), shipped to executors.
-MAX_BLOCK_VALUES = 8_000_000
+# Documents of a part, and cells (queries x documents) scored at once.
+PART_ROWS = 20_000
+MAX_CELLS = 4_000_000
 RESULT_SCHEMA = "query_id long, doc_id long, score double"
 
 
@@ -33,65 +34,63 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batch_topk(qids: np.ndarray, qmat: np.ndarray, k: int):
+def best_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of each row's ``k`` best cells by (score desc, id desc).
+
+    A partial sort finds each row's k-th score; only cells that reach it are ordered.
+    """
+    score = np.round(sims, SCORE_DECIMALS)
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    row, col = np.nonzero(score >= least[:, None])
+    order = np.lexsort((-ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(score)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep]
+
+
+def _part_topk(k: int, max_cells: int):
     def run(batches):
+        part, ids, vecs, matrix = None, [], [], None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            dmat = _unit_rows(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-            dids = pdf["doc_id"].to_numpy(np.int64)
-            sims = qmat @ dmat.T                                   # (Q, B)
-            kk = min(k, sims.shape[1])
-            # order: score desc, then doc_id desc (reversed argsort of the reference)
-            keys = (np.broadcast_to(-dids, sims.shape), -np.round(sims, SCORE_DECIMALS))
-            order = np.lexsort(keys, axis=-1)[:, :kk]
-            rows = np.repeat(np.arange(sims.shape[0]), kk)
-            cols = order.reshape(-1)
-            yield pd.DataFrame({"query_id": qids[rows], "doc_id": dids[cols],
-                                "score": sims[rows, cols]})
+            for key, own in pdf.groupby("part", sort=False):
+                if key != part:
+                    part, ids, vecs, matrix = key, [], [], None
+                docs, asked = own[own["kind"] == 0], own[own["kind"] == 1]
+                if len(docs):
+                    ids.append(docs["id"].to_numpy(np.int64))
+                    vecs.append(np.stack(docs["vec"].to_numpy()).astype(np.float64))
+                if not len(asked) or not ids:
+                    continue
+                if matrix is None:
+                    all_ids, matrix = np.concatenate(ids), _unit_rows(np.concatenate(vecs))
+                step = max(1, max_cells // len(matrix))
+                for at in range(0, len(asked), step):
+                    some = asked.iloc[at:at + step]
+                    sims = _unit_rows(np.stack(some["vec"].to_numpy()).astype(np.float64)) @ matrix.T
+                    row, col = best_rows(sims, all_ids, k)
+                    yield pd.DataFrame({"query_id": some["id"].to_numpy(np.int64)[row], "doc_id": all_ids[col], "score": sims[row, col]})
     return run
 
 
-def dense_search(emb_q: DataFrame, emb_d: DataFrame, k: int,
-                 max_block_values: int = MAX_BLOCK_VALUES) -> DataFrame:
+def dense_search(emb_q: DataFrame, emb_d: DataFrame, k: int, part_rows: int = PART_ROWS,
+                 max_cells: int = MAX_CELLS) -> DataFrame:
     """Top-k (query_id, doc_id, rank, score) by cosine; ties to the larger doc_id."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    spark = emb_d.sparkSession
-    ship_package(spark)
-    stats = emb_q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n_q, dims = int(stats["n"]), int(stats["d"] or 0)
-    if n_q == 0:
-        return spark.createDataFrame([], "query_id long, doc_id long, rank int, score double")
-    per_block = max(1, max_block_values // max(dims, 1))
-    n_blocks = -(-n_q // per_block)
-    docs = emb_d.select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
-    parts = []
-    for b in range(n_blocks):
-        block = emb_q if n_blocks == 1 else emb_q.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        pdf = block.select("query_id", F.col("vec").cast("array<double>")).toPandas()
-        if pdf.empty:
-            continue
-        qmat = _unit_rows(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-        qids = pdf["query_id"].to_numpy(np.int64)
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        fn = _batch_topk_bc(bc, k)
-        parts.append(docs.mapInPandas(fn, RESULT_SCHEMA))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    ship_package(emb_d.sparkSession)
+    n_parts = max(1, -(-emb_d.count() // part_rows))
+    docs = emb_d.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int").alias("part"), F.lit(0).alias("kind"),
+                        F.col("doc_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    asked = emb_q.select(F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(1).alias("kind"),
+                         F.col("query_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    both = docs.unionByName(asked).repartition(n_parts, "part").sortWithinPartitions("part", "kind", "id")
+    cand = both.mapInPandas(_part_topk(k, max_cells), RESULT_SCHEMA)
     out = top_k(cand, "query_id", [rank_score().desc(), F.col("doc_id").desc()], k)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")
 
 
-def _batch_topk_bc(bc, k: int):
-    def run(batches):
-        qids, qmat = bc.value
-        yield from _batch_topk(qids, qmat, k)(batches)
-    return run
-
-
 def embed_texts(df: DataFrame, text_col: str, encode_fn, out_col: str = "vec") -> DataFrame:
     """Batch text embedding with a user encoder, as an iterator pandas UDF.
 

@@ -302,9 +302,8 @@ def distinct_queries(spark, sf_dir):
 
 @register("first_n_queries")
 def first_n_queries(spark, sf_dir):
-    """The first 1000 distinct queries in order of appearance (the cap is the feature)."""
-    q = distinct_queries(spark, sf_dir)
-    return q.orderBy("query_id").limit(tables.DEFAULT_QUERY_CAP)
+    """The first 10 distinct queries in order of appearance (the cap, 1000 by default, is the feature)."""
+    return tables.first_queries(distinct_queries(spark, sf_dir), 10)
 
 
 @register("semi_queries")
@@ -363,17 +362,14 @@ def scalar_text(spark, sf_dir, cap=512):
 
 @register("missing_queries")
 def missing_queries(spark, sf_dir):
-    """Per retriever, the queries it returned nothing for."""
-    from .fixtures import ALL_RETRIEVERS
+    """Per retriever, the queries it returned nothing for; besides the runs, the judged-relevant ones of each."""
+    from .fixtures import ALL_RETRIEVERS, BASE_RETRIEVERS
     fx = fixtures(spark, sf_dir)
-    runs = fx.all_runs
-    out = None
-    for name in ALL_RETRIEVERS:
-        m = (fx.queries.select("query_id")
-             .join(runs.where(F.col("retriever") == name).select("query_id"), "query_id", "left_anti")
-             .select(F.lit(name).alias("retriever"), "query_id"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    relevant = fx.judged.where("prediction = 1").select(F.concat("retriever", F.lit("_relevant")).alias("retriever"), "query_id")
+    runs = fx.all_runs.select("retriever", "query_id").unionByName(relevant).distinct()
+    names = [*ALL_RETRIEVERS, *(f"{n}_relevant" for n in (*BASE_RETRIEVERS, "rrf"))]
+    expected = fx.queries.select(F.explode(F.array(*map(F.lit, names))).alias("retriever"), "query_id")
+    return expected.join(runs, ["retriever", "query_id"], "left_anti")
 
 
 @register("missing_members")
@@ -382,7 +378,7 @@ def missing_members(spark, sf_dir):
     from .fixtures import ALL_RETRIEVERS
     fx = fixtures(spark, sf_dir)
     expected = spark.createDataFrame(
-        [(n, "retriever") for n in ALL_RETRIEVERS] + [(n, "llm") for n in generate.PROVIDERS],
+        [(n, "retriever") for n in (*ALL_RETRIEVERS, "not_run")] + [(n, "llm") for n in (*generate.PROVIDERS, "not_asked")],
         "member string, kind string")
     present = (fx.all_runs.select(F.col("retriever").alias("member")).distinct()
                .unionByName(fx.answers.select(F.col("llm").alias("member")).distinct())
@@ -420,6 +416,25 @@ def scan_judged_dir(spark, sf_dir):
     return df.select("retriever", "query_id", "doc_id", "rank", "prediction")
 
 
+@register("consensus_from_files")
+def consensus_from_files(spark, sf_dir):
+    """The consensus of judged files, with the fusion file and, without one, no fallback."""
+    from .fixtures import BASE_RETRIEVERS
+    fx = fixtures(spark, sf_dir)
+    d = scratch_path(spark, "consensus-files")
+    for name in (*BASE_RETRIEVERS, "rrf"):
+        tsv.write_tsv(fx.judged.where(F.col("retriever") == name).select("prediction", "rank", "doc_id", "query_id"), f"{d}/{name}_judged.tsv")
+    tsv.write_tsv(fx.rrf.select("query_id", "doc_id", "rank"), f"{d}/fusion.tsv")
+    tsv.require_members(spark, d, "_judged.tsv", BASE_RETRIEVERS)
+    judged = tsv.read_suffix_dir(spark, d, "_judged.tsv", "query_id long, doc_id long, rank int, prediction int", exclude=("rrf",))
+    out = None
+    for fusion_file in ("fusion.tsv", "absent.tsv"):
+        fused = tsv.read_optional(spark, f"{d}/{fusion_file}", RUN_SCHEMA)
+        own = consensus_ops.consensus(judged, fused, fx.corpus, fx.queries, fx.k, small=fx.small).withColumn("fusion_file", F.lit(fusion_file))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @register("incremental_backfill")
 def incremental_backfill(spark, sf_dir):
     """Stage outputs are written only if absent; a second pass computes only the
@@ -482,8 +497,8 @@ def baseline_routing(spark, sf_dir):
 
 @register("routing_eval")
 def routing_eval(spark, sf_dir):
-    """Baseline vs oracle routing, each judged for context and answer relevance,
-    scored by prediction-powered inference against the judged pairs."""
+    """Fixed, learned and best possible routing, each judged for context and answer relevance,
+    scored by prediction-powered inference against the gold of that label."""
     return fixtures(spark, sf_dir).routing_eval()
 
 
@@ -515,4 +530,4 @@ def router_eval(spark, sf_dir):
 @register("dynamic_routing")
 def dynamic_routing(spark, sf_dir):
     """P5/U8: route each best-retriever pair with the trained router, then answer."""
-    return fixtures(spark, sf_dir).dynamic_routing()
+    return fixtures(spark, sf_dir).dynamic_answers

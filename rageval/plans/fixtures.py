@@ -11,6 +11,7 @@ also hand over through files.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import consensus as consensus_ops
 from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, router
 from ..operators.common import DEFAULT_BROADCAST_ROWS
-from ..session import checkpoint_root, ship_package, write_bucketed
+from ..session import buckets_for, checkpoint_root, drop_tables, folder_bytes, ship_package, write_bucketed
 from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
@@ -32,19 +33,36 @@ BASE_RETRIEVERS = ("bm25", "tfidf", "match", "hybrid")
 ALL_RETRIEVERS = BASE_RETRIEVERS + ("rrf", "consensus")
 ROUTING_TOP_K = 1       # fixed value: routing retrieves the top 1 document
 
+TABLES_READ = ("documents", "embeddings", "benchmark", "labels", "conversations")
+
 _CACHE: dict = {}
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> "Fixtures":
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    """The stages over a folder, built anew when its files change."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), listing(spark, sf_dir))
     fx = _CACHE.get(key)
     if fx is None:
         fx = Fixtures(spark, sf_dir.rstrip("/"))
+        for old in _CACHE.values():
+            old.close()
         _CACHE.clear()
         _CACHE[key] = fx
     return fx
 
 
+def listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of each file of the tables."""
+    sc = spark.sparkContext
+    out = []
+    for name in TABLES_READ:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        for f in fs.listStatus(path) if fs.exists(path) else []:
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, pool_depth: int = POOL_DEPTH):
         self.spark = spark
@@ -55,6 +73,13 @@ class Fixtures:
         ship_package(spark)
         self._consensus: dict[str, DataFrame] = {}
         self._runs: dict[tuple, DataFrame] = {}
+        self._tables: list[str] = []
+
+    def close(self) -> None:
+        """Drop the bucketed tables from the catalogue."""
+        if self.spark.sparkContext._jsc and not self.spark.sparkContext._jsc.sc().isStopped():
+            drop_tables(self.spark, self._tables)
+        self._tables.clear()
 
     def _run(self, name: str, k: int, make) -> DataFrame:
         """Each retriever run is computed once per (retriever, k) and checkpointed."""
@@ -71,10 +96,17 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name)
 
-    @staticmethod
-    def bucket(df: DataFrame, name: str) -> DataFrame:
+    @cached_property
+    def n_buckets(self) -> int:
+        """Of all document-keyed tables, so that they are joined in place. Postings have about four times the bytes
+        of the compressed documents."""
+        return buckets_for(4 * folder_bytes(self.spark, f"{self.sf_dir}/documents.parquet"))
+
+    def bucket(self, df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
         """Materialise a document-keyed stage as a table bucketed by ``doc_id``."""
-        return write_bucketed(df, name, "doc_id")
+        table = f"rageval_{name}_{uuid.uuid4().hex[:10]}"
+        self._tables.append(table)
+        return write_bucketed(df, table, "doc_id", self.n_buckets, sort_by)
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -108,7 +140,7 @@ class Fixtures:
         """Postings are bucketed by doc_id; the vocabulary table is checkpointed."""
         def materialize(df: DataFrame) -> DataFrame:
             if "doc_id" in df.columns:
-                return self.bucket(df, f"postings_{kind}")
+                return self.bucket(df, f"postings_{kind}", sort_by="token")
             return self.cut(df)
         return materialize
 
@@ -229,40 +261,36 @@ class Fixtures:
         return self.cut(ans)
 
     def routing_eval(self) -> DataFrame:
+        """Fixed, learned and best possible routing, each judged for context and answer relevance and corrected by
+        the gold of that label: the judged pairs, and whether the answer itself has the query's tokens in a row."""
         from ..operators.consensus import coverage
-        oracle = (self.judged_answers.join(self.training_rows.select("query_id", "doc_id", "label"),
-                                           ["query_id", "doc_id"])
-                  .where(F.col("llm_idx") == F.col("label"))
-                  .select(F.lit("oracle").alias("routing"), "query_id", "doc_id", "answer",
-                          F.col("prediction").alias("answer_pred")))
-        base = (generate.judge_answers(self.baseline_answers, self.queries)
-                .select(F.lit("baseline").alias("routing"), "query_id", "doc_id", "answer",
-                        F.col("prediction").alias("answer_pred")))
-        both = oracle.unionByName(base)
-        ctx = (both.join(self.queries.select("query_id", F.col("text").alias("qtext")), "query_id")
-               .join(self.corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
-               .withColumn("context_pred", (coverage("qtext", "dtext") >= 0.5).cast("int")))
-        rows = ctx.select("routing", "query_id", "doc_id", F.inline(F.array(
-            F.struct(F.lit("Context_Relevance_Label").alias("label_kind"), F.col("context_pred").alias("f")),
-            F.struct(F.lit("Answer_Relevance_Label").alias("label_kind"), F.col("answer_pred").alias("f")))))
-        gold = self.qrels.select("query_id", "doc_id", F.col("label").alias("y"))
-        labelled = rows.join(gold, ["query_id", "doc_id"])
-        unlabelled = rows.join(gold, ["query_id", "doc_id"], "left_anti")
-        return metrics.ppi_estimate(unlabelled, labelled, ["routing", "label_kind"])
+        from ..operators.ground_truth import token_line
+        upper = (self.judged_answers.join(self.training_rows.select("query_id", "doc_id", F.col("label").alias("llm_idx")),
+                                          ["query_id", "doc_id", "llm_idx"]).select(F.lit("upper_bound").alias("routing"), "query_id", "doc_id", "answer"))
+        both = (self.baseline_answers.select(F.lit("baseline").alias("routing"), "query_id", "doc_id", "answer")
+                .unionByName(self.dynamic_answers.select(F.lit("dynamic").alias("routing"), "query_id", "doc_id", "answer")).unionByName(upper))
+        texts = (both.join(self.queries.select("query_id", F.col("text").alias("qtext")), "query_id")
+                 .join(self.corpus.select("doc_id", F.col("text").alias("dtext")), "doc_id")
+                 .join(self.qrels.select("query_id", "doc_id", F.col("label").alias("gold")), ["query_id", "doc_id"], "left"))
+
+        def row(kind, text, gold):
+            return F.struct(F.lit(kind).alias("label_kind"), (coverage("qtext", text) >= 0.5).cast("int").alias("f"), gold.cast("int").alias("y"))
+
+        said = F.when(F.col("gold").isNotNull(), F.contains(token_line("answer"), token_line("qtext")).cast("int"))
+        rows = texts.select("routing", F.inline(F.array(row("Context_Relevance_Label", "dtext", F.col("gold")), row("Answer_Relevance_Label", "answer", said))))
+        return metrics.ppi_estimate(rows.where("y is null").drop("y"), rows.where("y is not null"), ["routing", "label_kind"])
 
     @cached_property
     def router(self):
-        """The router pipeline fitted on the train split; (model, validation table)."""
-        rows = router.hash_split(self.training_rows)
-        feats = router.router_features(rows, self.corpus, self.queries).withColumn(
-            "label", F.col("label").cast("double"))
-        train = self.cut(feats.where(F.col("split") == "train"))
-        val = self.cut(feats.where(F.col("split") == "validation"))
-        return router.train_router(train, val)
-
-    def dynamic_routing(self) -> DataFrame:
+        """The router fitted on the train split; (model, validation table)."""
+        feats = router.router_features(router.hash_split(self.training_rows), self.corpus, self.queries)
+        feats = self.cut(feats.select("query_id", "doc_id", "label", "split", "router_text"))
+        return router.train_naive_bayes(feats.where("split = 'train'"), feats.where("split = 'validation'"), len(generate.PROVIDERS), self.cut)
+
+    @cached_property
+    def dynamic_answers(self) -> DataFrame:
         """P5/U8: route the best-retriever pairs, answer with the chosen model."""
-        model = self.router[0]
         feats = router.router_features(self.best_pairs.select("query_id", "doc_id"), self.corpus, self.queries)
-        routed = router.route(model, feats, generate.llm_dim(self.spark))
-        return routed.select("query_id", "doc_id", F.trim(generate.chosen_answer()).alias("answer"), F.col("llm").alias("best_llm"))
+        routed = router.route_naive_bayes(self.router[0], feats, generate.llm_dim(self.spark))
+        texts = feats.select("query_id", "doc_id", "qtext", "dtext").dropDuplicates(["query_id", "doc_id"])
+        return self.cut(routed.join(texts, ["query_id", "doc_id"]).select("query_id", "doc_id", F.trim(generate.chosen_answer()).alias("answer"), F.col("llm").alias("best_llm")))

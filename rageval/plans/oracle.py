@@ -273,16 +273,52 @@ cte("bm25_1", ("qs_ok", "corpus", "m_bm25"), _bm25_ranked(1))
 cte("base_ans", ("bm25_1", "corpus", "qs"), f"""
 SELECT b.query_id, b.doc_id, trim(b.line) AS answer, CASE WHEN {COVER('q.text', 'trim(b.line)')} >= 0.5 THEN 1 ELSE 0 END AS answer_pred
 FROM ({best_lines("bm25_1", LLMS[:1])}) b JOIN qs q ON q.query_id = b.query_id""")
-cte("rows_", ("routed",), """
-SELECT routing, query_id, doc_id, 'Context_Relevance_Label' AS label_kind, context_pred AS f FROM routed
-UNION ALL SELECT routing, query_id, doc_id, 'Answer_Relevance_Label', answer_pred FROM routed""")
-cte("routed", ("janswers", "trows", "base_ans", "corpus", "qs"), f"""
-SELECT r.routing, r.query_id, r.doc_id, r.answer_pred,
-  CASE WHEN {COVER('q.text', 'c.text')} >= 0.5 THEN 1 ELSE 0 END AS context_pred
-FROM (SELECT 'oracle' AS routing, j.query_id, j.doc_id, j.prediction AS answer_pred FROM janswers j
+# naive Bayes router: token counts of query and document by best model, on the train split
+cte("split_", ("trows",), """
+SELECT *, CASE WHEN (('0x' || substr(md5('42|' || CAST(query_id AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR)), 1, 4))::INTEGER) % 100 < 20
+  THEN 'validation' ELSE 'train' END AS split FROM trows""")
+cte("ptok", ("best_pairs", "corpus", "qs"), f"""
+SELECT query_id, doc_id, token, count(*) AS tf FROM (SELECT p.query_id, p.doc_id, unnest({STD("q.text || ' ' || c.text")}) AS token
+  FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p JOIN qs q ON q.query_id = p.query_id JOIN corpus c ON c.doc_id = p.doc_id)
+GROUP BY query_id, doc_id, token""")
+cte("nb_class", ("split_",), "SELECT label, count(*) AS n FROM split_ WHERE split = 'train' GROUP BY label")
+cte("nb_tok", ("split_", "ptok"), "SELECT s.label, t.token, sum(t.tf) AS c FROM split_ s JOIN ptok t USING (query_id, doc_id) "
+    "WHERE s.split = 'train' GROUP BY s.label, t.token")
+cte("nb_vocab", ("nb_tok",), "SELECT DISTINCT token FROM nb_tok")
+cte("nb_score", ("ptok", "nb_class", "nb_tok", "nb_vocab", "best_pairs"), """
+SELECT a.alpha, p.query_id, p.doc_id, k.label, round(ln(k.n / (SELECT sum(n) FROM nb_class)) + coalesce(sum(t.tf * ln(coalesce(c.c, 0) + a.alpha)), 0)
+  - coalesce(sum(t.tf), 0) * ln((SELECT sum(x.c) FROM nb_tok x WHERE x.label = k.label) + a.alpha * (SELECT count(*) FROM nb_vocab)), 9) AS score
+FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p CROSS JOIN nb_class k CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE)) a(alpha)
+LEFT JOIN (SELECT * FROM ptok WHERE token IN (SELECT token FROM nb_vocab)) t ON t.query_id = p.query_id AND t.doc_id = p.doc_id
+LEFT JOIN nb_tok c ON c.token = t.token AND c.label = k.label
+GROUP BY a.alpha, p.query_id, p.doc_id, k.label, k.n""")
+cte("nb_eval", ("nb_score", "split_"), """
+SELECT alpha AS smoothing, count(*) AS n_rows, round(avg(-greatest(coalesce(s_y - lse, ln(1e-15)), ln(1e-15))), 6) AS log_loss,
+  round(avg(CASE WHEN pred = label THEN 1 ELSE 0 END), 6) AS accuracy
+FROM (SELECT v.query_id, v.doc_id, v.label, s.alpha, max(CASE WHEN s.label = v.label THEN s.score END) AS s_y, max(s.score) + ln(sum(exp(s.score - m.top))) AS lse,
+             min(CASE WHEN s.score = m.top THEN s.label END) AS pred
+      FROM split_ v JOIN nb_score s USING (query_id, doc_id)
+      JOIN (SELECT alpha, query_id, doc_id, max(score) AS top FROM nb_score GROUP BY alpha, query_id, doc_id) m
+        ON m.alpha = s.alpha AND m.query_id = v.query_id AND m.doc_id = v.doc_id
+      WHERE v.split = 'validation' GROUP BY v.query_id, v.doc_id, v.label, s.alpha)
+GROUP BY alpha""")
+cte("nb_pick", ("nb_score", "nb_eval"), """
+SELECT query_id, doc_id, label FROM (SELECT query_id, doc_id, label, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, label) AS rn
+  FROM nb_score WHERE alpha = (SELECT smoothing FROM nb_eval ORDER BY log_loss, smoothing DESC LIMIT 1)) WHERE rn = 1""")
+cte("dyn", ("nb_pick", "answers"), "SELECT a.query_id, a.doc_id, a.answer, a.llm AS best_llm FROM nb_pick p JOIN answers a "
+    "ON a.query_id = p.query_id AND a.doc_id = p.doc_id AND a.llm_idx = p.label")
+cte("routed", ("janswers", "trows", "base_ans", "dyn", "corpus", "qs", "qrels"), f"""
+SELECT r.routing, {COVER('q.text', 'c.text')} AS ctx, {COVER('q.text', 'r.answer')} AS ans, g.label AS gold,
+  CASE WHEN g.label IS NOT NULL THEN CASE WHEN contains({LINE('r.answer')}, {LINE('q.text')}) THEN 1 ELSE 0 END END AS said
+FROM (SELECT 'upper_bound' AS routing, j.query_id, j.doc_id, j.answer FROM janswers j
       JOIN trows t ON t.query_id = j.query_id AND t.doc_id = j.doc_id WHERE j.llm_idx = t.label
-      UNION ALL SELECT 'baseline', query_id, doc_id, answer_pred FROM base_ans) r
-JOIN qs q ON q.query_id = r.query_id JOIN corpus c ON c.doc_id = r.doc_id""")
+      UNION ALL SELECT 'baseline', query_id, doc_id, answer FROM base_ans
+      UNION ALL SELECT 'dynamic', query_id, doc_id, answer FROM dyn) r
+JOIN qs q ON q.query_id = r.query_id JOIN corpus c ON c.doc_id = r.doc_id
+LEFT JOIN qrels g ON g.query_id = r.query_id AND g.doc_id = r.doc_id""")
+cte("rows_", ("routed",), """
+SELECT routing, 'Context_Relevance_Label' AS label_kind, CASE WHEN ctx >= 0.5 THEN 1 ELSE 0 END AS f, gold AS y FROM routed
+UNION ALL SELECT routing, 'Answer_Relevance_Label', CASE WHEN ans >= 0.5 THEN 1 ELSE 0 END, said FROM routed""")
 
 
 def macro_sql(runs_cte: str) -> str:
@@ -430,7 +466,7 @@ WHERE u.role = 'user' AND a.role = 'assistant'"""
     q["distinct_docs"] = sql("SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM docs_ok GROUP BY text", "docs_ok")
     q["distinct_queries"] = "SELECT min(item_id) AS query_id, text FROM benchmark GROUP BY text"
     q["first_n_queries"] = ("SELECT query_id, text FROM (SELECT min(item_id) AS query_id, text FROM benchmark "
-                            "GROUP BY text) ORDER BY query_id LIMIT 1000")
+                            "GROUP BY text) ORDER BY query_id LIMIT 10")
     q["semi_queries"] = sql("SELECT query_id, doc_id, rank FROM pool WHERE query_id IN "
                             "(SELECT query_id FROM qrels WHERE label = 1)", "pool", "qrels")
     q["blank_query_guard"] = sql(f"""
@@ -447,16 +483,17 @@ SELECT item_id AS query_id, CAST(len({WS('text')}) AS INTEGER) AS n_ws_tokens,
   CAST(CASE WHEN {BLANK('text')} THEN 1 ELSE 0 END AS INTEGER) AS is_blank,
   CAST(length('Query: ' || text || {NL} || 'Document: ' || {NL} || 'Answer:') AS INTEGER) AS prompt_chars,
   CAST(least(512, len({WS('text')}) + len({STD('text')})) AS INTEGER) AS capped_tokens FROM benchmark"""
-    dim6 = "(VALUES ('bm25'), ('tfidf'), ('match'), ('hybrid'), ('rrf'), ('consensus')) d(retriever)"
+    names = [*(f"'{n}'" for n in ("bm25", "tfidf", "match", "hybrid", "rrf", "consensus")), *(f"'{n}_relevant'" for n in ("bm25", "tfidf", "match", "hybrid", "rrf"))]
     q["missing_queries"] = sql(f"""
-SELECT d.retriever, b.item_id AS query_id FROM {dim6} CROSS JOIN benchmark b
-WHERE NOT EXISTS (SELECT 1 FROM all_runs r WHERE r.retriever = d.retriever AND r.query_id = b.item_id)""", "all_runs")
+SELECT d.retriever, b.item_id AS query_id FROM (SELECT unnest([{', '.join(names)}]) AS retriever) d CROSS JOIN benchmark b
+WHERE (d.retriever, b.item_id) NOT IN (SELECT retriever, query_id FROM all_runs UNION ALL
+  SELECT retriever || '_relevant', query_id FROM judged WHERE prediction = 1)""", "all_runs", "judged")
     q["missing_members"] = sql("""
 SELECT e.member, e.kind, CASE WHEN e.member IN (SELECT retriever FROM all_runs UNION SELECT llm FROM answers)
   THEN 1 ELSE 0 END AS present
 FROM (VALUES ('bm25', 'retriever'), ('tfidf', 'retriever'), ('match', 'retriever'), ('hybrid', 'retriever'),
              ('rrf', 'retriever'), ('consensus', 'retriever'), ('coverage', 'llm'), ('density', 'llm'),
-             ('length', 'llm')) e(member, kind)""", "all_runs", "answers")
+             ('length', 'llm'), ('not_run', 'retriever'), ('not_asked', 'llm')) e(member, kind)""", "all_runs", "answers")
     q["scan_runs_dir"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs5", "runs5")
     q["scan_judged_dir"] = sql("SELECT retriever, query_id, doc_id, rank, prediction FROM judged "
                                "WHERE retriever <> 'rrf'", "judged")
@@ -479,13 +516,15 @@ SELECT coalesce(u.routing, l.routing) AS routing, coalesce(u.label_kind, l.label
   round(mean_f + mean_rect - 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_low,
   round(mean_f + mean_rect + 1.96 * sqrt(var_f / n_unlabelled + var_rect / n_labelled), 6) AS ci_high
 FROM (SELECT routing, label_kind, count(*) AS n_unlabelled, avg(f) AS mean_f, var_pop(f) AS var_f FROM rows_
-      WHERE NOT EXISTS (SELECT 1 FROM qrels g WHERE g.query_id = rows_.query_id AND g.doc_id = rows_.doc_id)
-      GROUP BY routing, label_kind) u
-FULL JOIN (SELECT r.routing, r.label_kind, count(*) AS n_labelled, avg(g.label - r.f) AS mean_rect,
-                  var_pop(g.label - r.f) AS var_rect, avg(g.label) AS gold_mean
-           FROM rows_ r JOIN qrels g ON g.query_id = r.query_id AND g.doc_id = r.doc_id
-           GROUP BY r.routing, r.label_kind) l
+      WHERE y IS NULL GROUP BY routing, label_kind) u
+FULL JOIN (SELECT routing, label_kind, count(*) AS n_labelled, avg(y - f) AS mean_rect, var_pop(y - f) AS var_rect, avg(y) AS gold_mean
+           FROM rows_ WHERE y IS NOT NULL GROUP BY routing, label_kind) l
 ON u.routing = l.routing AND u.label_kind = l.label_kind""", "rows_")
+    q["router_eval"] = sql("SELECT smoothing, n_rows, log_loss, accuracy FROM nb_eval", "nb_eval")
+    q["dynamic_routing"] = sql("SELECT query_id, doc_id, answer, best_llm FROM dyn", "dyn")
+    nofuse = """SELECT query_id, doc_id, rank, source, 'fusion.tsv' AS fusion_file FROM cons UNION ALL
+SELECT query_id, doc_id, rank, source, 'absent.tsv' FROM chosen UNION ALL SELECT query_id, NULL, 1, 'sentinel', 'absent.tsv' FROM without"""
+    q["consensus_from_files"] = sql(nofuse, "cons", "chosen", "without")
     q["answer_external"] = sql("SELECT llm, query_id, doc_id, answer FROM answers", "answers")
     prompt = f"'Query: ' || q.text || {NL} || 'Document: ' || c.text || {NL} || 'Answer:'"
     q["error_isolation"] = sql(f"""

@@ -29,7 +29,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, mode: str = "ov
         "router_training_rows": fx.training_rows,                   # P3
         "router_eval": fx.router[1],
         "baseline_routing": fx.baseline_answers,                    # P4
-        "dynamic_routing": fx.dynamic_routing(),                    # P5
+        "dynamic_routing": fx.dynamic_answers,                      # P5
         "routing_eval": fx.routing_eval(),                          # P6
     }
     paths = {}

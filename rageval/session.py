@@ -67,26 +67,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_bucketed(df, name: str, key: str, n_buckets: int | None = None):
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder in any file system that Spark reads."""
+    sc = spark.sparkContext
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return int(hpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(hpath).getLength())
+
+
+# A bucket, the work of one task, should have about so many bytes.
+BUCKET_BYTES = 256 << 20
+# Where data are small, as many tasks as a small machine has cores.
+LEAST_BUCKETS = 8
+
+
+def buckets_for(n_bytes: int) -> int:
+    return max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES))
+
+
+def write_bucketed(df, table: str, key: str, n_buckets: int, sort_by: str | None = None):
     """Write ``df`` as a parquet table bucketed by ``key`` under the checkpoint root.
 
+    Rows are dealt out by the key first, so each task writes one bucket as one
+    file; ``sort_by`` orders the rows of a bucket, so that filters on that
+    column skip row groups.
+
     Reading it back, Spark knows the rows are hash-partitioned by ``key``, so
     joins and aggregations keyed by it (and by supersets of it) run without a
     shuffle; the write also cuts the lineage like a checkpoint.
     """
     spark = df.sparkSession
-    # Bucketed scans are not coalesced by AQE, so the bucket count is the task
-    # count of every stage reading the table: the shuffle-partition setting,
-    # capped at four tasks per core of the cluster.
-    n = n_buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                         4 * spark.sparkContext.defaultParallelism)
-    path = scratch_path(spark, name)
-    table = f"rageval_{name}_{uuid.uuid4().hex[:10]}"
-    (df.write.format("parquet").bucketBy(n, key).option("path", path)
-       .mode("overwrite").saveAsTable(table))
+    path = scratch_path(spark, table)
+    writer = df.repartition(n_buckets, key).write.format("parquet").bucketBy(n_buckets, key)
+    if sort_by:
+        writer = writer.sortBy(sort_by)
+    writer.option("path", path).mode("overwrite").saveAsTable(table)
     return spark.table(table)
 
 
+def drop_tables(spark: SparkSession, names) -> None:
+    """Take tables of ``write_bucketed`` out of the catalogue; their files go with the checkpoint folder."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 _SHIPPED: set = set()
 
 

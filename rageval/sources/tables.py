@@ -52,6 +52,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("item_id").alias("query_id"), F.col("text")))
 
 
+def first_queries(qs: DataFrame, n: int = DEFAULT_QUERY_CAP) -> DataFrame:
+    """The first ``n`` queries by id."""
+    return qs.orderBy("query_id").limit(n)
+
+
 def nonblank(qs: DataFrame) -> DataFrame:
     """queries that can be scored (not null, not only whitespace)."""
     return qs.where(~is_blank("text"))

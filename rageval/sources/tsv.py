@@ -33,28 +33,51 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Read with an explicit schema (no inference), quoted multi-line fields allowed."""
+    """The columns of ``schema``, found by their names in the header whatever their order, and cast; a missing one
+    raises, others are left out. Values that can't be cast are null. Quoted multi-line fields are allowed. Without a
+    schema all columns come as strings."""
     r = spark.read
     for k, v in TSV_OPTIONS.items():
         r = r.option(k, v)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+    raw = r.csv(path)
+    if schema is None:
+        return raw
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not raw.columns:  # part files without a header: nothing was written
+        return spark.createDataFrame([], wanted)
+    require_columns(raw, wanted.names)
+    return raw.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
+def members(spark: SparkSession, directory: str, suffix: str) -> dict[str, str]:
+    """The paths of ``*{suffix}`` by member name; a folder has one entry per retriever or model."""
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/*{suffix}")
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
+    paths = [str(f.getPath().toString()) for f in found]
+    return {p.rstrip("/").rsplit("/", 1)[1].removesuffix(suffix): p for p in sorted(paths)}
 
 
 def read_suffix_dir(spark: SparkSession, directory: str, suffix: str, schema,
                     name_col: str = "retriever", exclude=()) -> DataFrame:
-    """Every ``*{suffix}`` entry of a folder, member name = path minus suffix.
-
-    ``exclude`` drops members by name; the filter is on a column derived from
-    the file path, so it prunes rows right at the scan.
-    """
-    df = read_tsv(spark, f"{directory.rstrip('/')}/*{suffix}", schema)
-    pattern = "([^/]+)" + suffix.replace(".", "\\.") + "/[^/]*$"
-    df = df.withColumn(name_col, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
-    if exclude:
-        df = df.where(~F.col(name_col).isin(*exclude))
-    return df
+    """Every ``*{suffix}`` entry of a folder, member name = path minus suffix. Members are read each by its own
+    header; those in ``exclude`` aren't read."""
+    out = None
+    for name, path in members(spark, directory, suffix).items():
+        if name not in exclude:
+            own = read_tsv(spark, path, schema).withColumn(name_col, F.lit(name))
+            out = own if out is None else out.unionByName(own)
+    if out is None:
+        wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return spark.createDataFrame([], wanted).withColumn(name_col, F.lit(None).cast("string"))
+    return out
+
+
+def require_members(spark: SparkSession, directory: str, suffix: str, expected) -> None:
+    """Fail fast when a member's file is missing."""
+    missing = sorted(set(expected) - set(members(spark, directory, suffix)))
+    if missing:
+        raise ValueError(f"no *{suffix} file of {missing}")
 
 
 def missing_work(expected: DataFrame, stored: DataFrame, keys) -> DataFrame:

@@ -11,6 +11,8 @@ retried batch overwrites rather than duplicates.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def stream_runs(spark: SparkSession, runs_dir: str, suffix: str = "_results.tsv"
 def judge_new_runs(spark: SparkSession, runs_dir: str, out_path: str, corpus: DataFrame,
                    queries: DataFrame, checkpoint: str | None = None, available_now: bool = True):
     """Start (and, with ``available_now``, finish) the incremental judging query."""
-    ckpt = checkpoint or f"{checkpoint_root(spark)}/stream-judge"
+    ckpt = checkpoint or f"{checkpoint_root(spark)}/stream-judge-{hashlib.md5(f'{runs_dir}|{out_path}'.encode()).hexdigest()[:16]}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         judged = judge_pairs(batch, corpus, queries)
