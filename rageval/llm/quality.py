@@ -30,11 +30,12 @@ SHOUT = re.compile(r"[!?]{2,}")
 #: Marks that divide sentences and their parts.
 PAUSE = re.compile(r"[.!?…:;,。！？、，]")
 #: Fixed phrases of page furniture, in lower case.
-BOILERPLATE = re.compile("|".join(map(re.escape, (
+PHRASES = (
     "all rights reserved", "accept cookies", "cookie policy", "uses cookies", "use of cookies", "enable javascript",
     "javascript is disabled", "terms of use", "terms of service", "terms and conditions", "privacy policy",
     "sign in to", "log in to", "subscribe to our newsletter", "click here", "read more", "share this",
-    "skip to content", "back to top", "lorem ipsum", "licensed under the", "copyright (c)", "copyright ©"))))
+    "skip to content", "back to top", "lorem ipsum", "licensed under the", "copyright (c)", "copyright ©")
+BOILERPLATE = re.compile("|".join(map(re.escape, PHRASES)))
 WINDOW = 8
 
 
