@@ -91,6 +91,24 @@ def dense_search(emb_q: DataFrame, emb_d: DataFrame, k: int, part_rows: int = PA
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")
 
 
+def hashed_cells(postings: DataFrame, key: str, dims: int, salt: str) -> DataFrame:
+    """(key, vec): a text's tokens, each added to a component and with a sign that the md5 of ``salt`` and token sets; a
+    projection of the token counts that any engine can repeat. ``postings``: (key, token, tf)."""
+    digest = F.md5(F.concat(F.lit(salt), F.col("token")))
+    cell = (F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dims).alias("cell")
+    sign = F.when(F.substring(digest, 5, 1) < "8", F.lit(1)).otherwise(F.lit(-1))
+    cells = postings.select(key, cell, (F.col("tf") * sign).alias("v")).groupBy(key, "cell").agg(F.sum("v").cast("double").alias("v"))
+    by_text = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return by_text.select(key, vec.alias("vec"))
+
+
+def with_zero_vectors(ids: DataFrame, vectors: DataFrame, key: str, dims: int) -> DataFrame:
+    """One row per id, texts without tokens having the zero vector."""
+    zero = F.array_repeat(F.lit(0.0), dims)
+    return ids.select(key).join(vectors, key, "left").select(key, F.coalesce("vec", zero).alias("vec"))
+
+
 def embed_texts(df: DataFrame, text_col: str, encode_fn, out_col: str = "vec") -> DataFrame:
     """Batch text embedding with a user encoder, as an iterator pandas UDF.
 

@@ -11,7 +11,7 @@ from ..functions.text import std_tokens
 from ..operators import consensus as consensus_ops
 from ..operators import fusion, lexical, metrics
 from .externals import answer, answer_or_fail
-from .fixtures import fixtures
+from .fixtures import ALL_RETRIEVERS, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -96,6 +96,18 @@ def dense_topk_b(spark, sf_dir):
     return _round(fixtures(spark, sf_dir).dense("b"))
 
 
+@register("dense_text_topk")
+def dense_text_topk(spark, sf_dir):
+    """Cosine top-3 of the first hashed text encoder over the corpus."""
+    return _round(fixtures(spark, sf_dir).dense_text("dense_a"))
+
+
+@register("dense_text_topk_b")
+def dense_text_topk_b(spark, sf_dir):
+    """The same with the second text encoder."""
+    return _round(fixtures(spark, sf_dir).dense_text("dense_b"))
+
+
 @register("candidate_union")
 def candidate_union(spark, sf_dir):
     """D3: ordered union of BM25 and match lists, first occurrence wins."""
@@ -111,7 +123,7 @@ def hybrid_rerank(spark, sf_dir):
 
 @register("rrf_topk")
 def rrf_topk(spark, sf_dir):
-    """Reciprocal rank fusion of the four stored runs."""
+    """Reciprocal rank fusion of the stored runs."""
     return _round(fixtures(spark, sf_dir).rrf)
 
 
@@ -363,7 +375,7 @@ def scalar_text(spark, sf_dir, cap=512):
 @register("missing_queries")
 def missing_queries(spark, sf_dir):
     """Per retriever, the queries it returned nothing for; besides the runs, the judged-relevant ones of each."""
-    from .fixtures import ALL_RETRIEVERS, BASE_RETRIEVERS
+    from .fixtures import BASE_RETRIEVERS
     fx = fixtures(spark, sf_dir)
     relevant = fx.judged.where("prediction = 1").select(F.concat("retriever", F.lit("_relevant")).alias("retriever"), "query_id")
     runs = fx.all_runs.select("retriever", "query_id").unionByName(relevant).distinct()
@@ -375,7 +387,6 @@ def missing_queries(spark, sf_dir):
 @register("missing_members")
 def missing_members(spark, sf_dir):
     """Expected retrievers and models against what the stored results contain."""
-    from .fixtures import ALL_RETRIEVERS
     fx = fixtures(spark, sf_dir)
     expected = spark.createDataFrame(
         [(n, "retriever") for n in (*ALL_RETRIEVERS, "not_run")] + [(n, "llm") for n in (*generate.PROVIDERS, "not_asked")],
@@ -395,7 +406,7 @@ def scan_runs_dir(spark, sf_dir):
     """One TSV folder per retriever, read back with one glob; name from the path."""
     fx = fixtures(spark, sf_dir)
     d = scratch_path(spark, "runs")
-    for name in ("bm25", "tfidf", "match", "hybrid", "rrf"):
+    for name in ALL_RETRIEVERS[:-1]:
         tsv.write_tsv(fx.runs.where(F.col("retriever") == name).select("query_id", "doc_id", "rank"),
                       f"{d}/{name}_results.tsv")
     return tsv.read_suffix_dir(spark, d, "_results.tsv", RUN_SCHEMA) \
@@ -407,7 +418,7 @@ def scan_judged_dir(spark, sf_dir):
     """S3: judged files by suffix, the fusion file excluded, required columns checked."""
     fx = fixtures(spark, sf_dir)
     d = scratch_path(spark, "judged")
-    for name in ("bm25", "tfidf", "match", "hybrid", "rrf"):
+    for name in ALL_RETRIEVERS[:-1]:
         tsv.write_tsv(fx.judged.where(F.col("retriever") == name)
                       .select("query_id", "doc_id", "rank", "prediction"), f"{d}/{name}_judged.tsv")
     df = tsv.read_suffix_dir(spark, d, "_judged.tsv",

@@ -25,11 +25,12 @@ from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
 POOL_DEPTH = 10         # default depth of the judging pool, an argument of ``Fixtures``
-POOLED = ("bm25", "tfidf", "match")  # every first-stage run; the hybrid one reorders theirs
-# Retriever dimension, in fusion order: whitespace BM25, tf-idf cosine (the
-# dense-encoder stand-in), standard-analyzer match, hybrid rerank; then the
-# fused and the consensus runs.
-BASE_RETRIEVERS = ("bm25", "tfidf", "match", "hybrid")
+POOLED = ("bm25", "tfidf", "dense_a", "dense_b", "match")  # every first-stage run; the hybrid one reorders theirs
+ENCODERS = {"dense_a": 64, "dense_b": 128}  # hashed text encoders: name, which is the salt, and dimensions
+# Retriever dimension, in fusion order: whitespace BM25, tf-idf cosine, two
+# dense text encoders, standard-analyzer match, hybrid rerank; then the fused
+# and the consensus runs.
+BASE_RETRIEVERS = ("bm25", "tfidf", "dense_a", "dense_b", "match", "hybrid")
 ALL_RETRIEVERS = BASE_RETRIEVERS + ("rrf", "consensus")
 ROUTING_TOP_K = 1       # fixed value: routing retrieves the top 1 document
 
@@ -151,7 +152,7 @@ class Fixtures:
     @cached_property
     def pool(self) -> DataFrame:
         """(query_id, doc_id, rank): what any first-stage run returns to ``pool_depth``, with its best rank."""
-        runs = {"bm25": self.bm25, "tfidf": self.tfidf_run, "match": self.match}
+        runs = self.first_stage
         every = None
         for name in POOLED:
             own = runs[name](self.pool_depth).select("query_id", "doc_id", "rank")
@@ -174,6 +175,21 @@ class Fixtures:
         return self._run("tfidf", k or self.k,
                          lambda kk: lexical.tfidf_search(self.tfidf, self.queries, kk, small=self.small))
 
+    def dense_text(self, encoder: str, k: int | None = None) -> DataFrame:
+        """Cosine over hashed vectors of the corpus texts, made from the postings in place."""
+        def search(kk):
+            dims = ENCODERS[encoder]
+            docs = dense.hashed_cells(self.std_index.postings, "doc_id", dims, encoder)
+            asked = dense.hashed_cells(lexical.query_terms(self.queries, lexical.STD).withColumnRenamed("qtf", "tf"), "query_id", dims, encoder)
+            return dense.dense_search(dense.with_zero_vectors(tables.nonblank(self.queries), asked, "query_id", dims),
+                                      dense.with_zero_vectors(self.corpus, docs, "doc_id", dims), kk)
+        return self._run(encoder, k or self.k, search)
+
+    @property
+    def first_stage(self) -> dict:
+        return {"bm25": self.bm25, "tfidf": self.tfidf_run, "match": self.match,
+                "dense_a": lambda k=None: self.dense_text("dense_a", k), "dense_b": lambda k=None: self.dense_text("dense_b", k)}
+
     def hybrid(self, k: int | None = None) -> DataFrame:
         return self._run("hybrid", k or self.k,
                          lambda kk: fusion.hybrid_rerank(self.tfidf, self.queries, self.bm25(kk), self.match(kk),
@@ -181,9 +197,8 @@ class Fixtures:
 
     @cached_property
     def base_runs(self) -> DataFrame:
-        """(retriever, retriever_idx, query_id, doc_id, rank, score) of the four retrievers."""
-        makers = {"bm25": self.bm25, "tfidf": self.tfidf_run, "match": self.match,
-                  "hybrid": self.hybrid}
+        """(retriever, retriever_idx, query_id, doc_id, rank, score) of the base retrievers."""
+        makers = {**self.first_stage, "hybrid": self.hybrid}
         out = None
         for i, name in enumerate(BASE_RETRIEVERS):
             r = makers[name]().select(F.lit(name).alias("retriever"), F.lit(i).alias("retriever_idx"),

@@ -136,6 +136,30 @@ def _tfidf_ranked(k: int) -> str:
 
 cte("tfidf_k", ("qs_ok", "corpus", "cos_t"), _tfidf_ranked(K))
 
+# --- hashed text encoders: token counts added to 64 or 128 components by the md5 of the token
+def encoder_ctes(name: str, dims: int) -> None:
+    cell = f"('0x' || substr(md5('{name}' || token), 1, 4))::INTEGER % {dims}"
+    sign = f"CASE WHEN substr(md5('{name}' || token), 5, 1) < '8' THEN 1 ELSE -1 END"
+    cte(f"{name}_d", ("post_std",), f"SELECT doc_id, {cell} AS cell, CAST(sum(tf * {sign}) AS DOUBLE) AS v FROM post_std GROUP BY doc_id, cell")
+    cte(f"{name}_q", ("qtf_std",), f"SELECT query_id, {cell} AS cell, CAST(sum(qtf * {sign}) AS DOUBLE) AS v FROM qtf_std GROUP BY query_id, cell")
+    cte(f"{name}_cos", (f"{name}_d", f"{name}_q"), f"""
+SELECT x.query_id, x.doc_id, CASE WHEN a.n * b.n > 0 THEN x.dot / (a.n * b.n) ELSE 0.0 END AS score
+FROM (SELECT q.query_id, d.doc_id, sum(q.v * d.v) AS dot FROM {name}_q q JOIN {name}_d d USING (cell) GROUP BY q.query_id, d.doc_id) x
+JOIN (SELECT query_id, sqrt(sum(v * v)) AS n FROM {name}_q GROUP BY query_id) a ON a.query_id = x.query_id
+JOIN (SELECT doc_id, sqrt(sum(v * v)) AS n FROM {name}_d GROUP BY doc_id) b ON b.doc_id = x.doc_id""")
+    cte(f"{name}_k", ("qs_ok", "corpus", f"{name}_cos"), _dense_ranked(name, K))
+
+
+def _dense_ranked(name: str, k: int) -> str:
+    return ("SELECT query_id, doc_id, rank, score FROM (SELECT q.query_id, c.doc_id, coalesce(t.score, 0.0) AS score, "
+            "CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(t.score, 0.0), 10) DESC, c.doc_id DESC) "
+            f"AS INTEGER) AS rank FROM qs_ok q CROSS JOIN corpus c LEFT JOIN {name}_cos t ON t.query_id = q.query_id "
+            f"AND t.doc_id = c.doc_id) WHERE rank <= {k}")
+
+
+encoder_ctes("dense_a", 64)
+encoder_ctes("dense_b", 128)
+
 # --- judged pairs: the query's tokens in a row are positive; pooled, labelled documents negative ---
 def LINE(x: str) -> str:
     return f"(' ' || array_to_string({WS(x)}, ' ') || ' ')"
@@ -143,8 +167,9 @@ def LINE(x: str) -> str:
 
 cte("q_pos", ("qs_ok", "corpus"), f"SELECT q.query_id, c.doc_id FROM (SELECT query_id, {LINE('text')} AS l FROM qs_ok) q, "
     f"(SELECT doc_id, {LINE('text')} AS l FROM corpus) c WHERE contains(c.l, q.l)")
-cte("pool", ("qs_ok", "corpus", "m_bm25", "cos_t", "m_match"), f"""
-SELECT query_id, doc_id, min(rank) AS rank FROM ({_bm25_ranked(10)} UNION ALL {_tfidf_ranked(10)} UNION ALL {_match_ranked(10)})
+cte("pool", ("qs_ok", "corpus", "m_bm25", "cos_t", "m_match", "dense_a_cos", "dense_b_cos"), f"""
+SELECT query_id, doc_id, min(rank) AS rank FROM ({_bm25_ranked(10)} UNION ALL {_tfidf_ranked(10)} UNION ALL {_match_ranked(10)}
+  UNION ALL {_dense_ranked("dense_a", 10)} UNION ALL {_dense_ranked("dense_b", 10)})
 GROUP BY query_id, doc_id""")
 cte("qrels", ("q_pos", "pool"), """
 SELECT query_id, doc_id, 1 AS label FROM q_pos
@@ -170,27 +195,29 @@ ON x.query_id = c.query_id AND x.doc_id = c.doc_id""")
 cte("hyb_k", ("cand_sim",), "SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, sim AS score, "
     "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 10) DESC, cand_pos ASC) AS INTEGER) AS rank "
     f"FROM cand_sim) WHERE rank <= {K}")
-cte("runs4", ("bm25_k", "tfidf_k", "match_k", "hyb_k"), """
+cte("base_runs", ("bm25_k", "tfidf_k", "dense_a_k", "dense_b_k", "match_k", "hyb_k"), """
 SELECT 'bm25' AS retriever, 0 AS retriever_idx, query_id, doc_id, rank, score FROM bm25_k UNION ALL
 SELECT 'tfidf', 1, query_id, doc_id, rank, score FROM tfidf_k UNION ALL
-SELECT 'match', 2, query_id, doc_id, rank, score FROM match_k UNION ALL
-SELECT 'hybrid', 3, query_id, doc_id, rank, score FROM hyb_k""")
-cte("rrf_k", ("runs4",), f"""
+SELECT 'dense_a', 2, query_id, doc_id, rank, score FROM dense_a_k UNION ALL
+SELECT 'dense_b', 3, query_id, doc_id, rank, score FROM dense_b_k UNION ALL
+SELECT 'match', 4, query_id, doc_id, rank, score FROM match_k UNION ALL
+SELECT 'hybrid', 5, query_id, doc_id, rank, score FROM hyb_k""")
+cte("rrf_k", ("base_runs",), f"""
 SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, fs ASC) AS INTEGER) AS rank
   FROM (SELECT query_id, doc_id, sum(1.0 / (60.0 + rank)) AS score, min(retriever_idx * 1000000 + rank) AS fs
-        FROM runs4 WHERE rank <= {K} GROUP BY query_id, doc_id)) WHERE rank <= {K}""")
-cte("runs5", ("runs4", "rrf_k"), "SELECT * FROM runs4 UNION ALL "
-    "SELECT 'rrf', 4, query_id, doc_id, rank, score FROM rrf_k")
+        FROM base_runs WHERE rank <= {K} GROUP BY query_id, doc_id)) WHERE rank <= {K}""")
+cte("fused_runs", ("base_runs", "rrf_k"), "SELECT * FROM base_runs UNION ALL "
+    "SELECT 'rrf', 6, query_id, doc_id, rank, score FROM rrf_k")
 
 # --- judge (U3), votes (A4), consensus (R7) -------------------------------------
-cte("jp", ("runs5", "corpus", "qs"), f"""
+cte("jp", ("fused_runs", "corpus", "qs"), f"""
 SELECT query_id, doc_id, CASE WHEN (CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt)) / len(qt) ELSE 0.0 END)
   >= 0.5 THEN 1 ELSE 0 END AS prediction
 FROM (SELECT p.query_id, p.doc_id, list_distinct({STD('q.text')}) AS qt, {STD('c.text')} AS dt
-      FROM (SELECT DISTINCT query_id, doc_id FROM runs5) p JOIN corpus c ON c.doc_id = p.doc_id
+      FROM (SELECT DISTINCT query_id, doc_id FROM fused_runs) p JOIN corpus c ON c.doc_id = p.doc_id
       JOIN qs q ON q.query_id = p.query_id)""")
-cte("judged", ("runs5", "jp"), "SELECT r.*, j.prediction FROM runs5 r LEFT JOIN jp j "
+cte("judged", ("fused_runs", "jp"), "SELECT r.*, j.prediction FROM fused_runs r LEFT JOIN jp j "
     "ON j.query_id = r.query_id AND j.doc_id = r.doc_id")
 cte("votes", ("judged",), "SELECT query_id, doc_id, count(*) AS votes, min(rank) AS best_rank FROM judged "
     "WHERE retriever <> 'rrf' AND prediction = 1 GROUP BY query_id, doc_id")
@@ -221,8 +248,8 @@ SELECT query_id, CAST(NULL AS BIGINT), 1, 'sentinel' FROM without{tag}
 consensus_ctes("", "v.votes DESC, c.text ASC, v.doc_id ASC")
 consensus_ctes("_br", "v.votes DESC, v.best_rank ASC, c.text ASC, v.doc_id ASC")
 cte("jq", ("qrels",), "SELECT query_id, doc_id, any_value(label) AS label FROM qrels GROUP BY query_id, doc_id")
-cte("all_runs", ("runs5", "cons"), "SELECT retriever, retriever_idx, query_id, doc_id, rank FROM runs5 UNION ALL "
-    "SELECT 'consensus', 5, query_id, doc_id, rank FROM cons")
+cte("all_runs", ("fused_runs", "cons"), "SELECT retriever, retriever_idx, query_id, doc_id, rank FROM fused_runs UNION ALL "
+    "SELECT 'consensus', 7, query_id, doc_id, rank FROM cons")
 
 
 # --- best retriever, answers, routing --------------------------------------------
@@ -257,7 +284,7 @@ cte("board", ("all_runs", "qrels"), "SELECT * FROM (" + "{MACRO}" + ")")
 cte("best_pairs", ("all_runs", "board"), """
 SELECT retriever, query_id, doc_id, rank FROM all_runs WHERE doc_id IS NOT NULL AND retriever = (
   SELECT b.retriever FROM board b JOIN
-    (VALUES ('bm25', 0), ('tfidf', 1), ('match', 2), ('hybrid', 3), ('rrf', 4), ('consensus', 5)) d(retriever, idx)
+    (VALUES ('bm25', 0), ('tfidf', 1), ('dense_a', 2), ('dense_b', 3), ('match', 4), ('hybrid', 5), ('rrf', 6), ('consensus', 7)) d(retriever, idx)
     ON d.retriever = b.retriever ORDER BY b.f1_score DESC, d.idx LIMIT 1)""")
 cte("best_line", ("best_pairs", "corpus", "qs"), best_lines("best_pairs"))
 cte("answers", ("best_line",), "SELECT llm, llm_idx, query_id, doc_id, trim(line) AS answer FROM best_line")
@@ -374,6 +401,8 @@ s AS (SELECT eq.query_id, ed.doc_id, CASE WHEN eq.nv > 0 AND ed.nv > 0
 SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT query_id, doc_id, score,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id DESC) AS INTEGER) AS rank FROM s)
 WHERE rank <= {K}"""
+    for key, name in (("dense_text_topk", "dense_a_k"), ("dense_text_topk_b", "dense_b_k")):
+        q[key] = sql(f"SELECT query_id, doc_id, rank, round(score, 6) AS score FROM {name}", name)
     q["candidate_union"] = sql("SELECT query_id, doc_id, cand_pos FROM cand", "cand")
     q["hybrid_rerank"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM hyb_k", "hyb_k")
     q["rrf_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM rrf_k", "rrf_k")
@@ -425,7 +454,7 @@ FROM (SELECT retriever, tp, fp, fn, tn,
       FROM (SELECT d.retriever, CAST(coalesce(h.tp, 0) AS BIGINT) AS tp, CAST(coalesce(h.fp, 0) AS BIGINT) AS fp,
                    CAST((SELECT count(*) FROM jq WHERE label = 1) - coalesce(h.tp, 0) AS BIGINT) AS fn,
                    CAST((SELECT count(*) FROM jq WHERE label = 0) - coalesce(h.fp, 0) AS BIGINT) AS tn
-            FROM (SELECT * FROM (VALUES ('bm25'), ('tfidf'), ('match'), ('hybrid'), ('rrf'), ('consensus')) t(retriever)) d
+            FROM (SELECT * FROM (VALUES ('bm25'), ('tfidf'), ('dense_a'), ('dense_b'), ('match'), ('hybrid'), ('rrf'), ('consensus')) t(retriever)) d
             LEFT JOIN (SELECT c.retriever, sum(CASE WHEN j.label = 1 THEN 1 ELSE 0 END) AS tp,
                               sum(CASE WHEN j.label = 0 THEN 1 ELSE 0 END) AS fp
                        FROM (SELECT DISTINCT retriever, query_id, doc_id FROM all_runs WHERE rank <= {K}) c
@@ -434,7 +463,7 @@ FROM (SELECT retriever, tp, fp, fn, tn,
     q["best_retriever_docs"] = sql(f"""
 SELECT retriever, query_id, doc_id, rank FROM all_runs WHERE doc_id IS NOT NULL AND retriever = (
   SELECT b.retriever FROM ({macro_sql('all_runs')}) b JOIN
-    (VALUES ('bm25', 0), ('tfidf', 1), ('match', 2), ('hybrid', 3), ('rrf', 4), ('consensus', 5)) d(retriever, idx)
+    (VALUES ('bm25', 0), ('tfidf', 1), ('dense_a', 2), ('dense_b', 3), ('match', 4), ('hybrid', 5), ('rrf', 6), ('consensus', 7)) d(retriever, idx)
     ON d.retriever = b.retriever ORDER BY b.f1_score DESC, d.idx LIMIT 1)""", "all_runs", "qrels")
     q["ppi_estimate"] = f"""
 WITH d AS (SELECT doc_id, CASE WHEN len({WS('text')}) > {MIN_WORDS_EXCLUSIVE} THEN 1 ELSE 0 END AS f FROM documents),
@@ -475,15 +504,15 @@ SELECT b.item_id AS query_id, CAST(CASE WHEN {BLANK('b.text')} THEN 1 ELSE 0 END
 FROM benchmark b LEFT JOIN (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS doc_ids,
   count(*) AS n FROM bm25_k GROUP BY query_id) r ON r.query_id = b.item_id""", "bm25_k")
     q["runs_as_lists"] = sql("SELECT retriever, query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) "
-                             "AS doc_ids FROM runs5 GROUP BY retriever, query_id", "runs5")
-    q["explode_runs"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs5", "runs5")
+                             "AS doc_ids FROM fused_runs GROUP BY retriever, query_id", "fused_runs")
+    q["explode_runs"] = sql("SELECT retriever, query_id, doc_id, rank FROM fused_runs", "fused_runs")
     q["scalar_text"] = f"""
 SELECT item_id AS query_id, CAST(len({WS('text')}) AS INTEGER) AS n_ws_tokens,
   CAST(len({STD('text')}) AS INTEGER) AS n_std_tokens,
   CAST(CASE WHEN {BLANK('text')} THEN 1 ELSE 0 END AS INTEGER) AS is_blank,
   CAST(length('Query: ' || text || {NL} || 'Document: ' || {NL} || 'Answer:') AS INTEGER) AS prompt_chars,
   CAST(least(512, len({WS('text')}) + len({STD('text')})) AS INTEGER) AS capped_tokens FROM benchmark"""
-    names = [*(f"'{n}'" for n in ("bm25", "tfidf", "match", "hybrid", "rrf", "consensus")), *(f"'{n}_relevant'" for n in ("bm25", "tfidf", "match", "hybrid", "rrf"))]
+    names = [*(f"'{n}'" for n in ("bm25", "tfidf", "dense_a", "dense_b", "match", "hybrid", "rrf", "consensus")), *(f"'{n}_relevant'" for n in ("bm25", "tfidf", "dense_a", "dense_b", "match", "hybrid", "rrf"))]
     q["missing_queries"] = sql(f"""
 SELECT d.retriever, b.item_id AS query_id FROM (SELECT unnest([{', '.join(names)}]) AS retriever) d CROSS JOIN benchmark b
 WHERE (d.retriever, b.item_id) NOT IN (SELECT retriever, query_id FROM all_runs UNION ALL
@@ -491,13 +520,13 @@ WHERE (d.retriever, b.item_id) NOT IN (SELECT retriever, query_id FROM all_runs
     q["missing_members"] = sql("""
 SELECT e.member, e.kind, CASE WHEN e.member IN (SELECT retriever FROM all_runs UNION SELECT llm FROM answers)
   THEN 1 ELSE 0 END AS present
-FROM (VALUES ('bm25', 'retriever'), ('tfidf', 'retriever'), ('match', 'retriever'), ('hybrid', 'retriever'),
+FROM (VALUES ('bm25', 'retriever'), ('tfidf', 'retriever'), ('dense_a', 'retriever'), ('dense_b', 'retriever'), ('match', 'retriever'), ('hybrid', 'retriever'),
              ('rrf', 'retriever'), ('consensus', 'retriever'), ('coverage', 'llm'), ('density', 'llm'),
              ('length', 'llm'), ('not_run', 'retriever'), ('not_asked', 'llm')) e(member, kind)""", "all_runs", "answers")
-    q["scan_runs_dir"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs5", "runs5")
+    q["scan_runs_dir"] = sql("SELECT retriever, query_id, doc_id, rank FROM fused_runs", "fused_runs")
     q["scan_judged_dir"] = sql("SELECT retriever, query_id, doc_id, rank, prediction FROM judged "
                                "WHERE retriever <> 'rrf'", "judged")
-    q["incremental_backfill"] = sql("SELECT retriever, query_id, doc_id, rank FROM runs4", "runs4")
+    q["incremental_backfill"] = sql("SELECT retriever, query_id, doc_id, rank FROM base_runs", "base_runs")
     q["generate_answers"] = sql("SELECT llm, query_id, doc_id, answer FROM answers", "answers")
     q["llm_scores"] = sql("SELECT llm, llm_idx, count(*) AS n_answers, count(prediction) AS n_scored, "
                           "round(avg(prediction), 6) AS score FROM janswers GROUP BY llm, llm_idx", "janswers")

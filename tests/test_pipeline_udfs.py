@@ -43,7 +43,7 @@ def test_whole_pipeline_writes_every_stage(spark):
     from rageval.plans.pipeline import run_pipeline
     out = tempfile.mkdtemp(prefix="pipeline-")
     paths = run_pipeline(spark, SF, out)
-    assert spark.read.parquet(paths["leaderboard"]).count() == 6
+    assert spark.read.parquet(paths["leaderboard"]).count() == 8
     assert spark.read.parquet(paths["best_llm"]).count() == 1
     assert spark.read.parquet(paths["routing_eval"]).count() >= 1
     from rageval.sources import tsv
