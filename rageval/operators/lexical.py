@@ -32,8 +32,9 @@ OKAPI_B = 0.75
 OKAPI_EPSILON = 0.25
 MATCH_K1 = 1.2
 MATCH_B = 0.75
-# Largest vocabulary (terms) broadcast when computing document norms.
-MAX_BROADCAST_TERMS = 1_000_000
+# Terms broadcast at most when computing document norms: those with at least
+# this share of all postings.
+FREQUENT_TERMS = 100_000
 
 
 def tokenize(kind: str, text) -> "F.Column":
@@ -169,12 +170,17 @@ class TfidfModel:
 def build_tfidf(index: LexicalIndex, materialize=_persist) -> TfidfModel:
     """Document vector norms; the one place the whole postings table meets the term table."""
     w = F.col("tf").cast("double") * tfidf_idf(index)
-    # Every posting needs its term's idf. The vocabulary is broadcast only when
-    # its size (known from the index statistics) is within the bound; beyond
-    # it the join is a sort-merge on token, where AQE splits stop-word skew.
-    terms = F.broadcast(index.term_df) if index.n_terms <= MAX_BROADCAST_TERMS else index.term_df
-    norms = (index.postings.join(terms, "token")
-             .groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm")))
+    # Every posting needs its term's idf. No more than FREQUENT_TERMS terms can
+    # have ``least`` postings or more, so these are broadcast and add up in
+    # place; the postings of the others, among which no token is hot, are joined
+    # by token. The plan is the same for all sizes.
+    least = max(1, -(-index.postings.count() // FREQUENT_TERMS))
+    frequent = F.broadcast(index.term_df.where(F.col("df") >= least))
+    square = F.sum(w * w).alias("square")
+    common = index.postings.join(frequent, "token").groupBy("doc_id").agg(square)
+    rest = (index.postings.join(frequent.select("token"), "token", "left_anti")
+            .join(index.term_df.where(F.col("df") < least), "token").groupBy("doc_id").agg(square))
+    norms = common.unionByName(rest).groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm"))
     if materialize is not None:
         norms = materialize(norms)
     return TfidfModel(index=index, doc_norm=norms)

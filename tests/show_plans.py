@@ -24,14 +24,14 @@ def tree(df) -> str:
     text = buf.getvalue()
     final = text.split("+- == Initial Plan ==")[0]
     body = final.split("\n\n")[0]
-    return "\n".join(body.splitlines()[:70])
+    return body
 
 
 def main() -> None:
     from pyspark.sql import functions as F
 
     from rageval.operators import consensus as C
-    from rageval.operators import dense, fusion, lexical, metrics
+    from rageval.operators import dense, fusion, ground_truth, lexical, metrics, router
     from rageval.plans.fixtures import fixtures
     from rageval.sources import tables
 
@@ -50,6 +50,11 @@ def main() -> None:
         "bm25_std_topk": lexical.match_search(fx.std_index, fx.queries, k, small=fx.small),
         "tfidf_topk": lexical.tfidf_search(fx.tfidf, fx.queries, k, small=fx.small),
         "dense_topk": dense.dense_search(emb_q, emb_d, k),
+        "dense_text vectors": dense.hashed_cells(fx.std_index.postings, "doc_id", 64, "dense_a"),
+        "document norms": lexical.build_tfidf(fx.std_index, materialize=lambda df: df).doc_norm,
+        "ground_truth (contained pairs)": ground_truth.containment_pairs(fx.ws_index, fx.corpus, fx.queries, fx.small),
+        "router (naive Bayes scores)": router.naive_bayes_scores(
+            fx.router[0], router.router_features(fx.best_pairs.select("query_id", "doc_id"), fx.corpus, fx.queries)),
         "hybrid_rerank": fusion.hybrid_rerank(fx.tfidf, fx.queries, fx.bm25(k), fx.match(k), k, small=fx.small),
         "rrf_topk": fusion.rrf(fx.base_runs, k),
         "judge_pairs": C.judge_pairs(fx.runs, fx.corpus, fx.queries, small=fx.small),
