@@ -2,15 +2,18 @@
 
 Both vocabularies used here never let a token cross from a non-space into a space, so a text's ids are those of its
 pieces between spaces in turn. Pieces repeat a lot: a batch's distinct pieces are encoded, and a worker remembers
-them. Where a text has runs of white space, in which the byte vocabulary's tokens do depend on their neighbours, the
+them. Nor does a token cross from letters into punctuation: a word with punctuation at its end is put together of both,
+and a word of Latin letters, which no normalisation or division changes, goes to the merges directly. Where a text has runs of white space, in which the byte vocabulary's tokens do depend on their neighbours, the
 text is encoded as a whole. Tests compare both ways.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,23 @@ import pyarrow.compute as pc
 #: Pieces that a worker remembers; the memory starts anew beyond.
 REMEMBERED = 400_000
 #: Characters encoded together.
-CHUNK_CHARS = 6 << 20
+CHUNK_CHARS = 5 << 20
+
+
+#: Latin letters and then ASCII punctuation, if any.
+WORDLIKE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
+
+
+def byte_characters() -> dict[int, int]:
+    """What byte vocabularies write for each byte: printable ones of Latin-1 as they are, the others as the characters
+    from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+CHARACTERS = byte_characters()
+SPACE = chr(CHARACTERS[0x20])
 
 
 class Encoder:
@@ -30,6 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.merges = self.tokenizer.model.tokenize
         self.forget()
 
     def forget(self) -> None:
@@ -40,23 +60,62 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32) for x in got]
 
+    def learn(self, keys: list[str], texts: list[str]) -> None:
+        for at in range(0, len(keys), 20_000):
+            got = self.tokenizer.encode_batch_fast(texts[at:at + 20_000], add_special_tokens=False)
+            self.remember(keys[at:at + 20_000], [x.ids for x in got])
+
+    def merge(self, word: str) -> list[int]:
+        """The ids of a word of Latin letters, with the space before it if it has one."""
+        chars = word if self.spaced else word.lower()
+        if not chars.isascii():
+            chars = chars.encode().decode("latin-1").translate(CHARACTERS)
+        if self.spaced:
+            chars = SPACE + chars
+        return [x.id for x in self.merges(chars)]
+
+    def remember(self, keys: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        need = self.used + int(sizes.sum())
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(need, len(self.ids)), np.uint32)])
+        self.ids[self.used:need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
+        self.known.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys))))
+        self.starts += (self.used + np.cumsum(sizes)).tolist()
+        self.used = need
+
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The places of the pieces in memory, after new ones have been encoded."""
+        """The places of the pieces in memory, after new ones have been encoded or put together."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([" " + p for p in part] if self.spaced else part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            need = self.used + int(sizes.sum())
-            if need > len(self.ids):
-                self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(need, len(self.ids)), np.uint32)])
-            self.ids[self.used:need] = np.fromiter((i for x in got for i in x), np.uint32, need - self.used)
-            known.update(zip(part, range(len(self.starts) - 1, len(self.starts) - 1 + len(part))))
-            self.starts += (self.used + np.cumsum(sizes)).tolist()
-            self.used = need
+        known, space = self.known, " " if self.spaced else ""
+        words: set[str] = set()
+        single: dict[str, str] = {}  # what is encoded, by its key; punctuation has the key "\0" and itself
+        double = []
+        for p in pieces:
+            if p not in known:
+                m = WORDLIKE.fullmatch(p)
+                if not m:
+                    single[p] = space + p
+                    continue
+                word, end = m.groups()
+                if word not in known:
+                    words.add(word)
+                if end:
+                    double.append((p, word, "\0" + end))
+                    if "\0" + end not in known:
+                        single["\0" + end] = end
+        self.learn(list(single), list(single.values()))
+        new = list(words)
+        self.remember(new, [self.merge(w) for w in new])
+        if double:
+            flat, starts = memoryview(self.ids), self.starts
+
+            def ids(key):
+                i = known[key]
+                return flat[starts[i]:starts[i + 1]].tolist()
+
+            self.remember([p for p, _, _ in double], [ids(word) + ids(end) for _, word, end in double])
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +130,9 @@ class Encoder:
         offsets -= offsets[0]
         whole: dict[int, np.ndarray] = {}
         if self.spaced:
-            odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in pieces), bool, len(pieces))
+            trimmed = pc.binary_length(pc.utf8_trim_whitespace(coded.dictionary))
+            size = pc.binary_length(coded.dictionary)
+            odd = pc.or_(pc.equal(size, 0), pc.not_equal(size, trimmed)).to_numpy(zero_copy_only=False)
             bad = np.flatnonzero(np.add.reduceat(odd[code], offsets[:-1]) > 0) if n else []
             whole = dict(zip(map(int, bad), self.whole([texts[int(i)].as_py() for i in bad])))
             first = [i for i in range(n) if i not in whole]
@@ -110,19 +171,20 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]:
-    """Batches put together or cut so that each has about ``CHUNK_CHARS`` bytes of text, or a single row."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, size_: int | None = None) -> Iterator[pa.Table]:
+    """Batches put together or cut so that each has about ``size_`` bytes of text, or a single row."""
+    most = size_ or CHUNK_CHARS
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         done = 0
-        for cut in [*(np.flatnonzero(np.diff((size + np.cumsum(lengths)) // CHUNK_CHARS)) + 1), len(lengths)]:
+        for cut in [*(np.flatnonzero(np.diff((size + np.cumsum(lengths)) // most)) + 1), len(lengths)]:
             held.append(batch.slice(done, int(cut) - done))
             done = int(cut)
             if done < len(lengths):
                 yield pa.Table.from_batches(held)
                 held = []
-        size = (size + int(lengths.sum())) % CHUNK_CHARS if len(lengths) else size
+        size = (size + int(lengths.sum())) % most if len(lengths) else size
     if held:
         yield pa.Table.from_batches(held)
