@@ -115,11 +115,11 @@ def answer_with_fn(rows: DataFrame, answer_fn: Callable, max_attempts: int = MAX
                 got, _ = attempt(llm, prompts_.iloc[places].reset_index(drop=True))
                 if got is not None:
                     for i, x in zip(places, got):
-                        answers[i] = x
+                        answers[i] = None if pd.isna(x) else str(x)
                     continue
                 for i in places:
                     one, errors[i] = attempt(llm, prompts_.iloc[[i]].reset_index(drop=True))
-                    answers[i] = None if one is None else one[0]
+                    answers[i] = None if one is None or pd.isna(one[0]) else str(one[0])
             if len(pdf):
                 yield pdf[["llm", "query_id", "doc_id"]].assign(answer=answers, error=errors)
     return rows.select("llm", "query_id", "doc_id", "prompt").mapInPandas(
