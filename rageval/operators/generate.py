@@ -110,8 +110,9 @@ def answer_with_fn(rows: DataFrame, answer_fn: Callable, max_attempts: int = MAX
         for pdf in batches:
             answers, errors = np.empty(len(pdf), object), np.empty(len(pdf), object)
             prompts_ = pdf["prompt"].reset_index(drop=True)
-            for llm, places in pdf.reset_index(drop=True).groupby("llm", sort=False, dropna=False).groups.items():
-                llm = None if pd.isna(llm) else llm
+            code, models = pd.factorize(pdf["llm"], use_na_sentinel=False)
+            for k, llm in enumerate(models):
+                places, llm = np.flatnonzero(code == k), None if pd.isna(llm) else llm
                 got, _ = attempt(llm, prompts_.iloc[places].reset_index(drop=True))
                 if got is not None:
                     for i, x in zip(places, got):
