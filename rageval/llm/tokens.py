@@ -22,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; the memory starts anew beyond.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Characters encoded together.
-CHUNK_CHARS = 5 << 20
+CHUNK_CHARS = 4 << 20
 
 
 #: Latin letters and then ASCII punctuation, if any.
