@@ -252,9 +252,10 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
     return staged(both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long, s double"), "links")
 
 
-def group_pairs(node, label, size, block, signature, band: int, two_blocks: bool, settings: Settings) -> np.ndarray:
-    """Places of texts of different labels that may be similar enough, for one key. A pair is given for the first band in
-    which it agrees only. Labels other than the commonest one are compared with everything."""
+def group_pairs(node, label, size, block, signature, keys, band: int, two_blocks: bool, settings: Settings) -> np.ndarray:
+    """Places of texts of different labels that may be similar enough, for one key. A pair is given for the first band
+    whose key it shares only; bytes don't tell that, as they may agree where keys differ. Labels other than the commonest
+    one are compared with everything."""
     names, counts = np.unique(label, return_counts=True)
     if len(names) == 1:
         return np.zeros((0, 2), np.int64)
@@ -272,8 +273,7 @@ def group_pairs(node, label, size, block, signature, band: int, two_blocks: bool
         if two_blocks:
             fit &= block[i][:, None] != block[None, :]
         x, y = np.nonzero(fit)
-        agree = same[x, y].reshape(-1, settings.bands, settings.rows).all(axis=2)
-        new = agree.argmax(axis=1) == band
+        new = (keys[i[x]] == keys[y]).argmax(axis=1) == band
         out.append(np.stack([i[x[new]], y[new]], axis=1))
     return np.concatenate(out)
 
@@ -303,10 +303,11 @@ def cross_links(rows: DataFrame, members: DataFrame, labels: DataFrame, heads: D
     placed = members.join(labels, "node", "left").select("key", "band", "node", "size", "n", F.coalesce("label", "node").alias("label"))
     placed = staged(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rest = (placed.where("n > 2").join(mixed.select("key"), "key").join(heads.select("node", "signature"), "node")
+    halves = F.transform("bands", lambda key: F.shiftright(key, 32).cast("int"))  # 32 bits of a band's key tell it from others
+    rest = (placed.where("n > 2").join(mixed.select("key"), "key").join(heads.select("node", "signature", halves.alias("bands")), "node")
             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "node", "label", "size", "block", "signature"))
+            .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "node", "label", "size", "block", "signature", "bands"))
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The texts that have a partner in their group, the partners listed with one of both."""
@@ -315,7 +316,7 @@ def cross_links(rows: DataFrame, members: DataFrame, labels: DataFrame, heads: D
             signature = np.frombuffer(b"".join(own["signature"]), np.uint8).reshape(len(own), -1)
             first = own.iloc[0]
             pairs = group_pairs(node, own["label"].to_numpy(), own["size"].to_numpy(), own["block"].to_numpy(), signature,
-                                int(first["band"]), first["lo"] != first["hi"], settings)
+                                np.stack(own["bands"].to_numpy()), int(first["band"]), first["lo"] != first["hi"], settings)
             if len(pairs):
                 used = np.unique(pairs)
                 partners = [node[pairs[pairs[:, 0] == i, 1]].tolist() for i in used]

@@ -105,5 +105,23 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
 
 
+def test_pair_whose_bytes_agree_in_an_earlier_band(spark):
+    """All bytes of the first band agree, but not its keys: the pair meets in the second band and is compared there."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1]), "quite another text that shares a key"]
+    same = np.arange(neardup.BANDS * neardup.ROWS).astype(np.uint8)
+    keys = [[1000 * node + band << 32 for band in range(neardup.BANDS)] for node in range(3)]
+    for own in keys:
+        own[1] = 77
+    neardup.python_ready(spark)
+    rows = spark.createDataFrame(list(enumerate(texts)), "nd_node long, text string")
+    members = spark.createDataFrame([(77, node, 50.0, 1, 3) for node in range(3)], "key long, node long, size double, band int, n long")
+    labels = spark.createDataFrame([], "node long, label long")
+    heads = spark.createDataFrame([(node, bytearray((same if node < 2 else 255 - same).tobytes()), keys[node]) for node in range(3)],
+                                  "node long, signature binary, bands array<long>")
+    got = neardup.cross_links(rows, members, labels, heads, neardup.Settings()).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(0, 1)]
+
+
 def test_empty(none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.keep_one(none).count() == 0
