@@ -14,6 +14,7 @@ request or metadata record whose capture isn't in the archive gives no row. Empt
 from __future__ import annotations
 
 import gzip
+import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,17 +114,23 @@ def parse_archive(data: bytes):
 
 def _row(headers: dict, content: bytes, with_payload: bool) -> tuple:
     kind, size, payload, fields = headers.get("warc-type"), None, None, None
+    digest = headers.get("warc-payload-digest")
+    digest = digest and digest.rpartition(":")[2]
     if kind in ("response", "revisit"):
         head, _, payload = content.partition(b"\r\n\r\n")
         http = dict(x.lower().split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ": " in x)
         size = int(http.get("content-length", len(payload)))
+        if kind == "response":  # a revisit's payload is elsewhere
+            found = hashlib.sha1(payload).hexdigest()
+            if size != len(payload) or digest not in (None, found):
+                raise ValueError(f"the payload of {headers.get('warc-record-id')} isn't the one recorded")
+            digest = found
         if not with_payload or kind == "revisit":
             payload = None
     elif kind == "metadata":
         fields = [tuple(x.split(": ", 1)) for x in content.decode("utf-8").split("\r\n") if ": " in x]
-    digest = headers.get("warc-payload-digest")
     return (headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"),
-            headers.get("warc-target-uri"), headers.get("warc-date"), digest and digest.rpartition(":")[2], size, payload, fields)
+            headers.get("warc-target-uri"), headers.get("warc-date"), digest, size, payload, fields)
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:

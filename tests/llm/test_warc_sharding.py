@@ -108,6 +108,21 @@ def test_empty(none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_damaged_payload_is_seen():
+    def content(payload):
+        return b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n" + payload
+
+    headers = {"warc-type": "response", "warc-record-id": "<x>", "warc-payload-digest": "sha1:" + hashlib.sha1(b"whole").hexdigest()}
+    for with_payload in (True, False):
+        row = warc._row(headers, content(b"whole"), with_payload)
+        assert row[6:9] == (hashlib.sha1(b"whole").hexdigest(), 5, b"whole" if with_payload else None)
+        for damaged in (b"whale", b"whol", b"wholes"):
+            with pytest.raises(ValueError):
+                warc._row(headers, content(damaged), with_payload)
+    revisit = warc._row(headers | {"warc-type": "revisit"}, content(b""), True)
+    assert revisit[6:9] == (hashlib.sha1(b"whole").hexdigest(), 5, None)
+
+
 def test_whole_rows_are_written_by_shard(spark, odd, tmp_path):
     totals = sharding.slot_totals(odd, 64)
     path = str(tmp_path / "map")
