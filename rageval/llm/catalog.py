@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, mixing, neardup, packing, pitman_yor, quality, rans, sharding, warc
+from . import hnsw, langid, mixing, neardup, packing, paritysketch, pitman_yor, quality, rans, sharding, spelling, trie, warc
 from .common import id_crc, table
 
 
@@ -66,8 +66,25 @@ def op10_virtual_slots(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op11_parity_sketches(spark, sf_dir):
+    """The component of every document under links of Jaccard 0.85 or more, over four-word shingles."""
+    return paritysketch.similarity_components(table(spark, sf_dir, "documents"))
+
+
+def op12_kd_spelling(spark, sf_dir):
+    """Every frequent word of all documents with its near words, its form and its root."""
+    words = spelling.count_words(table(spark, sf_dir, "documents"), error_every=spelling.ERROR_EVERY)
+    return spelling.variants(words)
+
+
+def op13_veb_trie(spark, sf_dir):
+    """The prefix trie of all conversations, rebuilt by hundreds."""
+    return trie.prefix_trie(*trie.rebuilt(trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_hnsw_shards, op2_cutting_stock_packing, op3_bitmask_langid, op4_splitting_tree_mix, op5_rans_tokens, op6_line_rules, op7_dart_minhash, op8_pitman_yor, op9_warc_transactions, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_hnsw_shards, op2_cutting_stock_packing, op3_bitmask_langid, op4_splitting_tree_mix, op5_rans_tokens, op6_line_rules, op7_dart_minhash, op8_pitman_yor, op9_warc_transactions, op10_virtual_slots,
+                                    op11_parity_sketches, op12_kd_spelling, op13_veb_trie)}
 
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"

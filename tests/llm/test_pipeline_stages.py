@@ -24,4 +24,4 @@ def test_empty_tables_pass(spark, none):
 
 def test_one_query_for_each_operator():
     names = sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
