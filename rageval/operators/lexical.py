@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import (bm25_okapi_idf, bm25_plus_one_idf, bm25_term, std_tokens,
                               ws_tokens)
 from ..sources.tables import nonblank
+from . import pruned
 from .common import maybe_broadcast, rank_score, top_k, zero_backfill
 
 WS = "whitespace"
@@ -52,6 +53,8 @@ class LexicalIndex:
     mean_okapi_idf: float
     min_okapi_idf: float
     n_terms: int
+    impacts: pruned.ImpactIndex | None = None   # for pruned search
+    cut: object = None                          # materialises narrow tables of a pruned search
 
     def unpersist(self) -> None:
         self.postings.unpersist()
@@ -106,8 +109,11 @@ def query_term_stats(qt: DataFrame, index: LexicalIndex, small: bool | None = No
     return index.term_df.join(maybe_broadcast(small, qt.select("token").distinct()), "token")
 
 
-def _match_scores(index: LexicalIndex, qw: DataFrame, k1: float, b: float, small: bool | None = None) -> DataFrame:
-    """Sum of BM25 term weights per matched (query, document)."""
+def _match_scores(index: LexicalIndex, qw: DataFrame, k: int, k1: float, b: float, small: bool | None = None, prune: bool = True) -> DataFrame:
+    """Sum of BM25 term weights per matched (query, document); with an impact index, and if no weight is negative, only
+    of documents that can be among the k best. ``qw``: (query_id, token, df, wq)."""
+    if index.impacts is not None and prune:
+        return pruned.scores(index.impacts, qw, index.avgdl, k, k1, b, index.cut, small)
     qw = maybe_broadcast(small, qw)
     term = bm25_term(F.col("wq"), F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
     return (index.postings.join(qw, "token")
@@ -133,9 +139,9 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = OKA
         raise ValueError("k must be >= 1")
     qt = query_terms(queries, index.kind)
     qw = (qt.join(query_term_stats(qt, index, small), "token")
-          .select("query_id", "token", (F.col("qtf") * okapi_idf_column(index, eps)).alias("wq")))
-    scored = _match_scores(index, qw, k1, b, small).select("query_id", "doc_id", "score")
+          .select("query_id", "token", "df", (F.col("qtf") * okapi_idf_column(index, eps)).alias("wq")))
     negatives = index.min_okapi_idf < 0 and eps * index.mean_okapi_idf < 0
+    scored = _match_scores(index, qw, k, k1, b, small, not negatives).select("query_id", "doc_id", "score")
     out = zero_backfill(scored, nonblank(queries), index.corpus, k, ascending=True,
                         negatives_possible=negatives)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")
@@ -148,9 +154,9 @@ def match_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = MA
         raise ValueError("k must be >= 1")
     qt = query_terms(queries, index.kind)
     qw = (qt.join(query_term_stats(qt, index, small), "token")
-          .select("query_id", "token",
+          .select("query_id", "token", "df",
                   (F.col("qtf") * bm25_plus_one_idf(F.lit(index.n_docs), F.col("df"))).alias("wq")))
-    scored = _match_scores(index, qw, k1, b, small).where(F.col("score") > 0)
+    scored = _match_scores(index, qw, k, k1, b, small).where(F.col("score") > 0)
     out = top_k(scored, "query_id", [rank_score().desc(), F.col("doc_id").asc()], k)
     return out.select("query_id", "doc_id", F.col("rank").cast("int"), "score")
 

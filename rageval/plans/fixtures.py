@@ -1,8 +1,8 @@
 """Shared, lazily built stage outputs over one data directory.
 
 Each stage (corpus, indexes, runs, judged pairs, consensus, ...) is built
-once per session and cut from its lineage with a reliable ``checkpoint()``
-into the shared folder named by ``spark.checkpoint.dir``: later stages read
+once per session and cut from its lineage as Parquet files
+in the shared folder named by ``spark.checkpoint.dir``: later stages read
 it back instead of recomputing it, a lost executor costs a re-read rather
 than a recomputation of everything upstream, and plans stay small. This is
 the "index once, search many" shape of the original pipeline, whose stages
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import consensus as consensus_ops
-from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, router
+from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, pruned, router
 from ..operators.common import DEFAULT_BROADCAST_ROWS
-from ..session import buckets_for, checkpoint_root, drop_tables, folder_bytes, ship_package, write_bucketed
+from ..session import buckets_for, checkpoint_root, drop_tables, folder_bytes, scratch_path, ship_package, write_bucketed
 from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
@@ -83,16 +83,20 @@ class Fixtures:
         self._tables.clear()
 
     def _run(self, name: str, k: int, make) -> DataFrame:
-        """Each retriever run is computed once per (retriever, k) and checkpointed."""
-        key = (name, k)
+        """A first-stage run is searched once, to the largest depth that anything asks for, and cut by rank. The hybrid
+        one is computed per k, as its inputs depend on it."""
+        depth = max(k, self.k, self.pool_depth) if name in POOLED else k
+        key = (name, depth)
         if key not in self._runs:
-            self._runs[key] = self.cut(make(k))
-        return self._runs[key]
+            self._runs[key] = self.cut(make(depth))
+        return self._runs[key].where(F.col("rank") <= k)
 
     @staticmethod
     def cut(df: DataFrame) -> DataFrame:
-        """Materialise a stage output in the checkpoint folder and drop its lineage."""
-        return df.checkpoint(eager=True)
+        """Materialise a stage output as Parquet in the checkpoint folder and drop its lineage."""
+        path = scratch_path(df.sparkSession, "stage")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def table(self, name: str) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name)
@@ -103,11 +107,11 @@ class Fixtures:
         of the compressed documents."""
         return buckets_for(4 * folder_bytes(self.spark, f"{self.sf_dir}/documents.parquet"))
 
-    def bucket(self, df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
-        """Materialise a document-keyed stage as a table bucketed by ``doc_id``."""
+    def bucket(self, df: DataFrame, name: str, sort_by: str | None = None, key: str = "doc_id") -> DataFrame:
+        """Materialise a stage as a table bucketed by ``doc_id`` or another key."""
         table = f"rageval_{name}_{uuid.uuid4().hex[:10]}"
         self._tables.append(table)
-        return write_bucketed(df, table, "doc_id", self.n_buckets, sort_by)
+        return write_bucketed(df, table, key, self.n_buckets, sort_by)
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -127,11 +131,17 @@ class Fixtures:
 
     @cached_property
     def ws_index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.corpus, lexical.WS, materialize=self._index_table("ws"))
+        return self._searchable(lexical.build_index(self.corpus, lexical.WS, materialize=self._index_table("ws")), "ws")
 
     @cached_property
     def std_index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.corpus, lexical.STD, materialize=self._index_table("std"))
+        return self._searchable(lexical.build_index(self.corpus, lexical.STD, materialize=self._index_table("std")), "std")
+
+    def _searchable(self, index: lexical.LexicalIndex, kind: str) -> lexical.LexicalIndex:
+        """With postings and bounds by block, for pruned search."""
+        index.impacts = pruned.build_impacts(index.postings, index.n_docs, lambda df, name: self.bucket(df, f"{name}_{kind}", sort_by="token", key="block"))
+        index.cut = self.cut
+        return index
 
     @cached_property
     def tfidf(self) -> lexical.TfidfModel:

@@ -385,8 +385,8 @@ SELECT (SELECT n FROM st_ws) AS n_docs, round((SELECT sum(dl) FROM dl_ws) / (SEL
        count(*) AS n_terms, round(avg(raw), 6) AS mean_idf,
        CAST(sum(CASE WHEN raw < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative_idf FROM rawidf_ws""",
                             "st_ws", "dl_ws", "rawidf_ws")
-    q["term_idf"] = sql("SELECT f.token, f.df, round(i.idf, 6) AS idf FROM df_ws f JOIN idf_ws i USING (token)",
-                        "df_ws", "idf_ws")
+    q["term_idf"] = sql("SELECT substr(md5(f.token), 1, 2) AS part, count(*) AS terms, CAST(sum(f.df) AS BIGINT) AS df, round(sum(round(i.idf, 6)), 4) AS idf, "
+                        "min(f.token) AS first_term, max(f.token) AS last_term FROM df_ws f JOIN idf_ws i USING (token) GROUP BY 1", "df_ws", "idf_ws")
     q["bm25_std_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM match_k", "match_k")
     q["tfidf_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM tfidf_k", "tfidf_k")
     whole = "CAST(embedding AS DOUBLE[])"
@@ -395,9 +395,9 @@ SELECT (SELECT n FROM st_ws) AS n_docs, round((SELECT sum(dl) FROM dl_ws) / (SEL
         q[key] = f"""
 WITH e AS (SELECT vec_id, {v} AS v FROM embeddings),
 eq AS (SELECT vec_id AS query_id, v, sqrt(list_dot_product(v, v)) AS nv FROM e WHERE vec_id % {QUERY_VECTOR_EVERY} = 0),
-ed AS (SELECT vec_id AS doc_id, v, sqrt(list_dot_product(v, v)) AS nv FROM e WHERE vec_id % {QUERY_VECTOR_EVERY} <> 0),
+ed AS (SELECT vec_id AS doc_id, v, sqrt(list_dot_product(v, v)) AS nv FROM e),
 s AS (SELECT eq.query_id, ed.doc_id, CASE WHEN eq.nv > 0 AND ed.nv > 0
-        THEN list_dot_product(eq.v, ed.v) / (eq.nv * ed.nv) ELSE 0.0 END AS score FROM eq CROSS JOIN ed)
+        THEN list_dot_product(eq.v, ed.v) / (eq.nv * ed.nv) ELSE 0.0 END AS score FROM eq JOIN ed ON eq.query_id <> ed.doc_id)
 SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT query_id, doc_id, score,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id DESC) AS INTEGER) AS rank FROM s)
 WHERE rank <= {K}"""

@@ -62,8 +62,8 @@ def nonblank(qs: DataFrame) -> DataFrame:
     return qs.where(~is_blank("text"))
 
 
-# Fixed value: embeddings rows whose vec_id is a multiple of 10 play the query
-# role, the others the document role (every row is used in one role).
+# Embeddings rows whose vec_id is a multiple of 10 are the queries; every row is a
+# document, and a query doesn't find itself.
 QUERY_VECTOR_EVERY = 10
 
 
@@ -80,5 +80,5 @@ def embedding_roles(spark: SparkSession, sf_dir: str, encoder: str = "a"):
     vec = F.col("embedding") if encoder == "a" else folded(F.col("embedding"))
     is_q = (F.col("vec_id") % QUERY_VECTOR_EVERY) == 0
     emb_q = e.where(is_q).select(F.col("vec_id").alias("query_id"), vec.alias("vec"))
-    emb_d = e.where(~is_q).select(F.col("vec_id").alias("doc_id"), vec.alias("vec"))
+    emb_d = e.select(F.col("vec_id").alias("doc_id"), vec.alias("vec"))
     return emb_q, emb_d

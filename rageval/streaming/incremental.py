@@ -18,17 +18,28 @@ from pyspark.sql import functions as F
 
 from ..operators.consensus import judge_pairs
 from ..session import checkpoint_root
+from ..sources.tsv import read_tsv
 
 RUN_SCHEMA = "query_id long, doc_id long, rank int"
+# Files of a micro-batch, read each by its own header.
+FILES_PER_BATCH = 256
 
 
-def stream_runs(spark: SparkSession, runs_dir: str, suffix: str = "_results.tsv") -> DataFrame:
-    """Streaming DataFrame of (retriever, query_id, doc_id, rank) from a runs folder."""
+def stream_run_files(spark: SparkSession, runs_dir: str, suffix: str = "_results.tsv") -> DataFrame:
+    """Streaming DataFrame of (retriever, path), a row per line of each newly arrived file."""
     pattern = "([^/]+)" + suffix.replace(".", "\\.") + "/[^/]*$"
-    return (spark.readStream.schema(RUN_SCHEMA)
-            .option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
-            .csv(f"{runs_dir.rstrip('/')}/*{suffix}")
-            .withColumn("retriever", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)))
+    path = F.col("_metadata.file_path")
+    return (spark.readStream.option("maxFilesPerTrigger", FILES_PER_BATCH).text(f"{runs_dir.rstrip('/')}/*{suffix}")
+            .select(F.regexp_extract(path, pattern, 1).alias("retriever"), path.alias("path")))
+
+
+def read_runs(spark: SparkSession, files: DataFrame) -> DataFrame | None:
+    """(retriever, query_id, doc_id, rank) of the files, columns taken by name whatever their order; None without files."""
+    out = None
+    for r in files.distinct().collect():  # at most FILES_PER_BATCH rows
+        own = read_tsv(spark, r["path"], RUN_SCHEMA).withColumn("retriever", F.lit(r["retriever"]))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def judge_new_runs(spark: SparkSession, runs_dir: str, out_path: str, corpus: DataFrame,
@@ -37,11 +48,14 @@ def judge_new_runs(spark: SparkSession, runs_dir: str, out_path: str, corpus: Da
     ckpt = checkpoint or f"{checkpoint_root(spark)}/stream-judge-{hashlib.md5(f'{runs_dir}|{out_path}'.encode()).hexdigest()[:16]}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        judged = judge_pairs(batch, corpus, queries)
+        runs = read_runs(spark, batch)
+        if runs is None:
+            return
+        judged = judge_pairs(runs, corpus, queries)
         (judged.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
 
-    writer = (stream_runs(spark, runs_dir).writeStream.foreachBatch(write_batch)
+    writer = (stream_run_files(spark, runs_dir).writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", ckpt))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     query = writer.start()
