@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import consensus as consensus_ops
 from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, pruned, router
 from ..operators.common import DEFAULT_BROADCAST_ROWS
-from ..session import buckets_for, checkpoint_root, drop_tables, folder_bytes, scratch_path, ship_package, write_bucketed
+from ..session import buckets_for, checkpoint_root, drop_tables, folder_bytes, ship_package, write_bucketed, written
 from ..sources import tables
 
 DEFAULT_K = 3           # fixed value: retrieval top_k default
@@ -94,9 +94,7 @@ class Fixtures:
     @staticmethod
     def cut(df: DataFrame) -> DataFrame:
         """Materialise a stage output as Parquet in the checkpoint folder and drop its lineage."""
-        path = scratch_path(df.sparkSession, "stage")
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return written(df)
 
     def table(self, name: str) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name)
@@ -192,7 +190,7 @@ class Fixtures:
             docs = dense.hashed_cells(self.std_index.postings, "doc_id", dims, encoder)
             asked = dense.hashed_cells(lexical.query_terms(self.queries, lexical.STD).withColumnRenamed("qtf", "tf"), "query_id", dims, encoder)
             return dense.dense_search(dense.with_zero_vectors(tables.nonblank(self.queries), asked, "query_id", dims),
-                                      dense.with_zero_vectors(self.corpus, docs, "doc_id", dims), kk)
+                                      dense.with_zero_vectors(self.corpus, docs, "doc_id", dims), kk, cut=self.cut)
         return self._run(encoder, k or self.k, search)
 
     @property
@@ -253,7 +251,7 @@ class Fixtures:
 
     def dense(self, encoder: str = "a", k: int | None = None) -> DataFrame:
         emb_q, emb_d = tables.embedding_roles(self.spark, self.sf_dir, encoder)
-        return dense.dense_search(emb_q, emb_d, k or self.k)
+        return dense.dense_search(emb_q, emb_d, k or self.k, cut=self.cut, skip_self=True)
 
     # --- best retriever, answers and routing ------------------------------------------
 

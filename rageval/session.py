@@ -67,6 +67,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df, name: str = "stage"):
+    """``df`` as Parquet in the checkpoint folder, read back: the lineage is cut, and a lost executor costs a re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of a file or folder in any file system that Spark reads."""
     sc = spark.sparkContext
