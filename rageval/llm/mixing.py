@@ -8,7 +8,7 @@ then takes its quotas as the next draws of each source, which are disjoint, and
 
 The last draw of a source is partial: documents of that block are taken in the order of their hashes, the one at the
 end only up to the words that are left, so that a source's taken words miss its target by less than one, unless equal
-rows meet there.
+rows meet there. The mixed rows are whole documents: the one at the end is in if at least half of it would be taken.
 
 Defined cases: a null text has no words and is part of its block; a null source is a source, the last one; a source
 without words gives nothing; an empty table gives an empty mix. Equal rows share a block and are taken alike.
@@ -16,17 +16,14 @@ without words gives nothing; an empty table gives an empty mix. Equal rows share
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, python_ready, staged, text_of
+from .common import WORD, fits, free_name, staged, text_of
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -157,8 +154,9 @@ def _cuts(rows: DataFrame, mix: Mix, partial: dict[int, tuple[int, int]]) -> dic
 
 
 def _draws(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Adds ``draws``, null where a block isn't drawn; the plan has about ``BLOCKS`` rows, whatever the corpus has."""
-    return with_block(rows, mix).join(F.broadcast(mix.draws), ["si", "block"], "left")
+    """Adds ``draws``, null where a block isn't drawn. The plan has a row for each block: about ``BLOCKS`` of them, and one
+    for each further source; it is broadcast within a bound."""
+    return with_block(rows, mix).join(fits(mix.draws), ["si", "block"], "left")
 
 
 def _words(draw, size, hash_):
@@ -173,60 +171,24 @@ def taken_words(rows: DataFrame, mix: Mix) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"))
 
 
-_HEADS = re.compile(WORD)
-
-
-def _head(text: str | None, n: int) -> str | None:
-    """The text up to the end of its n-th word; null for null."""
-    if text is None:
-        return None
-    at = 0
-    for k, m in enumerate(_HEADS.finditer(text)):
-        if k == n:
-            break
-        at = m.end()
-    return text[:at]
-
-
-def _first_words():
-    @F.pandas_udf("string")
-    def heads(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, n in parts:
-            yield pd.Series([_head(t, k) for t, k in zip(texts, n)], dtype=object)
-
-    return heads
-
-
 def measure(docs: DataFrame) -> DataFrame:
     """The narrow rows that planning reads, written once."""
     return staged(docs.select("doc_id", docs["source"].cast("string").alias("source"), *[c.alias(k) for k, c in measured(docs).items()]), "mix-rows")
 
 
 def mix_documents(docs: DataFrame, n_shards: int = N_SHARDS, blocks: int = BLOCKS, seed: int = SEED, keep_plan: bool = False) -> DataFrame:
-    """The mixed rows: each draw of a document is a row with its columns (a partial draw has the text's first words), in
-    the order of its shard. ``keep_plan`` adds ``mix_shard``, ``mix_repeat`` and ``mix_words``."""
-    python_ready(docs.sparkSession)
+    """The mixed rows: each draw of a document is a row with all its columns as they are, in the order of its shard.
+    ``keep_plan`` adds ``mix_shard``, ``mix_repeat`` and ``mix_words``."""
     chosen = plan(measure(docs), n_shards, blocks, seed)
-    doc, text = free_name(docs, "doc"), text_of(docs)
+    doc = free_name(docs, "doc")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(doc), docs["source"].cast("string").alias("source"),
                        *[c.alias(k) for k, c in measured(docs, seed).items()])
     drawn = _draws(rows, chosen).where("draws is not null").withColumn("draw", F.explode("draws"))
-    drawn = drawn.withColumn("words", _words(F.col("draw"), F.col("size"), F.col("hash"))).where(
-        "words > 0 or size = 0 and (draw.end_hash is null or hash < draw.end_hash)")
-    cut = F.col("words") < F.col("size")
-    drawn = drawn.withColumn("cut_text", _first_words()(F.when(cut, F.col(doc)["text"].cast("string")), F.col("words")))
+    drawn = drawn.where("draw.end_hash is null or hash < draw.end_hash or hash = draw.end_hash and size > 0 and 2 * draw.end_words >= size")
     drawn = drawn.withColumn("order", F.xxhash64(F.lit(seed), "draw.shard", "hash", "draw.repeat"))
     shuffled = drawn.repartition("draw.shard", "order").sortWithinPartitions("draw.shard", "order")
-    columns = []
-    for c in docs.columns:
-        col, kind = F.col(doc)[c], docs.schema[c].dataType
-        if c == "text":
-            col = F.when(cut, F.col("cut_text")).otherwise(col)
-        elif c == "n_chars":
-            col = F.when(cut, F.char_length("cut_text").cast(kind)).otherwise(col)
-        columns.append(col.alias(c))
-    extra = [F.col("draw.shard").alias("mix_shard"), F.col("draw.repeat").alias("mix_repeat"), F.col("words").alias("mix_words")]
-    return shuffled.select(*columns, *(extra if keep_plan else []))
+    extra = [F.col("draw.shard").alias("mix_shard"), F.col("draw.repeat").alias("mix_repeat"), F.col("size").alias("mix_words")]
+    return shuffled.select(*[F.col(doc)[c].alias(c) for c in docs.columns], *(extra if keep_plan else []))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

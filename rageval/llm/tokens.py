@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; the memory starts anew beyond.
-REMEMBERED = 400_000
+#: Pieces of a generation. Beyond, a worker begins a new one, into which pieces of the one before move when they come up;
+#: what doesn't come up in a whole generation is forgotten.
+REMEMBERED = 250_000
 #: Characters encoded together.
 CHUNK_CHARS = 4 << 20
 
@@ -52,11 +53,14 @@ class Encoder:
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.merges = self.tokenizer.model.tokenize
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), array("q", [0]), 0
+        self.new_generation()
+
+    def new_generation(self) -> None:
+        self.old, self.old_ids, self.old_starts = self.known, self.ids[:self.used], np.array(self.starts)
+        self.known = {}
+        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), array("q", [0]), 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -78,10 +82,20 @@ class Encoder:
 
     def remember(self, keys: list[str], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.used + int(sizes.sum())
+        self.store(keys, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+
+    def recall(self, keys: list[str]) -> None:
+        """Move pieces of the generation before into this one."""
+        place = np.fromiter(map(self.old.__getitem__, keys), np.int64, len(keys))
+        begin, sizes = self.old_starts[place], np.diff(self.old_starts)[place]
+        ends = np.cumsum(sizes)
+        self.store(keys, self.old_ids[np.arange(int(sizes.sum())) + np.repeat(begin - (ends - sizes), sizes)], sizes)
+
+    def store(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        need = self.used + len(flat)
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(need, len(self.ids)), np.uint32)])
-        self.ids[self.used:need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
+        self.ids[self.used:need] = flat
         self.known.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys))))
         self.starts.frombytes((self.used + np.cumsum(sizes)).astype(np.int64).tobytes())
         self.used = need
@@ -89,24 +103,32 @@ class Encoder:
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The places of the pieces in memory, after new ones have been encoded or put together."""
         if len(self.known) > REMEMBERED:
-            self.forget()
-        known, space = self.known, " " if self.spaced else ""
+            self.new_generation()
+        known, old, space = self.known, self.old, " " if self.spaced else ""
         words: set[str] = set()
+        back: set[str] = set()  # pieces of the generation before
         single: dict[str, str] = {}  # what is encoded, by its key; punctuation has the key "\0" and itself
         double = []
         for p in pieces:
             if p not in known:
+                if p in old:
+                    back.add(p)
+                    continue
                 m = WORDLIKE.fullmatch(p)
                 if not m:
                     single[p] = space + p
                     continue
                 word, end = m.groups()
                 if word not in known:
-                    words.add(word)
+                    (back if word in old else words).add(word)
                 if end:
-                    double.append((p, word, "\0" + end))
-                    if "\0" + end not in known:
-                        single["\0" + end] = end
+                    end_key = "\0" + end
+                    double.append((p, word, end_key))
+                    if end_key in old and end_key not in known:
+                        back.add(end_key)
+                    elif end_key not in known:
+                        single[end_key] = end
+        self.recall(list(back))
         self.learn(list(single), list(single.values()))
         new = list(words)
         self.remember(new, [self.merge(w) for w in new])

@@ -47,20 +47,19 @@ def test_taken_words(odd):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(odd).collect()))
 
 
-def test_mixed_rows_carry_what_is_taken(odd):
+def test_mixed_rows_are_whole_documents(odd):
+    """Texts stay as they are; the words of a source miss what the report takes by half of a document at most."""
     rows = mixing.mix_documents(odd, n_shards=3, keep_plan=True).collect()
-    report = defaultdict(int)
+    known, longest, taken, got = {str(r) for r in odd.collect()}, defaultdict(int), defaultdict(int), defaultdict(int)
+    source = {r["doc_id"]: r["source"] for r in odd.collect()}
     for r in mixing.mix_report(odd).collect():
-        report[r["doc_id"]] += r["taken"]
-    got, texts = defaultdict(int), {r["doc_id"]: r["text"] for r in odd.collect()}
+        taken[source[r["doc_id"]]] += r["taken"]
+        longest[source[r["doc_id"]]] = max(longest[source[r["doc_id"]]], r["size"])
     for r in rows:
-        n = len(WORDS.findall(r["text"] or ""))
-        assert n == r["mix_words"] and r["size"] in ("x", None) and r["mix_shard"] in (0, 1, 2)
-        if r["doc_id"] is not None:
-            assert (texts[r["doc_id"]] or "").startswith(r["text"] or "")
-            assert r["text"] is None or r["n_chars"] == len(r["text"])
-        got[r["doc_id"]] += n
-    assert {k: v for k, v in got.items() if v} == {k: v for k, v in report.items() if v}
+        assert str(type(r)(**{k: v for k, v in r.asDict().items() if not k.startswith("mix_")})) in known
+        assert len(WORDS.findall(r["text"] or "")) == r["mix_words"] and r["mix_shard"] in (0, 1, 2)
+        got[r["source"]] += r["mix_words"]
+    assert set(got) <= set(taken) and all(abs(got[s] - taken[s]) <= longest[s] * 0.5 + 3 for s in taken)
     again = mixing.mix_documents(odd, n_shards=3, keep_plan=True).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
