@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of a generation. Beyond, a worker begins a new one, into which pieces of the one before move when they come up;
+#: Pieces of a generation, twice as many for byte vocabularies, whose words cost more to encode. Beyond, a worker begins a new one, into which pieces of the one before move when they come up;
 #: what doesn't come up in a whole generation is forgotten.
 REMEMBERED = 250_000
 #: Characters encoded together.
@@ -102,7 +102,7 @@ class Encoder:
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The places of the pieces in memory, after new ones have been encoded or put together."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (2 if self.spaced else 1) * REMEMBERED:
             self.new_generation()
         known, old, space = self.known, self.old, " " if self.spaced else ""
         words: set[str] = set()
