@@ -53,7 +53,7 @@ def build_impacts(postings: DataFrame, n_docs: int, materialize) -> ImpactIndex:
     cls = length_class("dl")
     part = F.pmod(F.xxhash64("doc_id"), F.element_at(F.array(*[F.lit(n).cast("long") for n in parts]), cls + 1))
     block = (F.shiftleft(cls.cast("long"), 40) + part).alias("block")
-    stored = materialize(postings.select(block, "doc_id", "dl", "token", "tf"), "impacts")
+    stored = materialize(postings.select(block, "doc_id", "dl", "token", "tf"), "postings")
     bounds = stored.groupBy("block", "token").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     return ImpactIndex(stored, materialize(bounds, "bounds"), n_docs)
 
@@ -92,5 +92,6 @@ def scores(index: ImpactIndex, qw: DataFrame, avgdl: float, k: int, k1: float, b
     bound = bm25_term(F.col("wq"), F.col("max_tf"), F.col("min_dl"), avg, k1, b)
     least = thresholds(index, qw, k, term, cut, small)
     live = live_blocks(index, qw, least, bound, small)
-    hits = index.postings.join(live, "block").join(maybe_broadcast(small, qw), "token").where(F.array_contains("queries", F.col("query_id")))
+    # both sides are bucketed by block: the live blocks of a bucket are a hash table there, the postings stream past it
+    hits = index.postings.join(live.hint("shuffle_hash"), "block").join(maybe_broadcast(small, qw), "token").where(F.array_contains("queries", F.col("query_id")))
     return hits.groupBy("query_id", "block", "doc_id").agg(F.sum(term).alias("score")).select("query_id", "doc_id", "score")

@@ -137,7 +137,7 @@ class Fixtures:
 
     def _searchable(self, index: lexical.LexicalIndex, kind: str) -> lexical.LexicalIndex:
         """With postings and bounds by block, for pruned search."""
-        index.impacts = pruned.build_impacts(index.postings, index.n_docs, lambda df, name: self.bucket(df, f"{name}_{kind}", sort_by="token", key="block"))
+        index.impacts = pruned.build_impacts(index.postings, index.n_docs, lambda df, name: self.bucket(df, f"{name}_{kind}_blocks", sort_by="token", key="block"))
         index.cut = self.cut
         return index
 
