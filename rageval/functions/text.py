@@ -31,6 +31,8 @@ LABEL_NO = "[[No]]"
 PROMPT_QUERY = "Query: "
 PROMPT_DOCUMENT = "\nDocument: "
 PROMPT_ANSWER = "\nAnswer:"
+SYSTEM_PROMPT = ("You are an expert assistant specialized in answering questions based on provided documents. Given a query and a set "
+                 "of documents, provide the most relevant and concise answer based on the content of the documents.")
 SENTINEL_DOCUMENT = "No Relevant Information Available"
 DEFAULT_FAILED_ANSWER = "No answer generated due to an error or content filtering."
 # ---------------------------------------------------------------------------

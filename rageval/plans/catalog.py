@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import std_tokens
 from ..operators import consensus as consensus_ops
 from ..operators import fusion, lexical, metrics
-from .externals import answer, answer_or_fail
+from ..operators import example_judge, ledger, model_table
+from .externals import answer, answer_or_fail, answer_or_refuse
 from .fixtures import ALL_RETRIEVERS, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +277,11 @@ def clean_pairs(spark, sf_dir):
 def parse_labels(spark, sf_dir):
     """Few-shot examples (user turn, next assistant turn, [[Yes]]/[[No]]) round-tripped
     through TSV and parsed; the label says whether the answer covers half the question's terms."""
+    return labelled_examples(spark, sf_dir).select("conv_id", "turn", F.col("label").alias("answer_relevance"))
+
+
+def labelled_examples(spark, sf_dir) -> DataFrame:
+    """(conv_id, turn, Query, Answer, label) as read from the TSV of few-shot examples."""
     from ..operators.consensus import coverage
     conv = fixtures(spark, sf_dir).table("conversations")
     u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("Query"))
@@ -289,7 +295,25 @@ def parse_labels(spark, sf_dir):
     back = tsv.read_tsv(spark, path, "conv_id long, turn long, Query string, Answer string, "
                                      "Answer_Relevance_Label string")
     tsv.require_columns(back, ["Query", "Answer", "Answer_Relevance_Label"])
-    return back.select("conv_id", "turn", T.parse_yes_no("Answer_Relevance_Label").alias("answer_relevance"))
+    return back.select("conv_id", "turn", "Query", "Answer", T.parse_yes_no("Answer_Relevance_Label").alias("label"))
+
+
+def _example_judge(spark, sf_dir) -> example_judge.ExampleJudge:
+    return example_judge.fit(labelled_examples(spark, sf_dir), fixtures(spark, sf_dir).cut)
+
+
+@register("example_judge_fit")
+def example_judge_fit(spark, sf_dir):
+    """Per threshold, the few-shot examples that the others judge rightly."""
+    return _example_judge(spark, sf_dir).fit
+
+
+@register("judge_by_examples")
+def judge_by_examples(spark, sf_dir):
+    """Retrieved pairs judged by the nearest few-shot examples, with the threshold fitted on them."""
+    fx = fixtures(spark, sf_dir)
+    j = example_judge.judge_pairs(fx.runs, fx.corpus, fx.queries, _example_judge(spark, sf_dir), fx.cut, small=fx.small)
+    return j.select("retriever", "query_id", "doc_id", "rank", "example_score", "prediction")
 
 
 @register("min_words")
@@ -545,3 +569,23 @@ def router_eval(spark, sf_dir):
 def dynamic_routing(spark, sf_dir):
     """P5/U8: route each best-retriever pair with the trained router, then answer."""
     return fixtures(spark, sf_dir).dynamic_answers
+
+
+@register("answer_ledger")
+def answer_ledger(spark, sf_dir):
+    """Answering that stops after its first block and is taken up again from the ledger; refused requests are asked
+    once, failing ones up to the last attempt."""
+    rows = fixtures(spark, sf_dir).cut(_external_rows(fixtures(spark, sf_dir)))
+    path, block = scratch_path(spark, "ledger"), max(1, rows.count() // 2)
+    ledger.answer_with_ledger(rows, answer_or_refuse, path, commit_rows=block, max_blocks=1)
+    out = ledger.answer_with_ledger(rows, answer_or_refuse, path)
+    return out.select("llm", "query_id", "doc_id", generate.default_answer(F.col("answer")).alias("answer"), "attempts", "error_class")
+
+
+@register("saved_routing")
+def saved_routing(spark, sf_dir):
+    """The trained router saved as a version, loaded again and used to route and answer."""
+    fx = fixtures(spark, sf_dir)
+    path = scratch_path(spark, "router")
+    version = model_table.save(fx.router[0], path, generate.PROVIDERS)
+    return fx.routed_answers(model_table.load(spark, path, generate.PROVIDERS, version))

@@ -7,6 +7,7 @@ import hashlib
 import regex
 
 from ..functions.text import PROMPT_ANSWER, PROMPT_DOCUMENT, PROMPT_QUERY, STD_TOKEN_PATTERN
+from ..operators.ledger import PermanentError
 
 
 def _tokens(text: str) -> list[str]:
@@ -36,3 +37,15 @@ def answer_or_fail(llm, prompts):
         if hashlib.md5(p.encode()).hexdigest()[0] < "4":
             raise RuntimeError("the model can't answer this")
     return answer(llm, prompts)
+
+
+def answer_or_refuse(llm, prompts, system):
+    """The same under a system prompt; by the prompt's hash, an eighth or so is refused for good and another eighth fails
+    on each attempt."""
+    for p in prompts:
+        first = hashlib.md5(p.encode()).hexdigest()[0]
+        if first < "2":
+            raise PermanentError("refused")
+        if first < "4":
+            raise RuntimeError("no connection")
+    return answer(llm, prompts)

@@ -313,7 +313,10 @@ class Fixtures:
     @cached_property
     def dynamic_answers(self) -> DataFrame:
         """P5/U8: route the best-retriever pairs, answer with the chosen model."""
+        return self.cut(self.routed_answers(self.router[0]))
+
+    def routed_answers(self, model: router.NaiveBayes) -> DataFrame:
         feats = router.router_features(self.best_pairs.select("query_id", "doc_id"), self.corpus, self.queries)
-        routed = router.route_naive_bayes(self.router[0], feats, generate.llm_dim(self.spark))
+        routed = router.route_naive_bayes(model, feats, generate.llm_dim(self.spark))
         texts = feats.select("query_id", "doc_id", "qtext", "dtext").dropDuplicates(["query_id", "doc_id"])
-        return self.cut(routed.join(texts, ["query_id", "doc_id"]).select("query_id", "doc_id", F.trim(generate.chosen_answer()).alias("answer"), F.col("llm").alias("best_llm")))
+        return routed.join(texts, ["query_id", "doc_id"]).select("query_id", "doc_id", F.trim(generate.chosen_answer()).alias("answer"), F.col("llm").alias("best_llm"))

@@ -7,7 +7,9 @@ different route. They run on the driver's pre-registered views.
 
 from __future__ import annotations
 
-from ..functions.text import PY_WHITESPACE_CLASS, STD_TOKEN_PATTERN
+from ..functions.text import DEFAULT_FAILED_ANSWER, PY_WHITESPACE_CLASS, STD_TOKEN_PATTERN
+from ..operators.example_judge import LEVELS, NEIGHBOURS, THRESHOLDS
+from ..operators.generate import MAX_ATTEMPTS
 from ..operators.lexical import MATCH_B, MATCH_K1, OKAPI_B, OKAPI_EPSILON, OKAPI_K1
 from ..sources.tables import MIN_WORDS_EXCLUSIVE, QUERY_VECTOR_EVERY
 from .fixtures import DEFAULT_K
@@ -262,6 +264,62 @@ def COVER(q: str, d: str) -> str:
             f"{STD(d)})) / len(list_distinct({STD(q)})) ELSE 0.0 END)")
 
 
+# --- judge by labelled examples: cells of shares, nearest cells, fitted threshold ---
+def CELL(rows: str) -> str:
+    """The rows of a query with (q, t), and their cell."""
+    def six(a: str, b: str) -> str:
+        return f"CASE WHEN {b} > 0 THEN CAST(floor(CAST({a} AS DOUBLE) / {b} * {LEVELS} + 0.5) AS INTEGER) ELSE 0 END"
+
+    def two(x: str) -> str:
+        return f"list_distinct(list_transform(range(1, greatest(len({x}), 1)), lambda i: {x}[i] || ' ' || {x}[i + 1]))"
+
+    def chars(x: str) -> str:
+        return f"coalesce(list_sum(list_transform({x}, lambda w: length(w))), 0)"
+
+    return f"""SELECT *, (s1 * {LEVELS + 1} + s2) * {LEVELS + 1} + CASE WHEN len(q2) > 0 THEN s3 ELSE s1 END AS cell FROM (
+  SELECT *, {six('len(hit)', 'len(own)')} AS s1, {six(chars('hit'), chars('own'))} AS s2, {six('len(list_intersect(q2, t2))', 'len(q2)')} AS s3
+  FROM (SELECT *, list_intersect(own, ta) AS hit FROM (SELECT *, list_distinct(qa) AS own, {two('qa')} AS q2, {two('ta')} AS t2
+    FROM (SELECT *, {STD("coalesce(q, '')")} AS qa, {STD("coalesce(t, '')")} AS ta FROM ({rows})))))"""
+
+
+def COSINE(x: str, y: str) -> str:
+    base = LEVELS + 1
+
+    def dot(u: str, v: str) -> str:
+        cut = ["{0} // %d" % (base * base), "({0} // %d) %% %d" % (base, base), "{0} %% %d" % base]
+        return "(" + " + ".join(f"({c.format(u)}) * ({c.format(v)}) + ({LEVELS} - ({c.format(u)})) * ({LEVELS} - ({c.format(v)}))" for c in cut) + ")"
+    return f"round({dot(x, y)} / sqrt(CAST({dot(x, x)} * {dot(y, y)} AS DOUBLE)), 10)"
+
+
+def VOTES(askers: str) -> str:
+    """(cell, gone, score) of the askers (cell, gone)."""
+    return f"""SELECT cell, gone, round(sum(cos * pos) / nullif(sum(cos * n), 0), 9) AS score FROM (
+  SELECT *, sum(n) OVER (PARTITION BY cell, gone ORDER BY cos DESC, other ROWS UNBOUNDED PRECEDING) - n AS before FROM (
+    SELECT a.cell, a.gone, c.cell AS other, {COSINE('a.cell', 'c.cell')} AS cos,
+      c.n - CASE WHEN a.gone >= 0 AND a.cell = c.cell THEN 1 ELSE 0 END AS n,
+      c.pos - CASE WHEN a.gone = 1 AND a.cell = c.cell THEN 1 ELSE 0 END AS pos
+    FROM ({askers}) a CROSS JOIN ex_cells c)) WHERE before < {NEIGHBOURS} GROUP BY cell, gone"""
+
+
+cte("examples", (), f"""SELECT u.text AS q, a.text AS t, CASE WHEN {COVER('u.text', 'a.text')} >= 0.5 THEN 1 ELSE 0 END AS label
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'""")
+cte("ex_cells", ("examples",), f"SELECT cell, count(*) AS n, sum(label) AS pos FROM ({CELL('SELECT * FROM examples')}) GROUP BY cell")
+cte("ex_fit", ("ex_cells",), f"""
+SELECT threshold, sum(times) AS n_examples, sum(CASE WHEN (CASE WHEN score >= threshold THEN 1 ELSE 0 END) = gone THEN times ELSE 0 END) AS n_right
+FROM (SELECT s.*, a.times FROM ({VOTES("SELECT cell, 1 AS gone FROM ex_cells UNION ALL SELECT cell, 0 FROM ex_cells")}) s JOIN (
+  SELECT cell, 1 AS gone, pos AS times FROM ex_cells UNION ALL SELECT cell, 0, n - pos FROM ex_cells) a
+  ON a.cell = s.cell AND a.gone = s.gone WHERE a.times > 0)
+CROSS JOIN (SELECT unnest([{', '.join(f'CAST({t!r} AS DOUBLE)' for t in THRESHOLDS)}]) AS threshold) GROUP BY threshold""")
+cte("ex_pairs", ("fused_runs", "corpus", "qs"), CELL("""SELECT p.query_id, p.doc_id, q.text AS q, c.text AS t
+FROM (SELECT DISTINCT query_id, doc_id FROM fused_runs) p JOIN corpus c ON c.doc_id = p.doc_id JOIN qs q ON q.query_id = p.query_id"""))
+cte("ex_judged", ("fused_runs", "ex_pairs", "ex_cells", "ex_fit"), f"""
+SELECT r.retriever, r.query_id, r.doc_id, r.rank, v.score AS example_score,
+  CASE WHEN v.score >= (SELECT threshold FROM ex_fit ORDER BY n_right DESC, threshold LIMIT 1) THEN 1 ELSE 0 END AS prediction
+FROM fused_runs r JOIN ex_pairs p ON p.query_id = r.query_id AND p.doc_id = r.doc_id
+JOIN ({VOTES("SELECT DISTINCT cell, -1 AS gone FROM ex_pairs")}) v ON v.cell = p.cell""")
+
+
 LLMS = (("coverage", "c"), ("density", "d"), ("length", "l"))
 
 
@@ -562,4 +620,14 @@ SELECT a.llm, a.query_id, a.doc_id, CASE WHEN f.failed = 0 THEN a.answer END AS
   FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p JOIN corpus c ON c.doc_id = p.doc_id
   JOIN qs q ON q.query_id = p.query_id) f ON f.query_id = a.query_id AND f.doc_id = a.doc_id""", "answers", "best_pairs", "corpus", "qs")
     q["best_retriever_docs"] = sql("SELECT retriever, query_id, doc_id, rank FROM best_pairs", "best_pairs")
+    q["answer_ledger"] = sql(f"""
+SELECT a.llm, a.query_id, a.doc_id, CASE WHEN f.h < '4' THEN '{DEFAULT_FAILED_ANSWER}' ELSE a.answer END AS answer,
+  CASE WHEN f.h >= '2' AND f.h < '4' THEN {MAX_ATTEMPTS} ELSE 1 END AS attempts,
+  CASE WHEN f.h < '2' THEN 'permanent' WHEN f.h < '4' THEN 'transient' END AS error_class
+FROM answers a JOIN (SELECT p.query_id, p.doc_id, substr(md5({prompt}), 1, 1) AS h
+  FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p JOIN corpus c ON c.doc_id = p.doc_id
+  JOIN qs q ON q.query_id = p.query_id) f ON f.query_id = a.query_id AND f.doc_id = a.doc_id""", "answers", "best_pairs", "corpus", "qs")
+    q["saved_routing"] = q["dynamic_routing"]
+    q["example_judge_fit"] = sql("SELECT threshold, n_examples, n_right FROM ex_fit", "ex_fit")
+    q["judge_by_examples"] = sql("SELECT retriever, query_id, doc_id, rank, example_score, prediction FROM ex_judged", "ex_judged")
     return q
