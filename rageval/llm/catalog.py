@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, mixing, neardup, packing, paritysketch, pitman_yor, quality, rans, sharding, spelling, trie, warc
+from . import hnsw, langid, mixing, neardup, oracles, packing, paritysketch, pitman_yor, quality, rans, sharding, spelling, trie, warc
 from .common import id_crc, table
 
 
@@ -128,4 +128,5 @@ FROM p LEFT JOIN h ON h.html = p.html"""
 def oracle_sql():
     """The other operators depend on hashes, tokenizers, sampling or search that SQL can't express; tests compare them
     with brute force."""
-    return {"op6_line_rules": line_rules_sql(), "op9_warc_transactions": WARC_SQL}
+    return {"op6_line_rules": line_rules_sql(), "op9_warc_transactions": WARC_SQL, "op11_parity_sketches": oracles.parity_sql(),
+            "op12_kd_spelling": oracles.spelling_sql(), "op13_veb_trie": oracles.trie_sql()}

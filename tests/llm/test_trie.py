@@ -89,3 +89,13 @@ def test_clashing_columns_and_empty(spark):
     assert sorted(tuple(r) for r in trie.prefix_trie(turns, lengths).collect()) == brute(rebuilt(rows))
     turns, lengths = trie.rebuilt(trie.turns_of(df.limit(0)))
     assert trie.prefix_trie(turns, lengths).count() == 0
+
+
+def test_crc32_in_sql_like_zlib():
+    import zlib
+
+    import duckdb
+
+    from rageval.llm.oracles import crc32
+    for s in ("", "0", "-17", "12:wörd", "x" * 300):
+        assert duckdb.execute(f"SELECT {crc32('s')} FROM (SELECT ?::VARCHAR AS s)", [s]).fetchone()[0] == zlib.crc32(s.encode())
