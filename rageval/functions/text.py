@@ -20,6 +20,11 @@ PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 PY_WHITESPACE_CLASS = "[" + "".join("\\x{%x}" % ord(c) for c in PY_WHITESPACE) + "]+"
 # "Standard analyzer" approximation: lower-cased runs of letters and digits.
 STD_TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+# Unicode text segmentation (UAX 29): characters that join two letters, two digits, or either; WordBreak classes MidLetter,
+# MidNum, and MidNumLet with the single quote.
+MID_LETTER = ":\u00b7\u0387\u055f\u05f4\u2027\ufe13\ufe55\uff1a"
+MID_NUMBER = ",;\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b"
+MID_EITHER = ".'\u2018\u2019\u2024\ufe52\uff07\uff0e"
 # Strings that pandas' ``read_csv`` turns into NaN by default.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
@@ -62,6 +67,33 @@ def std_tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(STD_TOKEN_PATTERN), 0)
 
 
+# Joiners in a row within one token, and changes between letters, digits and underscores; what follows is the next token.
+MAX_JOINS, MAX_CHANGES = 127, 64
+
+
+def _boundary_pattern() -> str:
+    """Runs of letters, of digits and of connecting punctuation, in any order; letters go on over a joiner between letters,
+    digits over one between digits. Han and Hiragana characters stand alone, Katakana makes runs. Quantifiers are
+    possessive and bounded, so that no text needs deep recursion or backtracking."""
+    ext, alone, kana = r"\p{M}\p{Cf}", r"\p{IsHan}\p{IsHiragana}", r"\p{IsKatakana}\u30fc"
+    letter = rf"\p{{L}}\p{{Nl}}{{}}&&[^{alone}{kana}]"
+    letters = f"[{letter.replace('{}', '')}][{letter.replace('{}', ext)}]*+"
+    digits = rf"\p{{Nd}}[\p{{Nd}}{ext}]*+"
+    joined = [rf"{run}(?:[{mid}{MID_EITHER}][{ext}]*+{run}){{0,{MAX_JOINS}}}+" for run, mid in ((letters, MID_LETTER), (digits, MID_NUMBER))]
+    return rf"(?:{joined[0]}|{joined[1]}|\p{{Pc}}[\p{{Pc}}{ext}]*+){{1,{MAX_CHANGES}}}+|[{kana}][{kana}{ext}]*+|[{alone}][{ext}]*+"
+
+
+BOUNDARY_TOKEN_PATTERN = _boundary_pattern()
+
+
+def boundary_tokens(text) -> Column:
+    """Lower-cased words by Unicode word boundaries: "don't", "3.14" and "snake_case" are one token each.
+
+    Not covered: quotes within Hebrew words, Katakana next to underscores, emoji (dropped). A null text gives null."""
+    found = F.regexp_extract_all(F.lower(_c(text)), F.lit(BOUNDARY_TOKEN_PATTERN), 0)
+    return F.filter(found, lambda t: t.rlike(r"[\p{L}\p{Nl}\p{Nd}]"))
+
+
 def is_blank(text) -> Column:
     """Null, or nothing but whitespace."""
     c = _c(text)

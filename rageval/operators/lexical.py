@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (bm25_okapi_idf, bm25_plus_one_idf, bm25_term, std_tokens,
+from ..functions.text import (bm25_okapi_idf, bm25_plus_one_idf, bm25_term, boundary_tokens, std_tokens,
                               ws_tokens)
 from ..sources.tables import nonblank
 from . import pruned
@@ -26,6 +26,7 @@ from .common import maybe_broadcast, rank_score, top_k, zero_backfill
 
 WS = "whitespace"
 STD = "standard"
+BOUNDARY = "boundary"
 
 # Okapi BM25 defaults (k1, b, epsilon) and the match retriever's k1.
 OKAPI_K1 = 1.5
@@ -39,7 +40,7 @@ FREQUENT_TERMS = 100_000
 
 
 def tokenize(kind: str, text) -> "F.Column":
-    return ws_tokens(text) if kind == WS else std_tokens(text)
+    return {WS: ws_tokens, STD: std_tokens, BOUNDARY: boundary_tokens}[kind](text)
 
 
 @dataclass

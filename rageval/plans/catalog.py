@@ -82,6 +82,21 @@ def bm25_std_topk(spark, sf_dir):
     return _round(fixtures(spark, sf_dir).match())
 
 
+@register("boundary_tokens")
+def boundary_tokens(spark, sf_dir):
+    """Words by Unicode word boundaries, of every document: their number, how many hold a joiner, and their md5."""
+    toks = F.coalesce(T.boundary_tokens("text"), F.array().cast("array<string>"))
+    joined = F.size(F.filter("toks", lambda t: t.rlike(r"[^\p{L}\p{N}\p{M}\p{Cf}]")))
+    return (fixtures(spark, sf_dir).table("documents").select("doc_id", toks.alias("toks"))
+            .select("doc_id", F.size("toks").alias("n_tokens"), joined.alias("n_joined"), F.md5(F.array_join("toks", " ")).alias("tokens_md5")))
+
+
+@register("match_boundary_topk")
+def match_boundary_topk(spark, sf_dir):
+    """Full-text match on words by Unicode word boundaries."""
+    return _round(fixtures(spark, sf_dir).boundary_match())
+
+
 @register("tfidf_topk")
 def tfidf_topk(spark, sf_dir):
     """U1/R2 stand-in: tf-idf cosine top-3 over the whole corpus."""
@@ -233,7 +248,7 @@ def ppi_estimate(spark, sf_dir):
 # --- cleaning, sets, scalar functions ---------------------------------------------
 
 from ..functions import text as T  # noqa: E402
-from ..operators import generate, router  # noqa: E402
+from ..operators import generate, gradient_router, router  # noqa: E402
 from ..session import scratch_path  # noqa: E402
 from ..sources import tables, tsv  # noqa: E402
 
@@ -589,3 +604,16 @@ def saved_routing(spark, sf_dir):
     path = scratch_path(spark, "router")
     version = model_table.save(fx.router[0], path, generate.PROVIDERS)
     return fx.routed_answers(model_table.load(spark, path, generate.PROVIDERS, version))
+
+
+@register("gradient_router_epochs")
+def gradient_router_epochs(spark, sf_dir):
+    """Losses of the router trained by gradient, epoch by epoch; no SQL, tests compare with a plain rerun."""
+    return gradient_router.epoch_table(spark, fixtures(spark, sf_dir).gradient_router)
+
+
+@register("gradient_routing")
+def gradient_routing(spark, sf_dir):
+    """P5/U8: route each best-retriever pair with the router trained by gradient, then answer."""
+    fx = fixtures(spark, sf_dir)
+    return fx.routed_answers(fx.gradient_router, gradient_router.route)

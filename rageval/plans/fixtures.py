@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import consensus as consensus_ops
-from ..operators import dense, fusion, generate, ground_truth, lexical, metrics, pruned, router
+from ..operators import dense, fusion, generate, gradient_router, ground_truth, lexical, metrics, pruned, router
 from ..operators.common import DEFAULT_BROADCAST_ROWS
 from ..session import buckets_for, checkpoint_root, drop_tables, folder_bytes, ship_package, write_bucketed, written
 from ..sources import tables
@@ -135,6 +135,10 @@ class Fixtures:
     def std_index(self) -> lexical.LexicalIndex:
         return self._searchable(lexical.build_index(self.corpus, lexical.STD, materialize=self._index_table("std")), "std")
 
+    @cached_property
+    def boundary_index(self) -> lexical.LexicalIndex:
+        return self._searchable(lexical.build_index(self.corpus, lexical.BOUNDARY, materialize=self._index_table("boundary")), "boundary")
+
     def _searchable(self, index: lexical.LexicalIndex, kind: str) -> lexical.LexicalIndex:
         """With postings and bounds by block, for pruned search."""
         index.impacts = pruned.build_impacts(index.postings, index.n_docs, lambda df, name: self.bucket(df, f"{name}_{kind}_blocks", sort_by="token", key="block"))
@@ -179,6 +183,11 @@ class Fixtures:
         return self._run("match", k or self.k,
                          lambda kk: lexical.match_search(self.std_index, self.queries, kk, small=self.small))
 
+    def boundary_match(self, k: int | None = None) -> DataFrame:
+        """Full-text match on word-boundary tokens."""
+        return self._run("boundary_match", k or self.k,
+                         lambda kk: lexical.match_search(self.boundary_index, self.queries, kk, small=self.small))
+
     def tfidf_run(self, k: int | None = None) -> DataFrame:
         return self._run("tfidf", k or self.k,
                          lambda kk: lexical.tfidf_search(self.tfidf, self.queries, kk, small=self.small))
@@ -306,17 +315,28 @@ class Fixtures:
     @cached_property
     def router(self):
         """The router fitted on the train split; (model, validation table)."""
-        feats = router.router_features(router.hash_split(self.training_rows), self.corpus, self.queries)
-        feats = self.cut(feats.select("query_id", "doc_id", "label", "split", "router_text"))
+        feats = self.split_features
         return router.train_naive_bayes(feats.where("split = 'train'"), feats.where("split = 'validation'"), len(generate.PROVIDERS), self.cut)
 
+    @cached_property
+    def split_features(self) -> DataFrame:
+        """(query_id, doc_id, label, split, router_text) of the training rows."""
+        feats = router.router_features(router.hash_split(self.training_rows), self.corpus, self.queries)
+        return self.cut(feats.select("query_id", "doc_id", "label", "split", "router_text"))
+
+    @cached_property
+    def gradient_router(self) -> gradient_router.GradientRouter:
+        """The router trained by gradient on the train split, stopped by the validation split."""
+        return gradient_router.train(self.split_features, len(generate.PROVIDERS))
+
     @cached_property
     def dynamic_answers(self) -> DataFrame:
         """P5/U8: route the best-retriever pairs, answer with the chosen model."""
         return self.cut(self.routed_answers(self.router[0]))
 
-    def routed_answers(self, model: router.NaiveBayes) -> DataFrame:
+    def routed_answers(self, model, route=None) -> DataFrame:
+        """The best-retriever pairs, answered by the models that ``route`` picks; the naive Bayes router by default."""
         feats = router.router_features(self.best_pairs.select("query_id", "doc_id"), self.corpus, self.queries)
-        routed = router.route_naive_bayes(model, feats, generate.llm_dim(self.spark))
+        routed = (route or router.route_naive_bayes)(model, feats, generate.llm_dim(self.spark))
         texts = feats.select("query_id", "doc_id", "qtext", "dtext").dropDuplicates(["query_id", "doc_id"])
         return routed.join(texts, ["query_id", "doc_id"]).select("query_id", "doc_id", F.trim(generate.chosen_answer()).alias("answer"), F.col("llm").alias("best_llm"))

@@ -7,7 +7,7 @@ different route. They run on the driver's pre-registered views.
 
 from __future__ import annotations
 
-from ..functions.text import DEFAULT_FAILED_ANSWER, PY_WHITESPACE_CLASS, STD_TOKEN_PATTERN
+from ..functions.text import DEFAULT_FAILED_ANSWER, MID_EITHER, MID_LETTER, MID_NUMBER, PY_WHITESPACE_CLASS, STD_TOKEN_PATTERN
 from ..operators.example_judge import LEVELS, NEIGHBOURS, THRESHOLDS
 from ..operators.generate import MAX_ATTEMPTS
 from ..operators.lexical import MATCH_B, MATCH_K1, OKAPI_B, OKAPI_EPSILON, OKAPI_K1
@@ -25,6 +25,15 @@ def STD(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '{STD_TOKEN_PATTERN}')"
 
 
+def BND(x: str) -> str:
+    """Words by Unicode word boundaries: characters that stand alone and Katakana runs are set apart first."""
+    either, ext = MID_EITHER.replace("'", "''"), r"\p{M}\p{Cf}"
+    apart = rf"regexp_replace(regexp_replace(lower({x}), '([\p{{Han}}\p{{Hiragana}}][{ext}]*)', ' \1 ', 'g'), '([\p{{Katakana}}ー][\p{{Katakana}}ー{ext}]*)', ' \1 ', 'g')"
+    letters, digits = rf"[\p{{L}}\p{{Nl}}][\p{{L}}\p{{Nl}}{ext}]*", rf"\p{{Nd}}[\p{{Nd}}{ext}]*"
+    word = rf"(?:{letters}(?:[{MID_LETTER}{either}][{ext}]*{letters})*|{digits}(?:[{MID_NUMBER}{either}][{ext}]*{digits})*|\p{{Pc}}[\p{{Pc}}{ext}]*)+"
+    return rf"list_filter(regexp_extract_all({apart}, '{word}'), lambda t: regexp_matches(t, '[\p{{L}}\p{{Nl}}\p{{Nd}}]'))"
+
+
 def BLANK(x: str) -> str:
     return f"({x} IS NULL OR len({WS(x)}) = 0)"
 
@@ -91,29 +100,32 @@ def _bm25_ranked(k: int) -> str:
 
 cte("bm25_k", ("qs_ok", "corpus", "m_bm25"), _bm25_ranked(K))
 
-# --- standard-analyzer index: match (R4) and tf-idf (U1) ------------------------
-cte("c_std", ("corpus",), f"SELECT doc_id, {STD('text')} AS toks FROM corpus")
-cte("dl_std", ("c_std",), "SELECT doc_id, len(toks) AS dl FROM c_std")
-cte("post_std", ("c_std",), "SELECT doc_id, token, count(*) AS tf FROM "
-    "(SELECT doc_id, unnest(toks) AS token FROM c_std) GROUP BY doc_id, token")
-cte("df_std", ("post_std",), "SELECT token, count(*) AS df FROM post_std GROUP BY token")
-cte("st_std", ("dl_std",), "SELECT count(*) AS n, avg(dl) AS avgdl FROM dl_std")
-cte("qtf_std", ("qs_ok",), "SELECT query_id, token, count(*) AS qtf FROM "
-    f"(SELECT query_id, unnest({STD('text')}) AS token FROM qs_ok) GROUP BY query_id, token")
-cte("m_match", ("qtf_std", "df_std", "post_std", "dl_std", "st_std"),
-    f"SELECT q.query_id, p.doc_id, sum((q.qtf * ln(1.0 + (s.n - f.df + 0.5) / (f.df + 0.5))) * p.tf * "
-    f"{MATCH_K1 + 1.0} / (p.tf + {MATCH_K1} * ({1.0 - MATCH_B} + {MATCH_B} * d.dl / s.avgdl))) AS score "
-    "FROM qtf_std q JOIN df_std f USING (token) JOIN post_std p USING (token) "
-    "JOIN dl_std d ON d.doc_id = p.doc_id CROSS JOIN st_std s GROUP BY q.query_id, p.doc_id")
-
-
-def _match_ranked(k: int) -> str:
+# --- standard-analyzer index: match (R4) and tf-idf (U1); the same match on word-boundary tokens ---
+def _match_index(kind: str, toks, m: str, out: str) -> None:
+    cte(f"c_{kind}", ("corpus",), f"SELECT doc_id, {toks('text')} AS toks FROM corpus")
+    cte(f"dl_{kind}", (f"c_{kind}",), f"SELECT doc_id, len(toks) AS dl FROM c_{kind}")
+    cte(f"post_{kind}", (f"c_{kind}",), "SELECT doc_id, token, count(*) AS tf FROM "
+        f"(SELECT doc_id, unnest(toks) AS token FROM c_{kind}) GROUP BY doc_id, token")
+    cte(f"df_{kind}", (f"post_{kind}",), f"SELECT token, count(*) AS df FROM post_{kind} GROUP BY token")
+    cte(f"st_{kind}", (f"dl_{kind}",), f"SELECT count(*) AS n, avg(dl) AS avgdl FROM dl_{kind}")
+    cte(f"qtf_{kind}", ("qs_ok",), "SELECT query_id, token, count(*) AS qtf FROM "
+        f"(SELECT query_id, unnest({toks('text')}) AS token FROM qs_ok) GROUP BY query_id, token")
+    cte(m, (f"qtf_{kind}", f"df_{kind}", f"post_{kind}", f"dl_{kind}", f"st_{kind}"),
+        f"SELECT q.query_id, p.doc_id, sum((q.qtf * ln(1.0 + (s.n - f.df + 0.5) / (f.df + 0.5))) * p.tf * "
+        f"{MATCH_K1 + 1.0} / (p.tf + {MATCH_K1} * ({1.0 - MATCH_B} + {MATCH_B} * d.dl / s.avgdl))) AS score "
+        f"FROM qtf_{kind} q JOIN df_{kind} f USING (token) JOIN post_{kind} p USING (token) "
+        f"JOIN dl_{kind} d ON d.doc_id = p.doc_id CROSS JOIN st_{kind} s GROUP BY q.query_id, p.doc_id")
+    cte(out, (m,), _match_ranked(K, m))
+
+
+def _match_ranked(k: int, m: str = "m_match") -> str:
     return ("SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, "
             "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id ASC) AS INTEGER) AS rank "
-            f"FROM m_match WHERE score > 0) WHERE rank <= {k}")
+            f"FROM {m} WHERE score > 0) WHERE rank <= {k}")
 
 
-cte("match_k", ("m_match",), _match_ranked(K))
+_match_index("std", STD, "m_match", "match_k")
+_match_index("bnd", BND, "m_boundary", "boundary_k")
 cte("idf_t", ("df_std", "st_std"), "SELECT token, ln((1.0 + s.n) / (1.0 + f.df)) + 1.0 AS idf FROM df_std f, st_std s")
 cte("dnorm", ("post_std", "idf_t"), "SELECT p.doc_id, sqrt(sum((p.tf * i.idf) * (p.tf * i.idf))) AS norm "
     "FROM post_std p JOIN idf_t i USING (token) GROUP BY p.doc_id")
@@ -445,6 +457,9 @@ SELECT (SELECT n FROM st_ws) AS n_docs, round((SELECT sum(dl) FROM dl_ws) / (SEL
                             "st_ws", "dl_ws", "rawidf_ws")
     q["term_idf"] = sql("SELECT substr(md5(f.token), 1, 2) AS part, count(*) AS terms, CAST(sum(f.df) AS BIGINT) AS df, round(sum(round(i.idf, 6)), 4) AS idf, "
                         "min(f.token) AS first_term, max(f.token) AS last_term FROM df_ws f JOIN idf_ws i USING (token) GROUP BY 1", "df_ws", "idf_ws")
+    q["boundary_tokens"] = (f"SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_filter(toks, lambda t: regexp_matches(t, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Cf}}]'))) AS INTEGER) AS n_joined, "
+                            f"md5(array_to_string(toks, ' ')) AS tokens_md5 FROM (SELECT doc_id, coalesce({BND('text')}, []) AS toks FROM documents)")
+    q["match_boundary_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM boundary_k", "boundary_k")
     q["bm25_std_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM match_k", "match_k")
     q["tfidf_topk"] = sql("SELECT query_id, doc_id, rank, round(score, 6) AS score FROM tfidf_k", "tfidf_k")
     whole = "CAST(embedding AS DOUBLE[])"
