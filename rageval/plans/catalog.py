@@ -127,6 +127,18 @@ def dense_text_topk_b(spark, sf_dir):
     return _round(fixtures(spark, sf_dir).dense_text("dense_b"))
 
 
+@register("dense_learned_topk")
+def dense_learned_topk(spark, sf_dir):
+    """Cosine top-3 of the encoder learned from the corpus; no SQL, tests compare with a dense decomposition."""
+    return _round(fixtures(spark, sf_dir).dense_learned())
+
+
+@register("encoder_board")
+def encoder_board(spark, sf_dir):
+    """Macro precision, recall and F1 of the hashed and the learned encoders' runs."""
+    return fixtures(spark, sf_dir).encoder_board()
+
+
 @register("candidate_union")
 def candidate_union(spark, sf_dir):
     """D3: ordered union of BM25 and match lists, first occurrence wins."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import consensus as consensus_ops
-from ..operators import dense, fusion, generate, gradient_router, ground_truth, lexical, metrics, pruned, router
+from ..operators import dense, encoder, fusion, generate, gradient_router, ground_truth, lexical, metrics, pruned, router
 from ..operators.common import DEFAULT_BROADCAST_ROWS
 from ..session import buckets_for, checkpoint_root, drop_tables, folder_bytes, ship_package, write_bucketed, written
 from ..sources import tables
@@ -202,6 +202,26 @@ class Fixtures:
                                       dense.with_zero_vectors(self.corpus, docs, "doc_id", dims), kk, cut=self.cut)
         return self._run(encoder, k or self.k, search)
 
+    @cached_property
+    def encoder(self) -> encoder.Encoder:
+        """The text encoder learned from the corpus."""
+        return encoder.fit(self.corpus, cut=self.cut)
+
+    def dense_learned(self, k: int | None = None) -> DataFrame:
+        """Cosine over the learned vectors of the corpus texts."""
+        def search(kk):
+            asked = encoder.encode(tables.nonblank(self.queries).select("query_id", "text"), self.encoder)
+            return dense.dense_search(asked, self.cut(encoder.encode(self.corpus.select("doc_id", "text"), self.encoder)), kk, cut=self.cut)
+        return self._run("dense_learned", k or self.k, search)
+
+    def encoder_board(self) -> DataFrame:
+        """Macro metrics of the hashed encoders' and the learned encoder's runs."""
+        runs = None
+        for name, make in (*((e, self.first_stage[e]) for e in ENCODERS), ("dense_learned", self.dense_learned)):
+            own = self.with_retriever(make().select("query_id", "doc_id", "rank"), name)
+            runs = own if runs is None else runs.unionByName(own)
+        return metrics.macro_metrics(self.cut(runs), self.qrels)
+
     @property
     def first_stage(self) -> dict:
         return {"bm25": self.bm25, "tfidf": self.tfidf_run, "match": self.match,
