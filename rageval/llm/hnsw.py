@@ -1,9 +1,11 @@
 """Nearest neighbours by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are hashed into shards of about ``shard_rows``. Each task builds its shard's graph over the shard's distinct
-vectors and gives it out as one row of flat arrays: vectors, levels, and neighbour lists of fixed width. The rows are
-written once. For a search every query goes to every shard; a task holds one graph at a time and streams the queries
-through it. The shards' nearest are ranked again by exact distance in double precision.
+Vectors are hashed into shards of ``SHARD_ROWS``, or more where that would make over ``MAX_SHARDS`` of them, up to
+``MAX_SHARD_ROWS``: what a query costs is the number of shards, so it stays the same up to a billion vectors. Each task builds
+one shard's graph over the shard's distinct vectors and gives it out as one row of flat arrays: vectors, levels, and neighbour
+lists of fixed width. The rows are written once. For a search every query goes to every shard; a task holds one graph at a
+time and streams the queries through it. The shards' nearest are ranked again by exact distance in double precision;
+columns other than float arrays are kept in double precision throughout.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of
 equal length are near each other; equal vectors are one node that knows its smallest ids, so copies cost no links and
@@ -21,10 +23,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import python_ready, staged
 
-SHARD_ROWS = 4096
+SHARD_ROWS, MAX_SHARDS, MAX_SHARD_ROWS = 4096, 1024, 1_000_000
 LINKS = 16
 EF_BUILD = 100
 EF_SEARCH = 128
@@ -169,49 +172,60 @@ def nearest(g: Graph, query_id: int, q: np.ndarray, k: int, ef: int) -> list[tup
     return out[:k]
 
 
-ARRAYS = (("vectors", np.float32), ("level", np.int32), ("at", np.int32), ("near", np.int32), ("upper", np.int32), ("ids", np.int64), ("first", np.int64))
-INDEX_SCHEMA = "shard int, dim int, entry int, links int, " + ", ".join(f"{a} binary" for a, _ in ARRAYS)
+ARRAYS = (("vectors", None), ("level", np.int32), ("at", np.int32), ("near", np.int32), ("upper", np.int32), ("ids", np.int64), ("first", np.int64))
+INDEX_SCHEMA = "shard int, dim int, width int, entry int, links int, " + ", ".join(f"{a} binary" for a, _ in ARRAYS)
 
 
 def to_row(shard: int, g: Graph) -> dict:
-    return {"shard": shard, "dim": g.vectors.shape[1], "entry": g.entry, "links": g.upper.shape[1]} | {a: np.ascontiguousarray(getattr(g, a), t).tobytes() for a, t in ARRAYS}
+    return {"shard": shard, "dim": g.vectors.shape[1], "width": g.vectors.itemsize, "entry": g.entry, "links": g.upper.shape[1]} | {a: np.ascontiguousarray(getattr(g, a), t).tobytes() for a, t in ARRAYS}
 
 
 def from_row(row: dict) -> Graph:
-    got = {a: np.frombuffer(row[a], t) for a, t in ARRAYS}
+    got = {a: np.frombuffer(row[a], t or f"f{row['width']}") for a, t in ARRAYS}
     got["vectors"] = got["vectors"].reshape(-1, row["dim"])
     got["near"], got["upper"] = got["near"].reshape(-1, 2 * row["links"]), got["upper"].reshape(-1, row["links"])
     return Graph(entry=row["entry"], **got)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id, vec`` of the rows that take part."""
-    vec = vectors[vec_col].cast("array<float>")
+    """``id, vec`` of the rows that take part; ``vec`` is of floats if the column is, else of doubles."""
+    vec = vectors[vec_col]
+    if vectors.schema[vec_col].dataType != T.ArrayType(T.FloatType()):
+        vec = vec.cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (vectors.select(vectors[id_col].cast("long").alias("id"), vec.alias("vec"), F.coalesce(bad, F.lit(True)).alias("bad"))
             .where("id is not null and not bad").where(F.exists("vec", lambda x: x != 0)).select("id", "vec"))
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, k: int = 10) -> tuple[DataFrame, int]:
+def shards_of(n: int, shard_rows: int | None = None) -> int:
+    """The number of shards of ``n`` vectors."""
+    size = shard_rows or min(MAX_SHARD_ROWS, max(SHARD_ROWS, -(-n // MAX_SHARDS)))
+    return max(1, -(-n // size))
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int | None = None, k: int = 10) -> tuple[DataFrame, int]:
     """The written index, a row per shard and vector length, and the number of shards."""
     spark = vectors.sparkSession
     python_ready(spark)
     rows = usable(vectors, id_col, vec_col)
-    n_shards = max(1, -(-rows.count() // shard_rows))
+    n_shards = shards_of(rows.count(), shard_rows)
 
-    def shard_graphs(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, out = int(pdf["shard"].iloc[0]), []
-        lengths = pdf["vec"].map(len)
-        for _, own in pdf.groupby(lengths):
-            vec = np.stack(own["vec"].to_numpy()).astype(np.float32)
-            ids = own["id"].to_numpy(np.int64)
-            order = np.lexsort((*vec.T[::-1], ids))
-            once = order[np.concatenate([[True], np.diff(ids[order]) != 0])]
-            out.append(to_row(shard, build(ids[once], vec[once], keep_ids=k + 1)))
-        return pd.DataFrame(out)
+    def shard_graphs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task has one shard."""
+        shard, ids, vecs = 0, {}, {}
+        for part in parts:
+            for length, own in part.groupby(part["vec"].map(len)):
+                shard = int(own["shard"].iloc[0])
+                ids.setdefault(length, []).append(own["id"].to_numpy(np.int64))
+                vecs.setdefault(length, []).append(np.stack(own["vec"].to_numpy()))
+        for length in sorted(ids):
+            own, vec = np.concatenate(ids.pop(length)), np.concatenate(vecs.pop(length))
+            order = np.lexsort((*vec.T[::-1], own))
+            once = order[np.concatenate([[True], np.diff(own[order]) != 0])]
+            yield pd.DataFrame([to_row(shard, build(own[once], vec[once], keep_ids=k + 1))])
 
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).repartition(n_shards, "shard")
-    return staged(sharded.groupBy("shard").applyInPandas(shard_graphs, INDEX_SCHEMA), "hnsw"), n_shards
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).repartitionById(n_shards, F.col("shard"))
+    return staged(sharded.mapInPandas(shard_graphs, INDEX_SCHEMA), "hnsw"), n_shards
 
 
 def search(index: DataFrame, n_shards: int, queries: DataFrame, k: int = 10, ef: int = EF_SEARCH) -> DataFrame:
@@ -226,7 +240,7 @@ def search(index: DataFrame, n_shards: int, queries: DataFrame, k: int = 10, ef:
     once = queries.groupBy("id").agg(F.min("vec").alias("vec"))
     asked = once.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("kind", F.lit(1))
     both = index.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    both = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind", "dim", "id")
+    both = both.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind", "dim", "id")
 
     def answer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, graphs = None, {}
@@ -236,9 +250,9 @@ def search(index: DataFrame, n_shards: int, queries: DataFrame, k: int = 10, ef:
                 if row["shard"] != shard:
                     shard, graphs = row["shard"], {}
                 if row["kind"] == 0:
-                    graphs[int(row["dim"])] = from_row({**row, "dim": int(row["dim"]), "entry": int(row["entry"]), "links": int(row["links"])})
+                    graphs[int(row["dim"])] = from_row({**row, "dim": int(row["dim"]), "width": int(row["width"]), "entry": int(row["entry"]), "links": int(row["links"])})
                 else:
-                    q = np.asarray(row["vec"], np.float32)
+                    q = np.asarray(row["vec"])
                     if len(q) in graphs:
                         out += [(int(row["id"]), i, d) for d, i in nearest(graphs[len(q)], int(row["id"]), q, k, ef)]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

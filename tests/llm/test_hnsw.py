@@ -38,6 +38,20 @@ def test_small_table_exactly_with_odd_rows(spark):
         assert [i for _, i in own] == [i for _, i in near] and np.allclose([s for s, _ in own], [s for s, _ in near], rtol=1e-12)
 
 
+def test_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (1e6 + 1e-6 * rng.normal(size=4)).tolist()) for i in range(60)] + [(100, [1e60] * 4), (200, [2e60] * 4)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["rank"]: r for r in hnsw.nearest_neighbours(docs, every=100).collect() if r["query_id"] == 0}
+    at = {i: np.array(v) for i, v in rows}
+    want = sorted((float(np.sqrt(((at[0] - at[i]) ** 2).sum())), i) for i in at if i != 0)[:10]
+    assert [got[k]["vec_id"] for k in range(1, 11)] == [i for _, i in want] and np.allclose([got[k]["score"] for k in range(1, 11)], [d for d, _ in want], rtol=1e-12)
+
+
+def test_shards_stay_few():
+    assert [hnsw.shards_of(n) for n in (0, 1, 4096, 4097, 51_282, 10 ** 7, 10 ** 9, 10 ** 10)] == [1, 1, 1, 2, 13, 1024, 1024, 10_000]
+
+
 def test_recall_over_shards(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 32))
