@@ -52,3 +52,24 @@ def test_whole_pipeline_writes_every_stage(spark):
     sentinel = txt.where("is_sentinel = 1").collect()
     assert all(r.Document == "No Relevant Information Available" for r in sentinel)
     assert txt.count() == spark.read.parquet(paths["runs"]).where("retriever = 'consensus'").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_a_run_is_taken_up_after_its_finished_stages(spark, monkeypatch):
+    from rageval.plans import pipeline
+    out = tempfile.mkdtemp(prefix="pipeline-")
+    paths = pipeline.run_pipeline(spark, SF, out)
+
+    def times():
+        return {name: os.path.getmtime(os.path.join(path, "_SUCCESS")) for name, path in paths.items()}
+    before = times()
+    os.remove(os.path.join(paths["leaderboard"], "_SUCCESS"))   # as if it had been cut short
+    own = pipeline.made_from(pipeline.fixtures(spark, SF))
+    os.remove(os.path.join(paths["best_llm"], pipeline.MARK + own))  # made from other tables
+    assert pipeline.run_pipeline(spark, SF, out, mode="resume") == paths
+    changed = {name for name, t in times().items() if t != before[name]}
+    assert changed == {"leaderboard", "best_llm"}
+    assert spark.read.parquet(paths["leaderboard"]).count() == 8
+    monkeypatch.setattr(pipeline, "listing", lambda *_: ())      # other tables: everything is made anew
+    other = pipeline.made_from(pipeline.fixtures(spark, SF))
+    assert other != own and not any(pipeline.finished(spark, p, other) for p in paths.values())
