@@ -629,3 +629,19 @@ def gradient_routing(spark, sf_dir):
     """P5/U8: route each best-retriever pair with the router trained by gradient, then answer."""
     fx = fixtures(spark, sf_dir)
     return fx.routed_answers(fx.gradient_router, gradient_router.route)
+
+
+@register("routing_from_files")
+def routing_from_files(spark, sf_dir):
+    """The queries and the table of (query, document) pairs as text files, read back by column names, and the
+    pairs of those queries routed and answered."""
+    fx = fixtures(spark, sf_dir)
+    path = scratch_path(spark, "routing-files")
+    own = router.router_features(fx.best_pairs.select("query_id", "doc_id"), fx.corpus, fx.queries)
+    tsv.write_tsv(fx.queries.select("query_id", F.col("text").alias("Query")), f"{path}/queries.tsv")
+    tsv.write_tsv(own.select("doc_id", F.col("dtext").alias("Document"), "query_id"), f"{path}/best_retriever_docs.tsv")
+    asked = tsv.read_tsv(spark, f"{path}/queries.tsv", "query_id long, Query string")
+    pairs = tsv.read_tsv(spark, f"{path}/best_retriever_docs.tsv", "query_id long, doc_id long, Document string").join(asked, "query_id")
+    feats = pairs.select("query_id", "doc_id", F.col("Query").alias("qtext"), F.col("Document").alias("dtext"))
+    feats = fx.cut(feats.withColumn("router_text", F.concat_ws(" ", "qtext", "dtext")))
+    return fx.routed_answers(fx.router[0], feats=feats)

@@ -354,9 +354,11 @@ class Fixtures:
         """P5/U8: route the best-retriever pairs, answer with the chosen model."""
         return self.cut(self.routed_answers(self.router[0]))
 
-    def routed_answers(self, model, route=None) -> DataFrame:
-        """The best-retriever pairs, answered by the models that ``route`` picks; the naive Bayes router by default."""
-        feats = router.router_features(self.best_pairs.select("query_id", "doc_id"), self.corpus, self.queries)
+    def routed_answers(self, model, route=None, feats: DataFrame | None = None) -> DataFrame:
+        """The best-retriever pairs, or those of ``feats``, answered by the models that ``route`` picks; the naive Bayes
+        router by default."""
+        if feats is None:
+            feats = router.router_features(self.best_pairs.select("query_id", "doc_id"), self.corpus, self.queries)
         routed = (route or router.route_naive_bayes)(model, feats, generate.llm_dim(self.spark))
         texts = feats.select("query_id", "doc_id", "qtext", "dtext").dropDuplicates(["query_id", "doc_id"])
         return routed.join(texts, ["query_id", "doc_id"]).select("query_id", "doc_id", F.trim(generate.chosen_answer()).alias("answer"), F.col("llm").alias("best_llm"))

@@ -642,7 +642,7 @@ SELECT a.llm, a.query_id, a.doc_id, CASE WHEN f.h < '4' THEN '{DEFAULT_FAILED_AN
 FROM answers a JOIN (SELECT p.query_id, p.doc_id, substr(md5({prompt}), 1, 1) AS h
   FROM (SELECT DISTINCT query_id, doc_id FROM best_pairs) p JOIN corpus c ON c.doc_id = p.doc_id
   JOIN qs q ON q.query_id = p.query_id) f ON f.query_id = a.query_id AND f.doc_id = a.doc_id""", "answers", "best_pairs", "corpus", "qs")
-    q["saved_routing"] = q["dynamic_routing"]
+    q["saved_routing"] = q["routing_from_files"] = q["dynamic_routing"]
     q["example_judge_fit"] = sql("SELECT threshold, n_examples, n_right FROM ex_fit", "ex_fit")
     q["judge_by_examples"] = sql("SELECT retriever, query_id, doc_id, rank, example_score, prediction FROM ex_judged", "ex_judged")
     return q
