@@ -12,7 +12,9 @@ be negative; ties at the threshold stay.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,29 @@ class ImpactIndex:
     n_docs: int
 
 
+class LazyImpacts:
+    """An ``ImpactIndex`` that is built when a search first reads it."""
+
+    def __init__(self, make: Callable[[], ImpactIndex]):
+        self._make = make
+
+    @cached_property
+    def _made(self) -> ImpactIndex:
+        return self._make()
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._made.postings
+
+    @property
+    def bounds(self) -> DataFrame:
+        return self._made.bounds
+
+    @property
+    def n_docs(self) -> int:
+        return self._made.n_docs
+
+
 def length_class(dl) -> Column:
     return F.floor(F.log(F.greatest(dl, F.lit(1)).cast("double")) * CLASSES).cast("int")
 

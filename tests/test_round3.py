@@ -22,6 +22,43 @@ def folder(spark, tmp_path, texts=None):
     return str(tmp_path)
 
 
+def test_term_counts_equal_a_count_of_all_pairs_without_grouping_them(spark):
+    corpus = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for kind in (lexical.WS, lexical.STD, lexical.BOUNDARY):
+        toks = corpus.select("doc_id", lexical.tokenize(kind, "text").alias("toks"))
+        want = (toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+                .groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+        got = lexical.term_counts(toks)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        built = lexical.build_index(corpus, kind, materialize=None).postings
+        assert "Aggregate" not in built._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_made_from_another_in_its_buckets_has_one_file_a_bucket(spark):
+    corpus = write_bucketed(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text")), "round3_corpus", "doc_id", 5)
+    auto = spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    toks = corpus.select("doc_id", lexical.tokenize(lexical.WS, "text").alias("toks"))
+    try:
+        made = write_bucketed(lexical.term_counts(toks), "round3_postings", "doc_id", 5, "token")
+        assert len(made.inputFiles()) == 5
+        assert made.count() == 9000
+        assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == auto
+    finally:
+        for t in ("round3_corpus", "round3_postings"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_term_statistics_build_no_blocks_and_a_search_does(spark, tmp_path):
+    fx = Fixtures(spark, folder(spark, tmp_path))
+    index = fx.ws_index
+    assert not [t for t in fx._tables if "blocks" in t]
+    assert isinstance(index.impacts, pruned.LazyImpacts)
+    assert fx.bm25().where("query_id = 2 and rank = 1").first()["doc_id"] == 5
+    assert len([t for t in fx._tables if "blocks" in t]) == 2
+    fx.close()
+
+
 def test_term_idf_has_every_term(spark, tmp_path):
     import duckdb
 
