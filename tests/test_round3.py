@@ -69,3 +69,23 @@ def test_term_idf_has_every_term(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
     assert sorted(con.execute(oracle.oracle_sql()["term_idf"]).fetchall()) == sorted(map(tuple, got.collect()))
+
+
+def test_dense_documents_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    m = np.random.default_rng(3).normal(size=(300, 8))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "doc_id long, vec array<double>").mapInPandas(counted, "doc_id long, vec array<double>")
+    dense.build_dense(docs)
+    assert seen.value == 300
+
+
+def test_cells_of_a_text_are_added_up():
+    got = dense.added_up(pd.Series([np.array([1, 1, 3]), np.array([0])]), pd.Series([np.array([2, -5, 1]), np.array([7])]), 4)
+    assert np.array_equal(np.stack(got.to_list()), [[0, -3, 0, 1], [7, 0, 0, 0]])
+    assert not len(dense.added_up(pd.Series([], dtype=object), pd.Series([], dtype=object), 4))
