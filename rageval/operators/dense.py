@@ -23,7 +23,9 @@ from .common import SCORE_DECIMALS, rank_score, top_k
 
 # Documents of a part, and similarities (queries x documents) computed at once.
 PART_ROWS = 20_000
-MAX_CELLS = 4_000_000
+MAX_CELLS = 1_000_000
+# Visits, each with a query's vector, that a worker hands back at once.
+VISIT_ROWS = 10_000
 # Documents of a cell, about, and pivots at most, a sample of the documents.
 CELL_ROWS = 1_000
 MAX_PIVOTS = 8_192
@@ -95,10 +97,11 @@ class DenseIndex:
     cells: Cells
 
 
-def _units(batches, key: str):
+def _units(batches, key: str, step: int):
     for pdf in batches:
-        if len(pdf):
-            yield pdf[key].to_numpy(np.int64), _unit_rows(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
+        for at in range(0, len(pdf), step):
+            some = pdf.iloc[at:at + step]
+            yield some[key].to_numpy(np.int64), _unit_rows(np.stack(some["vec"].to_numpy()).astype(np.float64))
 
 
 def nearest(units: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +125,7 @@ def build_dense(emb_d: DataFrame, cut=written, cell_rows: int = CELL_ROWS, part_
     pivots = _unit_rows(np.array([r["vec"] for r in picked], np.float64).reshape(-1, dims))
 
     def assign(batches):
-        for ids, units in _units(batches, "doc_id"):
+        for ids, units in _units(batches, "doc_id", max(1, MAX_CELLS // max(1, len(pivots)))):
             cell, angle = nearest(units, pivots) if len(pivots) else (np.zeros(len(ids), np.int64), np.zeros(len(ids)))
             yield pd.DataFrame({"cell": cell.astype(np.int32), "doc_id": ids, "angle": angle, "vec": list(units)})
 
@@ -167,9 +170,9 @@ def _visits(index: Cells, k: int, again: bool):
                 copies = index.parts[cell]
                 part = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
                 q, cell = np.repeat(q, copies), np.repeat(cell, copies)
-                if not len(q):
-                    continue
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "part": part.astype(np.int32), "query_id": some["query_id"].to_numpy(np.int64)[q], "vec": list(units[q])})
+                for first in range(0, len(q), VISIT_ROWS):  # each visit has its own copy of the vector
+                    few = slice(first, first + VISIT_ROWS)
+                    yield pd.DataFrame({"cell": cell[few].astype(np.int32), "part": part[few].astype(np.int32), "query_id": some["query_id"].to_numpy(np.int64)[q[few]], "vec": list(units[q[few]])})
     return run
 
 

@@ -85,6 +85,18 @@ def test_dense_documents_are_made_once(spark):
     assert seen.value == 300
 
 
+def test_visits_leave_a_worker_in_short_frames():
+    rng = np.random.default_rng(1)
+    units = dense._unit_rows(rng.normal(size=(900, 4)))
+    cells = dense.Cells(dense._unit_rows(rng.normal(size=(60, 4))), np.full(61, 3.2), np.full(61, 50), np.ones(61, np.int64))
+    frames = list(dense._visits(cells, 3, True)([pd.DataFrame({"query_id": np.arange(900), "vec": list(units), "least": -2.0})]))
+    assert max(map(len, frames)) <= dense.VISIT_ROWS < sum(map(len, frames))
+    first = dense.first_cells(dense.score_bounds(units, cells), cells.rows, 4)
+    assert sum(map(len, frames)) == (~first).sum()
+    steps = [len(ids) for ids, _ in dense._units([pd.DataFrame({"doc_id": np.arange(900), "vec": list(units)})], "doc_id", 100)]
+    assert steps == [100] * 9
+
+
 def test_cells_of_a_text_are_added_up():
     got = dense.added_up(pd.Series([np.array([1, 1, 3]), np.array([0])]), pd.Series([np.array([2, -5, 1]), np.array([7])]), 4)
     assert np.array_equal(np.stack(got.to_list()), [[0, -3, 0, 1], [7, 0, 0, 0]])
