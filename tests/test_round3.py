@@ -35,6 +35,13 @@ def test_term_counts_equal_a_count_of_all_pairs_without_grouping_them(spark):
         assert "Aggregate" not in built._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_of_one_id_and_length_are_counted_together(spark):
+    corpus = spark.createDataFrame([(1, "a b"), (1, "a c"), (1, "a b c"), (2, "a a"), (None, "a b"), (None, "b b")], "doc_id long, text string")
+    got = lexical.build_index(corpus, lexical.WS, materialize=None).postings
+    assert sorted((r.doc_id or 0, r.dl, r.token, r.tf) for r in got.collect()) == [
+        (0, 2, "a", 1), (0, 2, "b", 3), (1, 2, "a", 2), (1, 2, "b", 1), (1, 2, "c", 1), (1, 3, "a", 1), (1, 3, "b", 1), (1, 3, "c", 1), (2, 2, "a", 2)]
+
+
 def test_a_table_made_from_another_in_its_buckets_has_one_file_a_bucket(spark):
     corpus = write_bucketed(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text")), "round3_corpus", "doc_id", 5)
     auto = spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled")
