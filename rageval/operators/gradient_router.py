@@ -52,7 +52,7 @@ class GradientRouter:
 def hashed_features(feats: DataFrame, n_features: int = N_FEATURES) -> DataFrame:
     """(the other columns, idx, val) of ``router_text``, in place: no row leaves its task."""
     cells = F.transform(std_tokens(F.coalesce("router_text", F.lit(""))), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(n_features)).cast("int"))
-    rows = feats.withColumn("_cells", F.array_sort(cells)).withColumn("_n", F.size("_cells"))
+    rows = feats.withColumn("_cells", F.sort_array(cells)).withColumn("_n", F.size("_cells"))
     # in a sorted list a value's number is the distance of its first place to the next one's
     places = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.greatest("_n", F.lit(1)))).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("_first", F.filter(places, lambda i: (i == 1) | (F.get("_cells", i - 1) != F.get("_cells", i - 2))))
@@ -60,8 +60,9 @@ def hashed_features(feats: DataFrame, n_features: int = N_FEATURES) -> DataFrame
     ends = F.concat(F.slice("_first", 2, F.greatest(F.size("_first"), F.lit(1))), F.array(F.col("_n") + 1))
     val = F.zip_with("_first", ends, lambda a, b: 1.0 + F.log((b - a).cast("double")))
     rows = rows.withColumn("val", F.when(F.size("idx") > 0, val).otherwise(F.array().cast("array<double>")))
-    norm = F.sqrt(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("val", F.transform("val", lambda x: x / norm))
+    # beside the list, not within the function that divides: there it would be added up again for each value
+    norms = F.array_repeat(F.sqrt(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x)), F.size("val"))
+    rows = rows.withColumn("val", F.zip_with("val", norms, lambda x, n: x / n))
     return rows.drop("router_text", "_cells", "_first", "_n")
 
 
