@@ -10,11 +10,14 @@ queries are neither collected nor broadcast; the driver holds the pivots, of bou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ VISIT_ROWS = 10_000
 # Documents of a cell, about, and pivots at most, a sample of the documents.
 CELL_ROWS = 1_000
 MAX_PIVOTS = 8_192
+# Texts whose tokens are hashed together.
+HASHED_ROWS = 1_000
 # Room for rounding in angles and for scores that tie when rounded.
 ANGLE_SLACK = 1e-6
 RESULT_SCHEMA = "query_id long, doc_id long, score double"
@@ -245,6 +250,37 @@ def added_up(cells: pd.Series, values: pd.Series, dims: int) -> pd.Series:
     return pd.Series(list(np.bincount(at, np.concatenate(values.to_list()).astype(np.float64), len(cells) * dims).reshape(-1, dims)))
 
 
+def hashed_texts(docs: DataFrame, key: str, encoders: dict[str, int]) -> DataFrame:
+    """(key, a vector per encoder) of (key, toks): the vectors of ``hashed_cells`` for all encoders (salt: dimensions) in
+    one pass over whole texts, without postings or a shuffle. A token is hashed once for ``HASHED_ROWS`` texts; texts
+    without tokens have zero vectors. Rows of one key stay apart."""
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, HASHED_ROWS):
+                yield hashed_batch(batch.slice(at, HASHED_ROWS), encoders)
+
+    schema = ", ".join([f"{key} {docs.schema[key].dataType.simpleString()}", *(f"{salt} array<double>" for salt in encoders)])
+    return docs.select(key, F.coalesce("toks", F.array().cast("array<string>")).alias("toks")).mapInArrow(run, schema)
+
+
+def hashed_batch(batch: pa.RecordBatch, encoders: dict[str, int]) -> pa.RecordBatch:
+    """The vectors of a batch of (key, toks)."""
+    toks = batch.column(1)
+    row = np.repeat(np.arange(len(toks)), pc.list_value_length(toks).to_numpy(zero_copy_only=False))
+    coded = toks.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    out = [batch.column(0)]
+    for salt, dims in encoders.items():
+        start = salt.encode()
+        digest = np.frombuffer(b"".join(hashlib.md5(start + w).digest()[:3] for w in words), np.uint8).reshape(-1, 3).astype(np.int64)
+        cell, sign = (digest[:, 0] * 256 + digest[:, 1]) % dims, np.where(digest[:, 2] < 128, 1.0, -1.0)
+        vecs = np.bincount(row * dims + cell[code], sign[code], len(toks) * dims)
+        out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(vecs) + 1, dims), pa.int32()), pa.array(vecs, pa.float64())))
+    return pa.RecordBatch.from_arrays(out, names=[batch.schema.names[0], *encoders])
+
+
 def with_zero_vectors(ids: DataFrame, vectors: DataFrame, key: str, dims: int) -> DataFrame:
     """One row per id, texts without tokens having the zero vector."""
     zero = F.array_repeat(F.lit(0.0), dims)

@@ -75,12 +75,13 @@ def length_class(dl) -> Column:
     return F.floor(F.log(F.greatest(dl, F.lit(1)).cast("double")) * CLASSES).cast("int")
 
 
-def build_impacts(postings: DataFrame, n_docs: int, materialize) -> ImpactIndex:
-    """``materialize(df, name)`` stores a table bucketed by ``block``.
+def build_impacts(postings: DataFrame, n_docs: int, materialize, lengths: DataFrame | None = None) -> ImpactIndex:
+    """``materialize(df, name)`` stores a table bucketed by ``block``; ``lengths`` are (doc_id, dl) rows, repeated or not, if
+    they can be had more cheaply than from the postings.
 
     The driver gets one count per length class, of which a corpus has at most about a thousand.
     """
-    lengths = postings.groupBy("doc_id", "dl").agg(F.lit(1)).groupBy(length_class("dl").alias("c")).count()
+    lengths = (postings if lengths is None else lengths).groupBy("doc_id", "dl").agg(F.lit(1)).groupBy(length_class("dl").alias("c")).count()
     counts = {r["c"]: r["count"] for r in lengths.collect()}
     parts = [max(1, math.ceil(counts.get(c, 0) / BLOCK_DOCS)) for c in range(max(counts, default=0) + 1)]
     cls = length_class("dl")
