@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
+from ..session import written
 from ..sources.tables import nonblank
 from .common import maybe_broadcast
 from .lexical import LexicalIndex
@@ -43,12 +44,12 @@ def containment_pairs(index: LexicalIndex, corpus: DataFrame, queries: DataFrame
 
 
 def qrels(index: LexicalIndex, corpus: DataFrame, queries: DataFrame, labels: DataFrame, pool: DataFrame,
-          small: bool | None = None) -> DataFrame:
+          small: bool | None = None, cut=written) -> DataFrame:
     """(query_id, doc_id, label): containment positives plus pooled labelled negatives.
 
-    ``pool`` has the (query_id, doc_id) of all pooled runs.
+    ``pool`` has the (query_id, doc_id) of all pooled runs; ``cut`` materialises the positives, which are read twice.
     """
-    pos = containment_pairs(index, corpus, queries, small).withColumn("label", F.lit(1))
+    pos = cut(containment_pairs(index, corpus, queries, small)).withColumn("label", F.lit(1))
     labelled = labels.select("doc_id").distinct()
     neg = (pool.select("query_id", "doc_id").distinct()
            .join(labelled, "doc_id", "left_semi")
